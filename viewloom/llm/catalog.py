@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewloom.llm import chat, line_dedup, media, mixing, sharding
+from viewloom.llm import chat, line_dedup, media, mixing, quality, sharding, toxicity
 from viewloom.llm.common import table
 
 
@@ -19,6 +19,14 @@ def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_digests(media.tiff_pages(files))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     saying = "<|im_end|><|im_start|>assistant ok"
     schema = "conv_id long, turn long, role string, text string"
@@ -36,7 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_tiff, op7_chat, op8_sharding, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_mixing, op4_tiff, op5_toxicity, op6_quality, op7_chat, op8_sharding, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
