@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewloom.llm import chat, line_dedup, media, mixing, quality, sharding, toxicity
+from viewloom.llm import chat, line_dedup, media, mixing, near_dedup, quality, sharding, toxicity
 from viewloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = media.texts_as_tiff(table(spark, sf_dir, "documents"))
     return media.payload_digests(media.tiff_pages(files))
@@ -44,7 +48,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_tiff, op5_toxicity, op6_quality, op7_chat, op8_sharding, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_mixing, op3_near_dedup, op4_tiff, op5_toxicity, op6_quality, op7_chat, op8_sharding, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

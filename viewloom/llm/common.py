@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Arrow batches of at most so many rows for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The size Spark itself plans with (file sizes for a scan); no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -47,3 +60,12 @@ def n_words(text):
     blank = lambda c: c.rlike(f"^{WORD_GAP}").cast("int")
     parts = F.size(F.split(text, WORD_GAP)) - blank(F.substring(text, 1, 1)) - blank(F.substring(text, -1, 1))
     return F.when(F.length(text) > 0, parts).otherwise(0).cast("long")
+
+
+#: Up to so many keys a semi-join or a lookup is broadcast; beyond that it is a shuffled join.
+BROADCAST_KEYS = 200_000
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """`keys` must be materialised; they are counted, and broadcast only when they are few."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)

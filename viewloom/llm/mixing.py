@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import cut, n_words, pieces
+from viewloom.llm.common import cut, n_words, pieces, semi_join
 
 SECTIONS, ROUNDS = 15, 12
 
@@ -94,7 +94,7 @@ def mixing_plan(
     owed = owed.withColumn("passes", F.when(F.col("words") > 0, F.expr("quota div words")).otherwise(F.lit(0)).cast("long"))
     owed = cut(owed.withColumn("rest", F.col("quota") - F.col("passes") * F.col("words")))
 
-    keyed = rows.join(owed.where("rest > 0").select("src", "passes", "rest"), "src").withColumn("key", _shuffled(seed, F.col("passes")))
+    keyed = semi_join(rows, owed.where("rest > 0").select("src", "passes", "rest"), "src", "inner").withColumn("key", _shuffled(seed, F.col("passes")))
     keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(n_buckets) / F.lit(2.0**32)).cast("int"))
     by_key = keyed.groupBy("src", "bucket", "key").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"))
     inside = Window.partitionBy("src", "bucket").orderBy("key")
@@ -109,7 +109,8 @@ def mixing_plan(
 def draw(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of `docs` as often as the plan says, with n_words, weight, block (the pass) and order_key; sort by these two."""
     decided = cut(plan.select("src", "weight", "passes", "last"))
-    rows = docs.withColumn("n_words", _words(docs)).withColumn("src", _source()).join(decided, "src")
+    rows = docs.withColumn("n_words", _words(docs)).withColumn("src", _source())
+    rows = semi_join(rows, decided, "src", "inner")
     more = F.coalesce(_shuffled(seed, F.col("passes")) <= F.col("last"), F.lit(False)).cast("long")
     rows = rows.withColumn("times", F.col("passes") + more).where("times > 0")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
