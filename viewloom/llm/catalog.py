@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewloom.llm import chat, line_dedup, media, mixing, near_dedup, quality, sharding, toxicity
+from viewloom.llm import chat, decontaminate, language_model, line_dedup, media, mixing, near_dedup, quality, sharding, toxicity
 from viewloom.llm.common import table
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -43,12 +47,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_site_lines(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_near_dedup, op4_tiff, op5_toxicity, op6_quality, op7_chat, op8_sharding, op10_line_dedup)}
+    found = (op1_language_model, op2_mixing, op3_near_dedup, op4_tiff, op5_toxicity, op6_quality, op7_chat, op8_sharding, op9_decontaminate)
+    return {f.__name__: f for f in (*found, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
