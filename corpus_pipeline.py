@@ -1,2 +1,82 @@
-"""placeholder"""
-def run(spark, sf_dir): raise NotImplementedError
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding, each over all that the stage before it kept.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
+the columns of `documents`. run() writes each stage's result as Parquet into the shared folder and reads it again,
+so a stage's input is a table and lost executors do not lose it.
+
+Empty input gives an empty result. Null texts have no words and are rejected by the first stage. Rows with the same doc_id are decided
+about together, except that near-duplicates keep one row of those with equal texts. Extra columns are left out.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from viewloom.llm import decontaminate, mixing, near_dedup, quality, sharding, store
+from viewloom.llm.common import cut, semi_join, shared_dir, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised scorer does not reject."""
+    return docs.select(*COLUMNS).where(quality.quality_of(docs) >= quality.KEEP_FROM)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the smallest doc_id; of repeated rows, one."""
+    classes = cut(near_dedup.near_duplicate_classes(docs))
+    gone = cut(classes.where("doc_id <> class_id").select("doc_id").distinct())
+    left = semi_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
+    again = cut(classes.where("doc_id = class_id or doc_id is null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    # rows that share a doc_id: equal rows become one; different texts under one doc_id stay
+    known = F.coalesce(F.col("doc_id"), F.lit(near_dedup.NO_ID))
+    marked = semi_join(left.withColumn("known", known), cut(again.select(F.coalesce("doc_id", F.lit(near_dedup.NO_ID)).alias("known"), F.lit(1).alias("again"))), "known", "left")
+    return marked.where("again is null").select(*COLUMNS).union(marked.where("again = 1").select(*COLUMNS).dropDuplicates())
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a stretch of a benchmark item."""
+    leaks = cut(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return semi_join(docs.select(*COLUMNS), leaks, "doc_id", "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture draws them."""
+    docs = docs.select(*COLUMNS)
+    return mixing.draw(docs, mixing.mixing_plan(docs)).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document along the Hilbert curve."""
+    return sharding.hilbert_shards(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix),
+    ("sharding", shard),
+]
+
+#: The first three stages have no SQL form; tests hold every stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    if path := store._local(folder):
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
