@@ -1 +1,26 @@
-"""viewloom.plans"""
+"""Named queries over the driver's tables. A module registers Spark functions with their DuckDB twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: events as numbered series per user, in SQL.
+SERIES = """series AS (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+         epoch_us(ts) / 1e6 AS t, event_type, value FROM events)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
