@@ -5,61 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The event codes of annotation texts and the labels of the intervals that end there.
-STABLE_START, STABLE_END, BLEED_START, BLEED_END, RESUS_HEX, RESUS_OTHER, RESUS_END, END = "stab+", "stab-", "bleed+", "bleed-", "resus-hextend", "resus-other", "resus-", "end"
-LABEL_OF = {STABLE_END: -1, BLEED_START: 1, BLEED_END: 2, RESUS_HEX: 3, RESUS_OTHER: 4}
-
-
-def annotation_code(text: Column) -> Column:
-    """The event that an annotation text tells of, or null."""
-    has = lambda p: text.rlike(p)
-    stops = "stop|end|complete|finish"
+# Patterns of annotation texts (lower case) and the labels they lead to.
+STABILISATION_START = r"min stabilization period$"
+STABILISATION_END = r"min stabilization period (completed|ended)$"
+BLEED = r"^bleed #[ ]*[1-9]"
+BLEED_NOT = r"^bleed #[ ]*[1-9]( stopped| temporarily stopped)"
+BLEED_END = r"^bleed #[ ]*[1-9] (stopped|temporarily stopped)$"
+RESUSCITATION_START = (
+    r"^((begin |_begin )*resuscitation( with hextend( \(bag #[1-9]\))*)*|cpr|co started|dobutamine started|lr started|"
+    r"(na|sodium) nitrite( started)*|resuscitation resumed)$"
+)
+RESUSCITATION_END = (
+    r"^(co stopped|cpr (completed|stopped)|dobutamine stopped|lr (complete|stopped)|resuscitation (\(hextend\) )*(complete[d]*|stopped)|"
+    r"(na|sodium) nitrite stopped|stop resuscitation|resuscitation paused)$"
+)
+NONE, STABLE, BLEEDING, BETWEEN, HEXTEND, OTHER, AFTER_HEXTEND, AFTER_OTHER, POST = -1, 0, 1, 2, 3, 4, 5, 6, 7
+
+
+def annotation_label(text: Column) -> Column:
+    """The label that an annotation text leads to, or null. An end of resuscitation without "hextend" leads to AFTER_OTHER here."""
+    hextend = F.contains(text, F.lit("hextend"))
     return (
-        F.when(has("stabili[sz]ation") & has(stops), STABLE_END)
-        .when(has("stabili[sz]ation"), STABLE_START)
-        .when(has("bleed") & has(stops), BLEED_END)
-        .when(has("bleed"), BLEED_START)
-        .when(has("resus") & has(stops), RESUS_END)
-        .when(has("resus") & has("hextend"), RESUS_HEX)
-        .when(has("resus"), RESUS_OTHER)
-        .when(has("^\\s*end\\b"), END)
+        F.when(text.rlike(STABILISATION_START), STABLE)
+        .when(text.rlike(STABILISATION_END), NONE)
+        .when(text.rlike(BLEED) & ~text.rlike(BLEED_NOT), BLEEDING)
+        .when(text.rlike(BLEED_END), BETWEEN)
+        .when(text.rlike(RESUSCITATION_START), F.when(hextend, HEXTEND).otherwise(OTHER))
+        .when(text.rlike(RESUSCITATION_END), F.when(hextend, AFTER_HEXTEND).otherwise(AFTER_OTHER))
     )
 
 
 def label_state_machine(annotations: DataFrame, key: str, k: str = "k", text: str = "text") -> DataFrame:
     """key, idx, label: the critical annotations of each key and the label of the interval that ends there.
 
-    A fold over each key's ordered texts. A start of stabilisation is critical with label 0 or resets what came before; resuscitation ends
-    keep the label of its start; the end closes with 5 after hextend resuscitation, 6 after other, 7 otherwise.
+    A fold over each key's ordered texts, which are few (annotations, not samples). A start of stabilisation forgets all before it. An end of
+    resuscitation after hextend leads to AFTER_HEXTEND. Labels beyond BETWEEN before the last bleed become BETWEEN; trailing
+    AFTER labels go; the last annotation closes with POST. Keys without a bleed have no result.
     """
-    rows = annotations.select(key, k, annotation_code(F.col(text)).alias("code")).where("code is not null")
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(k).cast("int").alias("k"), "code"))).alias("s"))
-    start = F.struct(
-        F.array().cast("array<struct<idx:int,label:int>>").alias("found"), F.lit(0).alias("state"), F.lit(0).alias("resus")
-    )
+    rows = annotations.select(key, F.col(k).cast("int").alias("k"), annotation_label(F.col(text)).alias("to"))
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("k", "to")))).alias("s"), F.max("k").alias("end"))
+    empty = F.array().cast("array<struct<idx:int,label:int>>")
+    pair = lambda idx, label: F.array(F.struct(idx.alias("idx"), label.cast("int").alias("label")))
 
     def step(acc, x):
-        add = lambda label: F.concat(acc["found"], F.array(F.struct(x["k"].alias("idx"), label.cast("int").alias("label"))))
-        code, state, resus = x["code"], acc["state"], acc["resus"]
-        ends = F.when(resus == 3, 5).when(resus == 4, 6).otherwise(7)
-        label = (
-            F.when(code == STABLE_END, -1)
-            .when(code == BLEED_START, F.when(state == 2, 2).otherwise(0))
-            .when(code == BLEED_END, 1)
-            .when(code.isin(RESUS_HEX, RESUS_OTHER), F.when(state == 0, 0).otherwise(2))
-            .when(code == RESUS_END, F.when(resus == 3, 3).otherwise(4))
-            .otherwise(ends)
-        )
-        after = F.when(code == BLEED_START, 1).when(code == BLEED_END, 2).when(code == RESUS_HEX, 3).when(code == RESUS_OTHER, 4).otherwise(state)
-        now = F.when(code == RESUS_HEX, 3).when(code == RESUS_OTHER, 4).otherwise(resus)
-        reset = F.array(F.struct(x["k"].alias("idx"), F.lit(-1).alias("label")))
-        return F.struct(
-            F.when(code == STABLE_START, reset).otherwise(add(label)).alias("found"),
-            F.when(code == STABLE_START, 0).otherwise(after).alias("state"),
-            F.when(code == STABLE_START, 0).otherwise(now).alias("resus"),
-        )
-
-    return lists.select(key, F.explode(F.aggregate("s", start, step)["found"]).alias("f")).select(key, "f.idx", "f.label")
+        fresh = x["to"] == STABLE
+        state = F.when(fresh, NONE).otherwise(acc["state"])
+        found = F.when(fresh, empty).otherwise(acc["found"])
+        to = F.when((x["to"] == AFTER_OTHER) & (state == HEXTEND), AFTER_HEXTEND).otherwise(x["to"])
+        return F.struct(F.when(to != state, F.concat(found, pair(x["k"], state))).otherwise(found).alias("found"), to.alias("state"))
+
+    folded = lists.select(key, "end", F.aggregate("s", F.struct(empty.alias("found"), F.lit(NONE).alias("state")), step)["found"].alias("f"))
+    bleeds = F.transform(F.filter("f", lambda x: x["label"] == BLEEDING), lambda x: x["idx"])
+    folded = folded.withColumn("bleed", F.array_max(bleeds)).where("bleed is not null")
+    calm = F.transform("f", lambda x: F.struct(x["idx"].alias("idx"), F.when((x["idx"] < F.col("bleed")) & (x["label"] > BETWEEN), BETWEEN).otherwise(x["label"]).alias("label")))
+    folded = folded.withColumn("f", calm)
+    real = F.array_max(F.transform(F.filter("f", lambda x: ~x["label"].isin(AFTER_HEXTEND, AFTER_OTHER)), lambda x: x["idx"]))
+    folded = folded.withColumn("last", real).withColumn("f", F.filter("f", lambda x: x["idx"] <= F.col("last")))
+    closed = F.when(F.col("last") < F.col("end"), F.concat("f", pair(F.col("end"), F.lit(POST)))).otherwise(F.col("f"))
+    return folded.select(key, F.explode(closed).alias("x")).select(key, "x.idx", "x.label")
 
 
 def forward_label(series: DataFrame, keys: list[str], is_critical: Column, label: Column, rn: str = "rn", out: str = "label") -> DataFrame:

@@ -74,8 +74,8 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, k
 
 def entropy(rows: DataFrame, columns: list[str], name: str = "bits") -> DataFrame:
     """H of the joint states of `columns`: log2 N - sum(c log2 c) / N over the state counts c."""
-    counts = rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    return counts.agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias(name))
+    counts = rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    return counts.agg((F.log2(F.sum("_c")) - F.sum(F.col("_c") * F.log2("_c")) / F.sum("_c")).alias(name))
 
 
 def _joined(parts: list[DataFrame]) -> DataFrame:

@@ -205,26 +205,29 @@ def sync_pipeline(spark, d):
     )
 
 
+#: An annotation text for each type of event, so that the series of a user tells a story to the state machine.
+STORY = {"signup": "15 min stabilization period", "error": "bleed #1", "view": "bleed #1 stopped", "click": "resuscitation with hextend", "purchase": "resuscitation complete"}
+_TEXT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STORY.items()) + " END"
+
+
+def _story(rows):
+    return rows.withColumn("text", F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STORY.items())))
+
+
 @query(
-    r"""SELECT doc_id, CASE WHEN regexp_matches(t, 'stabili[sz]ation') AND regexp_matches(t, 'stop|end|complete|finish') THEN 'stab-'
-  WHEN regexp_matches(t, 'stabili[sz]ation') THEN 'stab+' WHEN regexp_matches(t, 'bleed') AND regexp_matches(t, 'stop|end|complete|finish') THEN 'bleed-'
-  WHEN regexp_matches(t, 'bleed') THEN 'bleed+' WHEN regexp_matches(t, 'resus') AND regexp_matches(t, 'stop|end|complete|finish') THEN 'resus-'
-  WHEN regexp_matches(t, 'resus') AND regexp_matches(t, 'hextend') THEN 'resus-hextend' WHEN regexp_matches(t, 'resus') THEN 'resus-other'
-  WHEN regexp_matches(t, '^\s*end\b') THEN 'end' END AS code FROM (SELECT doc_id, lower(text) AS t FROM documents)"""
+    rf"""SELECT event_id, CASE WHEN regexp_matches(t, '{L.STABILISATION_START}') THEN 0 WHEN regexp_matches(t, '{L.STABILISATION_END}') THEN -1
+  WHEN regexp_matches(t, '{L.BLEED}') AND NOT regexp_matches(t, '{L.BLEED_NOT}') THEN 1 WHEN regexp_matches(t, '{L.BLEED_END}') THEN 2
+  WHEN regexp_matches(t, '{L.RESUSCITATION_START}') THEN CASE WHEN contains(t, 'hextend') THEN 3 ELSE 4 END
+  WHEN regexp_matches(t, '{L.RESUSCITATION_END}') THEN CASE WHEN contains(t, 'hextend') THEN 5 ELSE 6 END END AS label
+FROM (SELECT event_id, {_TEXT} AS t FROM events)"""
 )
 def annotation_events(spark, d):
-    return table(spark, d, "documents").select("doc_id", L.annotation_code(F.lower("text")).alias("code"))
-
-
-#: An annotation text for each type of event, so that the series of a user tells a story to the state machine.
-STORY = {"signup": "15 min stabilization period", "error": "bleed #1", "view": "bleed #1 stopped", "click": "resuscitation with hextend", "purchase": "resuscitation complete"}
+    return _story(table(spark, d, "events")).select("event_id", L.annotation_label(F.col("text")).alias("label"))
 
 
 @query()
 def label_state_machine(spark, d):
-    text = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STORY.items()))
-    rows = _series(spark, d).select("user_id", (F.col("rn") - 1).alias("k"), text.alias("text"))
-    return L.label_state_machine(rows, "user_id")
+    return L.label_state_machine(_story(_series(spark, d)).select("user_id", (F.col("rn") - 1).alias("k"), "text"), "user_id")
 
 
 @query()
