@@ -46,8 +46,15 @@ def arrow_rows(spark: SparkSession, most: int):
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """The size Spark itself plans with (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of what `df` reads, as Spark plans with it (file sizes for scans); no job runs.
+
+    Where Spark does not know it (a frame made from an RDD or a checkpoint), 16 MB a partition.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(n >= 1 << 60 for n in sizes):
+        return df.rdd.getNumPartitions() << 24
+    return sum(sizes)
 
 
 def pieces(df: DataFrame, each: int, least: int = 8) -> int:
