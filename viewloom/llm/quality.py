@@ -101,11 +101,11 @@ def votes(found: dict[str, np.ndarray]) -> np.ndarray:
 
 def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good by pattern, P(vote | class) as (labeller, class, vote + 1), share of good. A pattern is a string of g, b and -."""
-    v = np.array([["-bg".index(c) for c in p] for p in patterns], dtype=int).reshape(len(patterns), -1)
+    v = np.array([["-bg".index(c) for c in p] for p in patterns])
     good, bad = (v == 2).sum(axis=1), (v == 1).sum(axis=1)
-    posterior = np.where(bad >= 1, 0.5 / (1 + bad) if len(bad) else 0.5, 0.95)
-    posterior = np.where(good + bad == 0, 0.5, posterior)
-    rates, share = np.full((v.shape[1] if v.size else 0, 2, 3), 1 / 3), 0.5
+    # a start from which good means good: a single bad vote speaks against a text
+    posterior = np.where(bad > 0, 0.5 / (1 + bad), np.where(good > 0, 0.95, 0.5))
+    rates, share = np.full((v.shape[1], 2, 3), 1 / 3), 0.5
     total = max(counts.sum(), 1)
     for _ in range(rounds):
         share = float(np.clip((posterior * counts).sum() / total, 1e-4, 1 - 1e-4))
@@ -128,6 +128,8 @@ def _pattern(text: pd.Series) -> pd.Series:
 def label_model(docs: DataFrame) -> dict[str, float]:
     """The posterior of each vote pattern among all documents."""
     rows = docs.select(_pattern("text").alias("pattern")).groupBy("pattern").count().orderBy("pattern").collect()
+    if not rows:
+        return {}
     posterior, _, _ = expectation_maximisation([r.pattern for r in rows], np.array([r["count"] for r in rows], float))
     return {r.pattern: float(p) for r, p in zip(rows, posterior, strict=True)}
 

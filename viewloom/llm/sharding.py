@@ -110,3 +110,10 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] =
         F.lit(None).cast("int").alias("grown_shard"),
         "curve",
     )
+
+
+def write_by_curve(docs: DataFrame, path: str, n_files: int = 40, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = BITS) -> None:
+    """The documents themselves as `n_files` Parquet files along the curve, so that readers prune files by any of the dims."""
+    sized = docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"))
+    ordered = hilbert_order(sized, list(dims), bits).repartitionByRange(n_files, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    ordered.drop("curve").write.mode("overwrite").parquet(path)
