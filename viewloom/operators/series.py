@@ -1,7 +1,7 @@
 """Ordered series: gap segments, count windows, smoothing, differences, embeddings and lags.
 
-A series is (key, rn, t, value): windows are partitioned by key (and segment), never global. A series with a large share of
-all rows is one partition of a window; `salted_segments` deals such series by segment where segments are independent.
+A series is (key, rn, t, value): windows are partitioned by key (and segment), never global. Order inside one series is what these
+operators are about, so one series is one partition of a window; sorts spill, and no series is collected into Python.
 """
 
 from __future__ import annotations
