@@ -23,6 +23,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,6 +186,9 @@ def _count_pairs(docs: DataFrame, shards: int, hot: np.ndarray, folder: str) ->
             np.concatenate((0 * one, one)),
         )
         out = _blob_rows(_shard(word, shards), [word, *(x.astype(np.uint32) for x in stats)], ["words", *STATS[1:]])
+        # mostly small numbers: packed, since the checkpoint does not compress
+        packed = [pa.array([zlib.compress(b, 1) for b in out.column(n).to_pylist()], pa.binary()) for n in STATS[1:]]
+        out = pa.RecordBatch.from_arrays([*out.columns[:2], *packed], names=out.schema.names)
         ties = {f"c{k}": pa.array([int((counts == k).sum())] + [0] * (out.num_rows - 1), pa.int64()) for k in (1, 2, 3, 4)}
         return pa.table({n: out.column(i) for i, n in enumerate(out.schema.names)} | ties)
 
@@ -204,7 +208,7 @@ def _merge_words(partial: DataFrame, vocabulary: DataFrame, folder: str) -> Data
         def column(name: str, dtype) -> np.ndarray:
             """A row that does not have it counts as zeros."""
             blobs = zip(rows[name].to_pylist(), sizes, strict=True)
-            return np.concatenate([np.zeros(n, np.int64) if b is None else np.frombuffer(b, dtype).astype(np.int64) for b, n in blobs])
+            return np.concatenate([np.zeros(n, np.int64) if b is None else np.frombuffer(zlib.decompress(b) if name != "seen" else b, dtype).astype(np.int64) for b, n in blobs])
 
         words, *stats = _merged(words, column("seen", np.int64), *(column(n, np.uint32) for n in STATS[1:]))
         store.put(folder, f"words-{rows['shard'][0].as_py()}", [words, *(x.astype(np.uint32) if x.max(initial=0) < 2**32 else x for x in stats)])
