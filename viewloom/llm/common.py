@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from contextlib import contextmanager
 
@@ -33,6 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows in a partition of a compact frame.
+COMPACT_ROWS = 100_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """cut(), then as many partitions as the counted rows need: every task of the next shuffle leaves files, however few rows it has."""
+    done = cut(df)
+    return done.coalesce(max(8, -(-done.count() // COMPACT_ROWS)))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames that are gone: it does so only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int):
     """Arrow batches of at most so many rows for what runs inside."""
