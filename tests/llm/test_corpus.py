@@ -198,6 +198,18 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, crowded):
     assert got == brute_classes(rows)
 
 
+def classes_of(spark, texts):
+    got = near_dedup.near_duplicate_classes(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()
+    return {r.doc_id: r.class_id for r in got}
+
+
+def test_pairs_in_a_large_family_just_below_the_threshold(spark):
+    # 1200 texts of similarity 0.77 (154 of 154 + 2 * 23 shingles), of which 150 pairs share five shingles more: 159 / 195 = 0.815
+    shared = [f"s{i}" for i in range(158)]
+    texts = [" ".join(shared + [f"p{k // 2 if k < 300 else k}x{i}" for i in range(5)] + [f"o{k}x{i}" for i in range(18)]) for k in range(1200)]
+    assert classes_of(spark, texts) == {k: k - k % 2 if k < 300 else k for k in range(1200)}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = near_dedup.near_duplicate_classes(odd).collect()
     assert len(got) == len(ODD)

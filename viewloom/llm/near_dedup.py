@@ -7,11 +7,10 @@ count. A coordinate of the signature keeps its earliest dart, so two texts agree
 a probability equal to their similarity.
 
 Texts with the same shingles and counts share a node. Nodes meet in bands of ROWS coordinates. In a band's bucket the nodes
-are compared with a leader, never with one another; what is linked becomes one component. This is done twice, the second
-time with one node per component and bucket. In the last round what is left of a bucket is compared with its first node and with a
-neighbour, in an order that differs from bucket to bucket; crowded buckets are first split by pairs of bands. Candidates with
-nearly agreeing signatures are verified exactly on their shingles. Two texts of similarity 0.8 share no band with a
-probability of 2e-6.
+are first compared with a leader only; what is linked becomes one component. This is done twice, the second
+time with one node per component and bucket. In the last round all nodes left in a bucket whose components differ are compared,
+crowded buckets in salted blocks. Candidates with nearly agreeing signatures are verified exactly on their shingles. Two texts
+of similarity 0.8 share no band with a probability of 2e-6.
 
 Null texts and texts without words are copies of one another. Repeated rows are copies. A null doc_id gets the class of its
 text; a class id is the smallest doc_id of the class. Empty tables give empty results.
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -34,8 +33,10 @@ from viewloom.llm.components import connected
 
 BANDS, ROWS = 25, 4
 COORDINATES = BANDS * ROWS
-#: A crowded bucket has more components than this in the last round.
-CROWDED = 8
+#: A bucket of more nodes is compared in blocks of about this size in the last round.
+CROWDED = 1024
+#: Nodes of either side in a piece of exact work, whose shingle sets a task holds at once.
+PIECE = 256
 #: Four standard errors below a similarity of 0.8: candidates whose signatures agree less are not verified.
 SLACK = 0.16
 #: Stands for a null doc_id inside the operator.
@@ -199,10 +200,13 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _band_keys() -> list[Column]:
+    return [F.xxhash64(F.lit(k), F.substring("signature", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)]
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
     """bucket, node: the band keys of each signature."""
-    keys = [F.xxhash64(F.lit(k), F.substring("signature", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)]
-    return nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    return nodes.select("node", F.explode(F.array(*_band_keys())).alias("bucket"))
 
 
 def _buckets(bands: DataFrame) -> DataFrame:
@@ -231,6 +235,13 @@ def _collapsed(buckets: DataFrame, labels: DataFrame, order: Column) -> DataFram
     return one.select("bucket", "x.node", "x.degree")
 
 
+def _sets_of(used: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, elements: the shingle sets of the nodes in `used`."""
+    used = compact(nodes.join(used, "node", "left_semi").select("node", "key"))
+    sets = _shingle_sets(semi_join(docs, used.select("key"), "key"), words).join(used, "node", "left_semi")
+    return cut(sets.dropDuplicates(["node"]))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The links (a, b) among candidate pairs: those whose shingles are similar enough, looked at where the signatures nearly are."""
     signed = nodes.select("node", "signature")
@@ -238,29 +249,156 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, l
     near = near.join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     near = compact(near.where(_agreement("sa", "sb") >= least - SLACK).select("a", "b"))
     used = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    used = compact(nodes.join(used, "node", "left_semi").select("node", "key"))
-    sets = _shingle_sets(semi_join(docs, used.select("key"), "key"), words).join(used, "node", "left_semi")
-    sets = cut(sets.dropDuplicates(["node"]))
+    sets = _sets_of(used, nodes, docs, words)
     full = near.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
     full = full.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     with arrow_rows(docs.sparkSession, 256):  # shingle sets of long texts are large
         return compact(full.where(_jaccard("ea", "eb") >= least).select("a", "b"))
 
 
-def _last_pairs(one: DataFrame) -> DataFrame:
-    """Pairs between the nodes of a bucket (one per component): with its first node and with a neighbour.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """task, side and the rows (bucket, node, component), dealt so that any two nodes of a bucket with different components meet in a task.
 
-    Crowded buckets are split first: two of them make a finer bucket for the nodes they share.
+    A bucket of up to CROWDED nodes is one task. Larger ones are cut into salted blocks: each block of the bucket's largest component
+    meets each block of the others, and the blocks of the others meet one another. Side 2 meets all, sides 0 and 1 each other.
+    """
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("components"))
+    sizes = cut(sizes.where("components > 1").select("bucket", "total", F.when(F.col("total") > CROWDED, F.col("top.component")).alias("largest"), "top.n"))
+    placed = semi_join(rows, sizes, "bucket", "inner").withColumn("large", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)))
+    placed = placed.withColumn("m", F.when(F.col("largest").isNull(), 0).otherwise(F.ceil(F.col("n") / CROWDED)))
+    placed = placed.withColumn("k", F.when(F.col("largest").isNull(), 1).otherwise(F.ceil((F.col("total") - F.col("n")) / CROWDED)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("large"), F.col("m")).otherwise(F.col("k"))))
+    one = "named_struct('kind', {}, 'i', {}, 'j', {}, 'side', {})"
+    large = "transform(sequence(0, k - 1), x -> " + one.format(0, "own", "x", 0) + ")"
+    cross = "transform(sequence(0, m - 1), x -> " + one.format(0, "x", "own", 1) + ")"
+    inner = "transform(sequence(0, k - 1), x -> " + one.format(1, "least(own, x)", "greatest(own, x)", "if(own = x, 2, if(own < x, 0, 1))") + ")"
+    meets = F.expr(f"CASE WHEN large THEN {large} WHEN m > 0 THEN concat({cross}, {inner}) ELSE {inner} END")
+    dealt = placed.select("bucket", "node", "component", F.explode(meets).alias("t"))
+    return dealt.select(F.xxhash64("bucket", "t.kind", "t.i", "t.j").alias("task"), F.col("t.side").alias("side"), "bucket", "node", "component")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        start = int(np.searchsorted(keys, keys[-1]))
+        if start or (held and held[-1].column(0)[-1].as_py() != keys[0]):
+            if start:
+                held.append(batch.slice(0, start))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_in_task(task: np.ndarray, side: np.ndarray, band: np.ndarray, component: np.ndarray, signed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of a task with different components whose signatures agree enough; a pair counts in the first band it shares."""
+    first, second, step, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, np.arange(len(task))
+    while True:
+        step += 1
+        rows = rows[rows + step < len(task)]
+        rows = rows[task[rows] == task[rows + step]]
+        if not len(rows):
+            return np.concatenate(first), np.concatenate(second)
+        a = rows[(component[rows] != component[rows + step]) & ((side[rows] == 2) | (side[rows] != side[rows + step]))]
+        same = signed[a] == signed[a + step]
+        enough = np.flatnonzero(same.sum(axis=1) >= least * COORDINATES)
+        bands = same[enough].reshape(-1, BANDS, ROWS).all(axis=2)
+        a = a[enough[bands.argmax(axis=1) == band[a[enough]]]]
+        first.append(a)
+        second.append(a + step)
+
+
+def _candidates(rows: DataFrame, least: float) -> DataFrame:
+    """work, node, component, number, partners: the nodes of each piece of work, numbered, and the numbers of those to verify a node against.
+
+    `rows` has task, side, band, node, component, signature. A piece of work has at most 2 * PIECE nodes, and no row is made for a pair.
     """
-    sizes = one.groupBy("bucket").count()
-    small = one.join(sizes.where(f"count > 1 and count <= {CROWDED}"), "bucket", "left_semi").select("bucket", "node")
-    crowded = compact(one.join(sizes.where(f"count > {CROWDED}"), "bucket", "left_semi").select("bucket", "node"))
-    both = crowded.join(crowded.withColumnRenamed("bucket", "other"), "node").where("bucket < other")
-    fine = small.union(both.select(F.xxhash64("bucket", "other").alias("bucket"), "node"))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket"))
-    chained = fine.select(F.col("node").alias("a"), F.lag("node").over(order).alias("b"), F.first("node").over(order).alias("c"))
-    pairs = chained.select("a", "b").union(chained.select("a", F.col("c").alias("b"))).where("b is not null and a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    schema = pa.schema([("work", pa.int64()), ("node", pa.binary()), ("component", pa.binary()), ("number", pa.int32()), ("partners", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches):
+            task, side, band = (part.column(i).to_numpy() for i in range(3))
+            signed = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            component = np.unique(np.array(part.column(4).to_pylist(), object), return_inverse=True)[1]
+            a, b = _near_in_task(task, side, band, component, signed, least)
+            if not len(a):
+                continue
+            start = np.searchsorted(task, task)
+            piece = ((a - start[a]) // PIECE << 16 | (b - start[b]) // PIECE).astype(np.uint64)
+            work = kernels.mix(task[a].view(np.uint64) ^ kernels.mix(piece + np.uint64(1))).view(np.int64)
+            order = np.lexsort((b, a, work))
+            work, a, b = work[order], a[order], b[order]
+            heads = np.flatnonzero(np.concatenate(([True], (work[1:] != work[:-1]) | (a[1:] != a[:-1]))))
+            partners = [x.astype(np.int32).tobytes() for x in np.split(b, heads[1:])]
+            led = {(w, n): p for w, n, p in zip(work[heads].tolist(), a[heads].tolist(), partners, strict=True)}
+            for w, n in zip(work.tolist(), b.tolist(), strict=True):
+                led.setdefault((w, n), b"")
+            at = pa.array([n for _, n in led])
+            nodes, components = (pa.array(part.column(i).to_pylist(), pa.binary()).take(at) for i in (3, 4))
+            columns = [pa.array([w for w, _ in led], pa.int64()), nodes, components, at.cast(pa.int32()), pa.array(list(led.values()), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    placed = rows.select("task", "side", "band", "node", "component", "signature").repartition("task").sortWithinPartitions("task")
+    return placed.mapInArrow(run, "work long, node binary, component binary, number int, partners binary")
+
+
+def _exact_links(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join different components, of pieces of work (work, node, component, number, partners, elements)."""
+
+    def links(part: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        nodes, components, numbers, partners, elements = (part.column(i).to_pylist() for i in range(1, 6))
+        sets = [np.frombuffer(e, np.uint64) for e in elements]
+        ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([len(x) for x in sets])[:-1])
+        marks, place, up = np.zeros(sum(map(len, sets)), bool), {n: k for k, n in enumerate(numbers)}, {}
+
+        def top(c: bytes) -> bytes:
+            while (d := up.get(c, c)) != c:
+                up[c] = up.get(d, d)
+                c = d
+            return c
+
+        for k, near in enumerate(partners):
+            if not near:
+                continue
+            marks[ids[k]] = True
+            for other in np.frombuffer(near, np.int32).tolist():
+                o = place[other]
+                x, y = top(components[k]), top(components[o])
+                if x == y:
+                    continue
+                shared = int(np.count_nonzero(marks[ids[o]]))
+                if shared / (len(ids[k]) + len(ids[o]) - shared) >= least:
+                    up[x] = y
+                    yield nodes[k], nodes[o]
+            marks[ids[k]] = False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches):
+            works = part.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], works[1:] != works[:-1])))
+            found = [x for s, e in zip(starts, [*starts[1:], len(works)], strict=True) for x in links(part.slice(s, e - s))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    placed = rows.select("work", "node", "component", "number", "partners", "elements").repartition("work").sortWithinPartitions("work")
+    return placed.mapInArrow(run, "a binary, b binary")
+
+
+def _met(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The links (a, b) between different components among all nodes that share a bucket."""
+    labelled = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    rows = _dealt(compact(labelled)).join(nodes.select("node", "signature"), "node")
+    band = F.array_position(F.array(*_band_keys()), F.col("bucket")).cast("int") - 1
+    work = compact(_candidates(rows.withColumn("band", band), least - SLACK))
+    full = work.join(_sets_of(work.select("node").distinct(), nodes, docs, words), "node")
+    with arrow_rows(docs.sparkSession, 256):  # shingle sets of long texts are large
+        return compact(_exact_links(full, least))
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -272,13 +410,11 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.8)
     links = labels = None
     for last in (False, False, True):
         sweep(docs.sparkSession)
-        if labels is None:
-            pairs = _led(buckets)
-        elif last:
-            pairs = _last_pairs(compact(_collapsed(buckets, labels, F.xxhash64("bucket", "node"))))
+        if last:
+            found = _met(_collapsed(buckets, labels, F.xxhash64("bucket", "node")), labels, nodes, keyed, words, least)
         else:
-            pairs = _led(_collapsed(buckets, labels, -F.col("degree")))
-        found = _verified(pairs, nodes, keyed, words, least)
+            led = _led(buckets if labels is None else _collapsed(buckets, labels, -F.col("degree")))
+            found = _verified(led, nodes, keyed, words, least)
         links = found if links is None else links.union(found)
         labels = connected(links)
     placed = sketches.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
