@@ -210,6 +210,20 @@ def test_pairs_in_a_large_family_just_below_the_threshold(spark):
     assert classes_of(spark, texts) == {k: k - k % 2 if k < 300 else k for k in range(1200)}
 
 
+def test_outsiders_of_a_group_meet_its_members(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWDED", 64)
+    # 400 members at 0.91 to one another; each outsider is at 0.82 to one member and below 0.78 to the base, the other members and outsiders
+    rng, base, texts = random.Random(7), [f"b{i}" for i in range(200)], []
+    for k in range(400):
+        texts.append(base + [f"t{k}x{i}" for i in range(10)])
+    for k in range(60):
+        own = list(texts[k])
+        for at in rng.sample(range(5, 195, 5), 4):
+            own[at] = f"n{k}x{at}"
+        texts.append(own)
+    assert set(classes_of(spark, [" ".join(base), *map(" ".join, texts)]).values()) == {0}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = near_dedup.near_duplicate_classes(odd).collect()
     assert len(got) == len(ODD)

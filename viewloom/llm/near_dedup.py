@@ -8,8 +8,8 @@ a probability equal to their similarity.
 
 Texts with the same shingles and counts share a node. Nodes meet in bands of ROWS coordinates. In a band's bucket the nodes
 are first compared with a leader only; what is linked becomes one component. This is done twice, the second
-time with one node per component and bucket. In the last round all nodes left in a bucket whose components differ are compared,
-crowded buckets in salted blocks. Candidates with nearly agreeing signatures are verified exactly on their shingles. Two texts
+time with one node per component and bucket. In the last round all nodes of a bucket whose components differ are compared
+(components only save what is linked already), crowded buckets in salted blocks. Candidates with nearly agreeing signatures are verified exactly on their shingles. Two texts
 of similarity 0.8 share no band with a probability of 2e-6.
 
 Null texts and texts without words are copies of one another. Repeated rows are copies. A null doc_id gets the class of its
@@ -228,10 +228,10 @@ def _led(grouped: DataFrame) -> DataFrame:
     return shared.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
-def _collapsed(buckets: DataFrame, labels: DataFrame, order: Column) -> DataFrame:
-    """bucket, node, degree: one node per component and bucket, the first in the order."""
+def _collapsed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, degree: one node per component and bucket, the one of the highest degree."""
     labelled = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    one = labelled.groupBy("bucket", "component").agg(F.min(F.struct(order.alias("p"), "node", "degree")).alias("x"))
+    one = labelled.groupBy("bucket", "component").agg(F.min(F.struct((-F.col("degree")).alias("p"), "node", "degree")).alias("x"))
     return one.select("bucket", "x.node", "x.degree")
 
 
@@ -411,9 +411,9 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.8)
     for last in (False, False, True):
         sweep(docs.sparkSession)
         if last:
-            found = _met(_collapsed(buckets, labels, F.xxhash64("bucket", "node")), labels, nodes, keyed, words, least)
+            found = _met(buckets, labels, nodes, keyed, words, least)
         else:
-            led = _led(buckets if labels is None else _collapsed(buckets, labels, -F.col("degree")))
+            led = _led(buckets if labels is None else _collapsed(buckets, labels))
             found = _verified(led, nodes, keyed, words, least)
         links = found if links is None else links.union(found)
         labels = connected(links)
