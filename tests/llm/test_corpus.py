@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -284,6 +285,14 @@ def test_media_columns(spark, odd, none):
     assert media.tiff_pages(media.texts_as_tiff(none)).count() == 0
 
 
+def test_middle_pages_are_in_the_feature(spark):
+    page = media.PAGE_ROWS * media.UNIT
+    texts = ["a" * page + middle * page + "c" * page for middle in "bdb"]
+    got = {r.doc_id: r.feature for r in media.payload_digests(media.tiff_pages(media.texts_as_tiff(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])))).collect()}
+    assert got[0] != got[1] and got[0] == got[2]
+    assert json.loads(got[1])["mean"] == [round((97 + 100 + 99) / 3, 3)] * 3
+
+
 def test_broken_files_give_an_error_row(spark):
     good = media.text_to_tiff("hello")
     files = spark.createDataFrame([(1, good), (2, b"not a tiff"), (3, good[:40]), (4, None), (5, b"")], "doc_id long, media binary")

@@ -102,6 +102,24 @@ def page_features(pixels: np.ndarray) -> dict:
     return {"mean": [round(float(x), 3) for x in pixels.mean(axis=(0, 1))], "hash": f"{int(''.join(map(str, bits)), 2):016x}"}
 
 
+class _Fold:
+    """What all pages of a file say together; holds no page."""
+
+    def __init__(self) -> None:
+        self.pages, self.pixels, self.sums, self.digest, self.first, self.last = 0, 0, 0, hashlib.sha256(), None, None
+
+    def add(self, pixels: np.ndarray) -> None:
+        sums = pixels.sum(axis=(0, 1), dtype=np.int64)
+        self.last = page_features(pixels)
+        self.first = self.first or self.last
+        self.pages, self.pixels, self.sums = self.pages + 1, self.pixels + pixels.shape[0] * pixels.shape[1], self.sums + sums
+        self.digest.update(f"{sums.tolist()}{self.last['hash']}".encode())
+
+    def whole(self) -> dict:
+        """Sample means over the pixels of all pages, and a digest of every page's sample sums and hash."""
+        return {"mean": [round(float(x) / self.pixels, 3) for x in self.sums], "digest": self.digest.hexdigest()[:32]}
+
+
 def payload_digests(pages: DataFrame) -> DataFrame:
     """One row per file of texts_as_tiff, from its pages as tiff_pages gives them (a file's pages are neighbours and stay so)."""
     schema = pa.schema(
@@ -113,10 +131,10 @@ def payload_digests(pages: DataFrame) -> DataFrame:
         now = None
 
         def done():
-            first, digest, size, tail, features = now
-            feature = json.dumps({"pages": len(features), "layout": first["layout"], "first": features[0], "last": features[-1]}, separators=(",", ":"))
+            first, digest, size, tail, fold = now
+            feature = json.dumps({"pages": fold.pages, "layout": first["layout"], "first": fold.first, "last": fold.last} | fold.whole(), separators=(",", ":"))
             n_bytes = int(first["description"].partition("=")[2])
-            return first["doc_id"], n_bytes, size, digest.hexdigest(), zlib.crc32(tail), first["media_bytes"], first["media_sha256"], feature, len(features), first["codec"]
+            return first["doc_id"], n_bytes, size, digest.hexdigest(), zlib.crc32(tail), first["media_bytes"], first["media_sha256"], feature, fold.pages, first["codec"]
 
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns)]
@@ -127,19 +145,19 @@ def payload_digests(pages: DataFrame) -> DataFrame:
                 if row["page"] == 0:
                     if now:
                         yield done()
-                    now = [row, hashlib.sha256(), 0, b"", []]
+                    now = [row, hashlib.sha256(), 0, b"", _Fold()]
                 pixels = row["pixels"]
                 now[1].update(pixels)
                 now[2] += len(pixels)
                 now[3] = pixels[-16:]
-                now[4].append(page_features(np.frombuffer(pixels, np.uint8).reshape(row["height"], row["width"], row["samples"])))
+                now[4].add(np.frombuffer(pixels, np.uint8).reshape(row["height"], row["width"], row["samples"]))
                 if row["page"] == 0:
                     row["pixels"] = None
         if now:
             yield done()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(rows(batches), schema, lambda r: 400)
+        return _batches(rows(batches), schema, lambda r: 500)
 
     return pages.select(*PAGES.names).mapInArrow(
         run,
