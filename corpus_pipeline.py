@@ -4,8 +4,8 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir) and return
 the columns of `documents`. run() writes each stage's result as Parquet into the shared folder and reads it again,
 so a stage's input is a table and lost executors do not lose it.
 
-Empty input gives an empty result. Null texts have no words and are rejected by the first stage. Rows with the same doc_id are decided
-about together, except that near-duplicates keep one row of those with equal texts. Extra columns are left out.
+Empty input gives an empty result. Null texts have no words and are rejected by the first stage. Rows are told apart
+by id and text: a null id or an id on two texts is no reason to keep or drop a row. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,24 +28,35 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(*COLUMNS).where(quality.quality_of(docs) >= quality.KEEP_FROM)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns and `row_key`, a hash of id and text: stages decide by it, as ids may be null or stand on different texts."""
+    return docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("row_key"))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest doc_id; of repeated rows, one."""
-    classes = cut(near_dedup.near_duplicate_classes(docs))
-    gone = cut(classes.where("doc_id <> class_id").select("doc_id").distinct())
-    left = semi_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
-    again = cut(classes.where("doc_id = class_id or doc_id is null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each class of near-duplicates: the one with the smallest doc_id (nulls last); of repeated rows, one."""
+    docs = keyed(docs)
+    classes = near_dedup.near_duplicate_classes(docs.select(F.col("row_key").alias("doc_id"), "text"))
+    classes = classes.groupBy(F.col("doc_id").alias("row_key"), "class_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(classes.join(docs.select("row_key", "doc_id").distinct(), "row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
+    firsts = placed.groupBy("class_id").agg(first.alias("first")).select("class_id", F.col("first.row_key").alias("kept"))
+    placed = placed.join(firsts, "class_id")
+    left = semi_join(docs, cut(placed.where("row_key <> kept").select("row_key")), "row_key", "left_anti")
+    again = cut(placed.where("row_key = kept and n > 1").select("row_key", F.lit(1).alias("again")))
     if again.isEmpty():
-        return left
-    # rows that share a doc_id: equal rows become one; different texts under one doc_id stay
-    known = F.coalesce(F.col("doc_id"), F.lit(near_dedup.NO_ID))
-    marked = semi_join(left.withColumn("known", known), cut(again.select(F.coalesce("doc_id", F.lit(near_dedup.NO_ID)).alias("known"), F.lit(1).alias("again"))), "known", "left")
-    return marked.where("again is null").select(*COLUMNS).union(marked.where("again = 1").select(*COLUMNS).dropDuplicates())
+        return left.select(*COLUMNS)
+    marked = semi_join(left, again, "row_key", "left")
+    one = marked.where("again = 1").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return marked.where("again is null").select(*COLUMNS).union(one)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a stretch of a benchmark item."""
-    leaks = cut(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return semi_join(docs.select(*COLUMNS), leaks, "doc_id", "left_anti")
+    docs = keyed(docs)
+    rows = docs.select(F.col("row_key").alias("doc_id"), "text")
+    leaks = cut(decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key")).distinct())
+    return semi_join(docs, leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,24 @@ def test_repeated_rows_leave_one(spark):
     texts = [r.text for r in kept]
     assert sum(r.doc_id == 1 for r in kept) == 1 and not any(r.doc_id == 2 for r in kept) and sum(r.doc_id == 3 for r in kept) == 1
     assert texts.count(rows[5][1]) == 1
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_are_decided_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words[:59] + ["x"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(3, " ".join(words)), (None, " ".join(words)), (None, near), (7, near), (7, other)]  # 7: a near copy of 3, and a text of its own
+    nameless = " ".join(f"u{i}" for i in range(60))
+    rows += [(None, nameless), (None, nameless + " x")]  # two near copies, both without an id
+    kept = [(r.doc_id, r.text) for r in P.keep_one_of_each(spark, spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], DOCS), SMALL).collect()]
+    assert sorted(x for x in kept if x[0]) == [rows[0], rows[4]]
+    assert [k for k, _ in kept].count(None) == 1 and len(kept) == 3
+
+
+def test_leaks_without_an_id_are_dropped(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, item), (7, f"before {item} after"), (7, "a text that leaks nothing"), (None, "another that leaks nothing")]
+    kept = P.drop_leaks(spark, spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], DOCS), SMALL).collect()
+    assert sorted(r.text for r in kept) == [rows[2][1], rows[3][1]]
