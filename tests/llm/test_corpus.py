@@ -285,6 +285,16 @@ def test_media_columns(spark, odd, none):
     assert media.tiff_pages(media.texts_as_tiff(none)).count() == 0
 
 
+def test_long_texts_go_round_the_codecs():
+    seen = set()
+    for k in range(12):
+        text = f"{k} " + " ".join(str(i * i) for i in range(36000))
+        pages = list(tiff.read_tiff(media.text_to_tiff(text)))
+        seen.add(pages[0].codec)
+        assert len(pages) > 1 and b"".join(p.pixels.tobytes() for p in pages).rstrip(b" ") == text.encode()
+    assert len(seen) == 3
+
+
 def test_middle_pages_are_in_the_feature(spark):
     page = media.PAGE_ROWS * media.UNIT
     texts = ["a" * page + middle * page + "c" * page for middle in "bdb"]

@@ -21,8 +21,6 @@ from viewloom.llm.tiff import TiffError, read_tiff, write_tiff
 WIDE, SAMPLES = 64, 3
 UNIT = WIDE * SAMPLES
 PAGE_ROWS = 1024
-#: Payloads up to this size go round the codecs, longer ones are deflated.
-SMALL = 1536
 BATCH_BYTES = 1 << 22
 
 PAGES = pa.schema(
@@ -53,7 +51,7 @@ def text_to_tiff(text: str | None) -> bytes:
     payload = raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b" ")
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDE, SAMPLES)
     turn = zlib.crc32(payload)
-    codec = ("lzw", "packbits", "deflate")[turn // 2 % 3] if len(payload) <= SMALL else "deflate"
+    codec = ("lzw", "packbits", "deflate")[turn // 2 % 3]
     pages = [pixels[i : i + PAGE_ROWS] for i in range(0, len(pixels), PAGE_ROWS)]
     return write_tiff(pages, codec, tile=64 * (turn % 2), description=f"bytes={len(raw)}")
 
