@@ -116,7 +116,15 @@ def test_language_model_odd_rows(odd, none):
     assert language_model.score_documents(none).count() == 0
 
 
-def test_windows_and_hot_words_do_not_change_scores(spark, monkeypatch):
+def test_windows_do_not_change_the_tokens(monkeypatch):
+    texts = [" ".join(random.Random(i).choices(list("abcdefgh"), k=n)) for i, n in enumerate((3, 400, 0, 50, 900))] + [None, "  "]
+    whole = [np.concatenate(x) for x in zip(*language_model._streams(pa.array(texts)), strict=True)]
+    monkeypatch.setattr(kernels, "WINDOW", 64)
+    cut = [np.concatenate(x) for x in zip(*language_model._streams(pa.array(texts)), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
+def test_hot_words_do_not_change_scores(spark):
     rows = frame(spark, [(i, " ".join(random.Random(i).choices(["hot"] * 5 + list("abcdefgh"), k=200)), "s") for i in range(40)])
     want = {r.doc_id: r.score for r in language_model.score_documents(rows).collect()}
     brute = brute_scores([(r.doc_id, r.text) for r in rows.collect()])
@@ -145,6 +153,19 @@ def test_mixing_passes_are_whole(spark):
     assert max(small) - min(small) <= 1 and len(small) == 10
 
 
+@pytest.mark.parametrize("entropy, max_repeats, epochs", [(1.0, 2.0, 1.5), (0.97, 3.0, 0.4), (0.5, 4.0, 7.0)])
+def test_mixing_twin_on_skewed_sources(spark, same, entropy, max_repeats, epochs):
+    import duckdb
+
+    rows = [(i, "w " * (1 + i % 9), "big" if i < 250 else "mid" if i < 300 else None if i < 320 else f"s{i % 3}") for i in range(340)]
+    rows += [(900, " ", "no words"), (901, None, "no words"), (5, "again", "s1"), (5, "again", "s1"), (None, "no id", "s1")]
+    documents = frame(spark, rows).select("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"})
+    want = duckdb.sql(mixing.oracle(entropy=entropy, max_repeats=max_repeats, epochs=epochs)).df()
+    got = mixing.mix_sources(frame(spark, rows), entropy=entropy, max_repeats=max_repeats, epochs=epochs).toPandas()
+    assert len(documents) and len(want) > 50
+    same(got.astype({"doc_id": "Int64"}), want.astype({"doc_id": "Int64"}))
+
+
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix_sources(odd).collect()
     assert {r.source for r in got} <= {None, "a", "b", "c"} and not any(r.source == "a" for r in got)
@@ -311,6 +332,58 @@ def test_broken_files_give_an_error_row(spark):
     assert all(got[k].page == -1 and got[k].error for k in (2, 3, 5))
 
 
+def test_malformed_files_give_an_error_row(spark):
+    def tag(number, value):
+        data = bytearray(media.text_to_tiff("some words " * 40))
+        at = int.from_bytes(data[4:8], "little")
+        for k in range(int.from_bytes(data[at : at + 2], "little")):
+            entry = at + 2 + 12 * k
+            if int.from_bytes(data[entry : entry + 2], "little") == number:
+                data[entry : entry + 12] = value(data[entry : entry + 12])
+        return bytes(data)
+
+    def other(field):
+        return (299).to_bytes(2, "little") + field[2:]  # the tag is missing
+
+    def huge(field):
+        return field[:8] + (1 << 20).to_bytes(4, "little")
+
+    tiles = next(t for t in (f"words {i} " * 30 for i in range(9)) if zlib.crc32(t.encode().ljust(-(-len(t) // 192) * 192)) % 2)
+    files = [tag(256, other), tag(256, huge), tag(257, huge), tag(258, other), tag(259, huge), tag(278, huge), tag(273, other), tag(279, other)]
+    page = tiff.write_tiff([np.ones((64, 64, 3), np.uint8)], "lzw", tile=16)
+    at = int.from_bytes(page[4:8], "little")
+    for number in (322, 323, 324, 325):
+        data = bytearray(page)
+        for k in range(int.from_bytes(data[at : at + 2], "little")):
+            entry = at + 2 + 12 * k
+            if int.from_bytes(data[entry : entry + 2], "little") == number:
+                data[entry : entry + 2] = (299).to_bytes(2, "little")
+        files.append(bytes(data))
+    big = bytearray(page)
+    for k in range(int.from_bytes(big[at : at + 2], "little")):
+        entry = at + 2 + 12 * k
+        if int.from_bytes(big[entry : entry + 2], "little") in (256, 257):
+            big[entry + 8 : entry + 12] = (1 << 20).to_bytes(4, "little")
+    files.append(bytes(big))
+    got = media.tiff_pages(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).collect()
+    assert tiles and len(got) >= len(files)
+    wrong = {r.doc_id for r in got if r.error}
+    assert {0, 1, 2, 6, 7, *range(8, 13)} <= wrong
+
+
+def test_features_by_plain_means():
+    rng = np.random.default_rng(8)
+    pages = [rng.integers(0, 256, (n, 64, 3)).astype(np.uint8) for n in (20, 9)]
+    fold = media._Fold()
+    for p in pages:
+        fold.add(p)
+    every = np.concatenate([p.reshape(-1, 3) for p in pages]).astype(float)
+    assert np.allclose(fold.whole()["mean"], every.mean(axis=0), atol=1e-3)
+    cells = [[np.mean(pages[0].sum(axis=2)[20 * i // 8 : 20 * (i + 1) // 8, 8 * j : 8 * j + 8]) for j in range(8)] for i in range(8)]
+    bits = "".join("1" if c > np.mean(cells) else "0" for row in cells for c in row)
+    assert media.page_features(pages[0])["hash"] == f"{int(bits, 2):016x}"
+
+
 # --- toxicity and quality ------------------------------------------------------------------------------------------
 
 
@@ -331,6 +404,77 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.score_severity(none, labels.where("false")).count() == 0
 
 
+def test_fits_stay_bounded_when_rows_repeat_or_have_no_id(spark):
+    from viewloom.llm.common import bounded_sample
+
+    rows = spark.createDataFrame([(None, "same")] * 5000 + [(None, f"t{i}") for i in range(5000)] + [(7, f"u{i}") for i in range(5000)], "doc_id long, text string")
+    got = bounded_sample(rows, ["doc_id", "text"], 500).collect()
+    assert 350 < len(got) < 650 and len({(r.doc_id, r.text) for r in got}) == len(got)
+    few = bounded_sample(rows.where("text = 'same'"), ["doc_id", "text"], 500).collect()
+    assert [tuple(r) for r in few] == [(None, "same")]
+    labels = spark.createDataFrame([(7, 1), (7, 0), (7, None), (8, 1)], "doc_id long, toxic int")
+    sample = toxicity._sample(rows, labels, 400).collect()
+    assert 250 < len(sample) < 550 and all(r.toxic == 1 for r in sample)
+
+
+def test_ordinal_and_logistic_fits_against_slow_gradients():
+    from viewloom.llm import hashed
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 3, (60, 4)).astype(float)
+    rows = [(np.array([11, 5, 300, 7]), r) for r in x]
+    grade = np.clip(x[:, 0] + rng.integers(0, 2, 60), 0, 3).astype(int)
+    w, cuts = hashed.train_ordinal(*hashed.csr(rows), grade, 4, steps=3000, rate=0.05, penalty=0.0)
+    w = w[[11, 5, 300, 7]]
+
+    def loss(w, cuts):
+        p = np.hstack((np.ones((60, 1)), 1 / (1 + np.exp(-(x @ w)[:, None] + cuts)), np.zeros((60, 1))))
+        return -np.log(p[np.arange(60), grade] - p[np.arange(60), grade + 1]).mean()
+
+    best = loss(w, cuts)
+    for k in range(7):  # no small step of any parameter betters it
+        for h in (-1e-2, 1e-2):
+            v, c = w.copy(), cuts.copy()
+            (v if k < 4 else c)[k if k < 4 else k - 4] += h
+            assert loss(v, c) >= best - 1e-4
+    target = 1 / (1 + np.exp(-(x @ [1.0, -1.0, 0.5, 0.0] - 0.3)))
+    v, bias = hashed.train_logistic(*hashed.csr(rows), target, steps=3000, rate=0.05, penalty=0.0)
+    assert np.allclose(v[[11, 5, 300, 7]], [1.0, -1.0, 0.5, 0.0], atol=1e-2) and abs(bias + 0.3) < 1e-2
+
+
+def test_em_against_a_slow_version():
+    patterns, counts = ["gg", "gb", "bb", "-g", "b-"], np.array([50.0, 10, 20, 7, 5])
+    posterior, rates, share = quality.expectation_maximisation(patterns, counts, rounds=25)
+    p = [0.5 / (1 + q.count("b")) if "b" in q else 0.95 for q in patterns]
+    for _ in range(25):
+        s = min(max(sum(x * n for x, n in zip(p, counts)) / sum(counts), 1e-4), 1 - 1e-4)
+        rate = {}
+        for j in range(2):
+            for c in (0, 1):
+                seen = {v: 0.5 + sum((x if c else 1 - x) * n for q, x, n in zip(patterns, p, counts) if q[j] == v) for v in "-bg"}
+                rate[j, c] = {v: seen[v] / sum(seen.values()) for v in seen}
+        new = []
+        for q in patterns:
+            good, bad = s, 1 - s
+            for j, v in enumerate(q):
+                good, bad = good * rate[j, 1][v], bad * rate[j, 0][v]
+            new.append(good / (good + bad))
+        p = new
+    assert np.allclose(posterior, p) and abs(share - s) < 1e-9
+    assert all(abs(rates[j, c, "-bg".index(v)] - rate[j, c][v]) < 1e-9 for j in range(2) for c in (0, 1) for v in "-bg")
+
+
+def test_grades_go_by_the_share_of_marker_words():
+    # feature 1 marks toxic rows; a long text with few of them is milder than a short one full of them
+    rows = [(np.array([1, 2]), np.array([m, n])) for m, n in [(30, 3000)] * 6 + [(3, 30)] * 6 + [(9, 9)] * 6] + [(np.array([2]), np.array([50]))] * 400
+    from viewloom.llm import hashed
+
+    toxic = np.array([1] * 18 + [0] * 400)
+    starts, ids, counts = hashed.csr(rows)
+    got = toxicity.grades(toxic, starts, ids, counts)
+    assert got[:6].tolist() == [1] * 6 and got[6:12].tolist() == [2] * 6 and got[12:18].tolist() == [3] * 6 and not got[18:].any()
+
+
 def test_thresholds_are_ordered_and_shared():
     from viewloom.llm import hashed
 
@@ -444,11 +588,53 @@ def test_shards(spark, odd, none):
     assert sharding.hilbert_shards(none).count() == 0
 
 
+def plain_hilbert(point, bits):
+    """The place of a point, bit by bit: rotate and reflect into the standard curve (Skilling's transform on plain integers)."""
+    x, q = list(point), 1 << (bits - 1)
+    while q > 1:
+        for i in range(len(x)):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_curve_places_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, "w" * rng.randint(0, 400), rng.choice([f"https://{c}.org" for c in "abcdefg"] + [None, "", "https://a.org/" + "x" * 300])) for i in range(400)]
+    got = {r.doc_id: r for r in sharding.hilbert_shards(frame(spark, rows), dims=("source", "size"), bits=3).collect()}
+    known = sorted((s for _, _, s in rows if s is not None), key=str.encode)
+    first = {}
+    for k, s in enumerate(known):
+        first.setdefault(s, k * 8 // len(known))  # the bin in which its first row lies
+    bins = {s: sorted(set(first.values()) | {0}).index(b) for s, b in first.items()}
+    sizes = sorted(len(t) + 16 for _, t, _ in rows)
+    cuts = sorted({sizes[math.ceil(len(sizes) * k / 8) - 1] for k in range(1, 8)})
+    for i, t, s in rows:
+        cell = (0 if s is None else bins[s], sum(c < len(t) + 16 for c in cuts))
+        assert got[i].curve == plain_hilbert(cell, 3)
+    order = sorted(rows, key=lambda r: (got[r[0]].curve, r[0]))
+    assert [got[r[0]].shard for r in order] == [k * 40 // 400 for k in range(400)]
+    assert len({bins[s] for s in bins if len(s) == 13}) > 4  # shared beginnings do not hide the rest
+
+
 def test_files_along_the_curve_prune(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.withColumn("size", F.lit("own")).withColumn("curve", F.lit(-5))
     sharding.write_by_curve(docs, str(tmp_path / "out"), 8)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == docs.count()
+    assert back.count() == docs.count() == back.where("size = 'own' and curve = -5").count()
     langs = back.groupBy(F.input_file_name()).agg(F.countDistinct("lang").alias("n")).agg(F.avg("n")).first()[0]
     assert langs < docs.select("lang").distinct().count()
 
@@ -456,6 +642,45 @@ def test_files_along_the_curve_prune(spark, tmp_path):
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
+def plain_codes(text):
+    fold = {i: i + 32 for i in range(65, 91)} | {i: 32 for i in range(9, 14)}
+    return np.array([fold.get(c, c) for c in map(ord, text)], np.int64)
+
+
+def closest(item, text):
+    """(edits, start, end) by the whole table, with the start that each cell comes from: fewest edits, then the first end, then the last start."""
+    edits, starts = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+    for i, c in enumerate(item, 1):
+        # fewer edits first, then later starts: one number orders both
+        rank = edits * 2**32 - starts
+        diagonal = np.concatenate(([2**60], rank[:-1] + (text != c) * 2**32))
+        best = np.minimum(diagonal, rank + 2**32)
+        best = np.minimum.accumulate(best - np.arange(len(best)) * 2**32) + np.arange(len(best)) * 2**32
+        edits, starts = -(-best // 2**32), -best % 2**32
+    end = int(edits.argmin())
+    return int(edits[end]), int(starts[end]), end
+
+
+def test_banded_alignment_is_the_whole_table_in_its_band():
+    rng = random.Random(2)
+
+    def table(item, text, most, low, high, anchored):
+        row = [(j if anchored else 0) if low <= j <= high else 99 for j in range(len(text) + 1)]
+        for i in range(1, len(item) + 1):
+            new = [99] * (len(text) + 1)
+            for j in range(len(text) + 1):
+                if low <= j - i <= high:
+                    new[j] = min(i if j == 0 else 99, row[j] + 1, *((row[j - 1] + (item[i - 1] != text[j - 1]), new[j - 1] + 1) if j else ()))
+            row = new
+        return (min(row), row.index(min(row))) if min(row) <= most else (most + 1, -1)
+
+    for _ in range(2000):
+        item, text = (np.array([rng.randrange(3) for _ in range(n)], np.uint32) for n in (rng.randint(1, 14), rng.randint(0, 20)))
+        low, most, anchored = rng.randint(-6, 6), rng.randint(0, 5), rng.random() < 0.4
+        low, high = (-most, most) if anchored else (low, low + rng.randint(0, 14))
+        assert decontaminate.align(item, text, most, low, high, anchored) == table(item, text, most, low, high, anchored)
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(6)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(12).collect()] + [(900, None), (901, ""), (902, "abc")]
@@ -471,20 +696,27 @@ def test_leaks_match_brute_force(spark):
         texts.append(b[:at] + "".join(s) + b[at:])
     docs = frame(spark, [*((k, t, "s") for k, t in enumerate(texts)), (100, None, "s"), (101, "", "s"), (102, "xx ABC yy", "s"), (102, "xx ABC yy", "s")])
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = collections.Counter((r.doc_id, r.item_id, r.edits) for r in decontaminate.find_leaks(docs, benchmark).collect())
+    got = collections.Counter((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in decontaminate.find_leaks(docs, benchmark).collect())
     want = collections.Counter()
     for r in docs.collect():
         for i, t in items:
             if r.text and t:
-                code, k = decontaminate.folded(t), decontaminate.budget(len(t), 0.1)
-                edits, _ = decontaminate.align(code, decontaminate.folded(r.text), k)
-                if edits <= k:
-                    want[r.doc_id, i, edits] += 1
-    assert got == want and any(e for _, _, e in want)
+                edits, start, end = closest(plain_codes(t), plain_codes(r.text))
+                if edits <= max(0, min(len(t) // 10, (len(t) - 8) // 8)):
+                    want[r.doc_id, i, edits, start, end] += 1
+    assert got == want and any(x[2] for x in want)
     assert decontaminate.find_leaks(docs.where("false"), benchmark).count() == 0
     assert decontaminate.find_leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_a_short_item_beside_a_very_long_one():
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghijklmnop ", k=420_000))
+    text = "".join(rng.choices("qrstuvwxyz ", k=2_300_000)) + "0123456789" + "q" * 50
+    block = decontaminate.Block([(1, long), (2, "0123456789")], 0.1)
+    assert list(decontaminate._scan(block, [text])) == [(0, 1, 2_300_000, 2_300_010, 0)]
+
+
 def test_leaks_in_a_long_text_and_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
     item = "this passage of the benchmark stands far down in a very long text, once"
@@ -505,3 +737,51 @@ def test_line_dedup_odd_pages(spark):
     assert all(got[i].text == f"own {i}" and got[i].n_dropped == 1 for i in range(6))
     assert [got[i].text for i in (6, 7, 8)] == ["menu"] * 3 and got[9].text == got[10].text == got[11].text == "" and got[11].n_lines == 2
     assert line_dedup.drop_site_lines(pages.where("false")).count() == 0
+
+
+def test_line_dedup_with_a_hot_host_and_no_broadcast(spark, monkeypatch, same):
+    import duckdb
+
+    rows = [(i if i % 3 else None, f"http://{'hot' if i % 2 else f'h{i % 40}'}.org/{i}", f"<p>menu<p>own {i % 50}<p>{'rare' if i % 7 else 'less'}") for i in range(3000)]
+    rows += [(None, None, "<p>menu")] * 40
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").toPandas().astype({"page_id": "Int64"})
+    db = duckdb.connect()
+    db.register("pages", pages)
+    want = [db.execute(line_dedup.oracle(min_pages=m)).df().astype({"page_id": "Int64"}) for m in (1, 3)]
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    for m, twin in zip((1, 3), want, strict=True):
+        got = line_dedup.drop_site_lines(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=m).toPandas()
+        same(got.astype({"page_id": "Int64"}), twin)
+
+
+def test_markup_that_nobody_closes_is_read_once(spark):
+    import time
+
+    for odd, n_lines in (("<" * 1_000_000, 1), ("<script>" * 120_000, 0), ("<!--" * 250_000, 0), ("<p" * 500_000, 1), ("a <b " * 200_000, 1)):
+        began = time.time()
+        got = line_dedup.drop_site_lines(spark.createDataFrame([(1, "http://a.b", odd)], "page_id long, url string, html string")).collect()
+        assert got[0].n_lines == n_lines and time.time() - began < 20
+
+
+# --- hot keys -----------------------------------------------------------------------------------------------------
+
+
+def test_lookup_deals_hot_keys(spark):
+    from viewloom.llm.common import hot_keys, lookup
+
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 'hot', if(id % 3 = 1, null, concat('k', id % 500))) as k", "id")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("last")).where("k is not null and k <> 'k7'")
+    plain = rows.join(sizes.drop("size"), "k")
+    hot, keys = hot_keys(sizes.select("k", "size")), sizes.drop("size")
+    assert [r.k for r in hot.collect()] == ["hot"] and hot_keys(sizes.where("k <> 'hot'").select("k", "size")) is None
+    assert sorted(lookup(rows, keys, "k", hot).collect()) == sorted(plain.select("k", "id", "last").collect())
+    left = lookup(rows, keys, "k", hot, "left", spread=["id"])
+    assert left.count() == 30_000 and left.where("last is not null").count() == plain.count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = lookup(rows, keys, "k", hot).where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(r["count"] for r in spread) < 10_000

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir, as a full URI; a temporary one only where that is unset.
+
+    A path without a scheme means the cluster's default file system, as for Spark itself.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not path and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="viewloom-checkpoints-"))
-    return path or context._jsc.sc().getCheckpointDir().get()
+    at = context._jvm.org.apache.hadoop.fs.Path(path or context._jsc.sc().getCheckpointDir().get())
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder in the shared one, on any file system; it is deleted when the driver's JVM ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,7 +61,7 @@ def compact(df: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints of frames that are gone: it does so only when the driver collects garbage."""
+    """Let Spark delete the shuffle files of frames that are gone: it does so only when the driver collects garbage. Checkpoints: see forget()."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -93,3 +109,61 @@ BROADCAST_KEYS = 200_000
 def semi_join(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """`keys` must be materialised; they are counted, and broadcast only when they are few."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
+def bounded_sample(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """About `most` different rows of `rows` (all, where there are fewer), each once, told apart by a hash of the columns `by`.
+
+    Rows that repeat, or that have null in an id, are one row for the sample, so it is bounded whatever the table holds.
+    """
+    name = F.xxhash64(*(F.col(c).isNull() for c in by), *by)
+    different = rows.agg(F.approx_count_distinct(name, 0.02)).first()[0]
+    share = min(1.0, most / max(1, different))
+    drawn = rows.withColumn("row_name", name)
+    if share < 1:
+        # hashed again: the estimate above and other samples go by the same hash
+        drawn = drawn.where(F.pmod(F.xxhash64("row_name", F.lit("sample")), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
+    firsts = [F.first(c).alias(c) for c in rows.columns]
+    return drawn.groupBy("row_name").agg(*firsts).drop("row_name")
+
+
+def hot_keys(sizes: DataFrame) -> DataFrame | None:
+    """Of `sizes` (a key column and `size`, the rows that come to it) the keys with so many rows that they are dealt over salts: key and salts.
+
+    There are at most 100,000 of them. None where there is none.
+    """
+    total, biggest = sizes.agg(F.sum("size"), F.max("size")).first()
+    most = max(HOT_ROWS, (total or 0) // 100_000)
+    return sizes.where(F.col("size") > most).withColumn("salts", F.ceil(F.col("size") / most)).drop("size") if (biggest or 0) > most else None
+
+
+#: Up to so many rows of a key go to one task in any case.
+HOT_ROWS = 2048
+
+
+def lookup(rows: DataFrame, keys: DataFrame, on: str, hot: DataFrame | None, how: str = "inner", spread: list[str] | None = None) -> DataFrame:
+    """`rows` joined to `keys`, which has one row per value of `on`; `hot` comes from hot_keys. `how`: inner or left.
+
+    A hot key is repeated under salts, and its rows are dealt over them: by a hash of the columns `spread`, or by their
+    place in `rows` where that is a table that does not change. Rows without a key meet nothing wherever they are.
+    """
+    place = F.xxhash64(*spread) if spread else F.monotonically_increasing_id()
+    salt = lambda n: F.pmod(place, n).cast("int")
+    lone = F.when(F.col(on).isNull(), salt(F.lit(4096))) if how == "left" else F.when(F.lit(False), 0)
+    if hot is None:
+        if how == "inner":
+            return rows.join(keys, on)
+        return rows.withColumn("salt", lone.otherwise(0)).join(keys.withColumn("salt", F.lit(0)), [on, "salt"], how).drop("salt")
+    dealt = rows.join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("salt", lone.when(F.col("salts").isNull(), 0).otherwise(salt(F.col("salts"))))
+    again = keys.join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)).cast("int") - 1)))
+    return dealt.drop("salts").join(again.drop("salts"), [on, "salt"], how).drop("salt")
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the checkpoint files under a frame made by cut() or compact() that nothing reads any more; Spark keeps them otherwise."""
+    context = df.sparkSession.sparkContext
+    at = df._jdf.queryExecution().analyzed().collectLeaves().head().rdd().getCheckpointFile()
+    if at.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

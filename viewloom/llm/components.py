@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import compact, sweep
+from viewloom.llm.common import compact, forget, hot_keys, lookup, sweep
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """`links` has a and b. One row per linked node: node, component (its smallest node).
 
     Every round takes the least label among the neighbours, then the label of the label, so chains shorten
-    geometrically. Only a count of changes comes to the driver. Hot nodes are pre-aggregated before each shuffle.
+    geometrically. Only a count of changes comes to the driver. The edges of a hub and the nodes of a large component are dealt over salts.
     """
     edges = compact(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = compact(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
+    ends = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("size"))
+    hubs = hot_keys(ends.select(F.col("node").alias("b"), "size"))
+    labels = compact(ends.select("node", F.least("node", "b").alias("component")))
     for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
+        large = hot_keys(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+        near = lookup(edges, labels.select(F.col("node").alias("b"), F.col("component").alias("seen")), "b", hubs).groupBy("a").agg(F.min("seen").alias("seen"))
         best = labels.join(near.withColumnRenamed("a", "node"), "node", "left")
         best = best.select("node", F.col("component").alias("old"), F.least("component", "seen").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        jumped = compact(best.join(up, "component", "left").select("node", "old", F.least("component", "higher").alias("component")))
-        labels = jumped.select("node", "component")
+        jumped = lookup(best, up, "component", large, spread=["node"])
+        jumped = compact(jumped.select("node", "old", F.least("component", "higher").alias("component")))
+        before, labels = labels, jumped.select("node", "component")
+        forget(before)
         sweep(links.sparkSession)
         if jumped.where("component <> old").isEmpty():
             return labels

@@ -9,8 +9,11 @@ The lemma: an occurrence with k edits keeps at least m - q + 1 - k q of the item
 cells of k + 1 diagonals, two neighbouring cells make one of the overlapping bands, and only bands with enough shared q-grams are
 aligned. No occurrence is lost. Items shorter than q are looked up as they stand.
 
-The benchmark is the stated query set: it is read in blocks of at most BLOCK_CHARS characters, each block is broadcast and all
-documents are scanned against it. Documents are scanned in overlapping pieces, so memory does not grow with a text.
+Of the stretches with the fewest edits the first to end counts, and of those with that end the shortest. Alignment fills the
+diagonals of its band only, so it costs the item's length times a few k.
+
+The benchmark is the stated query set: it is read in blocks of at most BLOCK_CHARS characters (one longer item is a block), each block
+is broadcast and all documents are scanned against it, once per block. Documents are scanned in overlapping pieces, so memory does not grow with a text.
 Null and empty texts and items leak nothing. Repeated rows give repeated rows. Empty tables give empty results.
 """
 
@@ -91,6 +94,11 @@ class Block:
         piece = np.searchsorted(firsts, at, "right") - 1
         sizes = self.starts[where + 1] - self.starts[where]
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # a key has the piece, the item and the cell, each in as many bits as this block and these pieces need
+        low = int((int(np.diff(firsts, append=len(codes)).max()) + self.longest) // int(self.cell.min()) + 2).bit_length()
+        middle = len(self.codes).bit_length()
+        if low + middle + int(owners.max()).bit_length() > 62:
+            raise OverflowError("the items of a block are too many for their longest")
         ends = np.cumsum(sizes)
         cut = 0
         while cut < len(at):
@@ -99,7 +107,7 @@ class Block:
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[where[cut:stop]], n)
             item = self.owner[inner]
             diagonal = np.repeat(at[cut:stop] - firsts[piece[cut:stop]], n) - self.place[inner] + self.longest
-            key = (np.repeat(owners[piece[cut:stop]], n) << 42) | (item << 21) | (diagonal // self.cell[item])
+            key = (np.repeat(owners[piece[cut:stop]], n) << low + middle) | (item << low) | (diagonal // self.cell[item])
             key.sort()
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             keys = np.concatenate((keys, key[heads]))
@@ -113,24 +121,45 @@ class Block:
         before = np.maximum(np.searchsorted(keys, keys - 1), 0)
         with_after = counts + np.where(keys[after] == keys + 1, counts[after], 0)
         lone_before = keys[before] != keys - 1  # the band that starts one cell lower holds this cell alone
-        least = self.least[(keys >> 21) & ((1 << 21) - 1)]
-        found = [keys[with_after >= least], keys[lone_before & (counts >= least)] - 1]
-        return [(int(k >> 42), int(k >> 21 & ((1 << 21) - 1)), int(k & ((1 << 21) - 1))) for k in np.unique(np.concatenate(found))]
-
-
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """(edits, end) of the stretch of `text` that is closest to `item`; (most + 1, -1) if all need more than `most`."""
-    columns = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+        least = self.least[(keys >> low) & ((1 << middle) - 1)]
+        # a band may begin one cell before the first: 1 is added, so that no field runs below 0
+        found = np.unique(np.concatenate((keys[with_after >= least] + 1, keys[lone_before & (counts >= least)])))
+        return [(int(k >> low + middle), int(k >> low & ((1 << middle) - 1)), int(k & ((1 << low) - 1)) - 1) for k in found]
+
+
+def align(item: np.ndarray, text: np.ndarray, most: int, low: int, high: int, anchored: bool = False) -> tuple[int, int]:
+    """(edits, end) of the stretch of `text` that is closest to `item`, the first end if several; (most + 1, -1) if all need more than `most`.
+
+    Only the diagonals (place in the text minus place in the item) from `low` to `high` are filled. Anchored: the stretch begins
+    where the text does.
+    """
+    n, width, far = len(text), high - low + 1, most + 1
+    steps = np.arange(width)
+    places = low + steps
+    row = np.where((places >= 0) & (places <= n), np.maximum(places, 0) if anchored else 0, far)
+    padded = np.concatenate((np.full(max(0, -low) + 1, 0xFFFFFFFF, np.uint32), text, np.full(max(0, high + len(item) - n) + 1, 0xFFFFFFFF, np.uint32)))
+    shift = max(0, -low) + 1
     for i, code in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (text != code), row[1:] + 1)
-        row = np.minimum.accumulate(new - columns) + columns
-        if row.min() > most:
-            return most + 1, -1
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else (most + 1, -1)
+        # of the cell (i, i + d) on diagonal d: from (i - 1, i - 1 + d), from (i - 1, i + d) on d + 1, from (i, i + d - 1) on d - 1
+        at = shift + i + low - 1
+        if at < 0 or at + width > len(padded):
+            return far, -1  # the band has left the text
+        new = row + (padded[at : at + width] != code)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new = np.minimum.accumulate(new - steps) + steps
+        edge = -i - low  # the diagonal on which the text has not begun
+        if 0 <= edge < width:
+            new[edge] = min(new[edge], i)
+        if edge > 0:
+            new[: min(edge, width)] = far
+            new = np.minimum(new, np.minimum.accumulate(new - steps) + steps)
+        if (over := n - i - low + 1) < width:
+            new[max(0, over) :] = far
+        row = np.minimum(new, far)
+        if i >= -low and row.min() > most:  # before that, diagonals below 0 may still begin
+            return far, -1
+    best = int(row.argmin())
+    return (int(row[best]), len(item) + low + best) if row[best] <= most else (far, -1)
 
 
 def _plain(item: np.ndarray, text: np.ndarray) -> int:
@@ -162,10 +191,10 @@ def _scan(block: Block, texts: list[str | None]) -> Iterator[tuple[int, int, int
             part = codes[start : max(start, low + 2 * int(block.cell[i]) + len(item) + k)]
             end, edits = _plain(item, part), 0
             if end < 0:
-                edits, end = align(item, part, k) if k else (1, -1)
+                edits, end = align(item, part, k, low - k - start, low + 2 * int(block.cell[i]) + k - start) if k else (1, -1)
             if 0 <= end and edits <= k:
                 if edits:
-                    back = align(item[::-1], part[:end][::-1], k)
+                    back = align(item[::-1], part[:end][::-1], k, -k, k, anchored=True)
                     first = end - back[1]
                 else:
                     first = end - len(item)
@@ -196,11 +225,11 @@ def _scan(block: Block, texts: list[str | None]) -> Iterator[tuple[int, int, int
 def _blocks(benchmark: DataFrame, id_col: str) -> Iterator[list[tuple[int, str]]]:
     held, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("long"), "text").where("length(text) > 0").toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= BLOCK_CHARS or len(held) >= 1 << 20:
+        if held and size + len(row[1]) > BLOCK_CHARS:  # a very long item stands alone
             yield held
             held, size = [], 0
+        held.append((row[0], row[1]))
+        size += len(row[1])
     if held:
         yield held
 

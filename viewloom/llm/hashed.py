@@ -110,36 +110,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _sums(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    return total[starts[1:]] - total[starts[:-1]]
+def _active(starts, ids, values) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, local feature numbers and values of the entries that are not 0, and the feature numbers themselves: the others keep the weight 0."""
+    kept = np.flatnonzero(values)
+    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[kept]
+    numbers, local = np.unique(ids[kept], return_inverse=True)
+    return rows, local, values[kept].astype(np.float64), numbers
+
+
+def _whole(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros(N)
+    out[numbers] = weights
+    return out
 
 
 def train_logistic(starts, ids, values, target, steps: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias for probabilities in `target` as soft labels."""
-    weights, bias = np.zeros(N), np.zeros(1)
-    rows = np.repeat(np.arange(len(target)), np.diff(starts))
+    rows, local, values, numbers = _active(starts, ids, values)
+    weights, bias = np.zeros(len(numbers)), np.zeros(1)
 
     def gradient():
-        error = (_sigmoid(_sums(starts, values * weights[ids]) + bias[0]) - target) / max(1, len(target))
-        return [np.bincount(ids, values * error[rows], N) + penalty / 100 * weights, np.array([error.sum()])]
+        scores = np.bincount(rows, values * weights[local], len(target))
+        error = (_sigmoid(scores + bias[0]) - target) / max(1, len(target))
+        return [np.bincount(local, values * error[rows], len(numbers)) + penalty / 100 * weights, np.array([error.sum()])]
 
     _adam([weights, bias], gradient, steps, rate)
-    return weights, float(bias[0])
+    return _whole(numbers, weights), float(bias[0])
 
 
 def train_ordinal(starts, ids, values, grade, n_grades: int, steps: int = 200, rate: float = 0.03, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative-link model: P(grade > k) = sigmoid(w.x - c_k) with one w for all k and c rising. Returns w and c."""
-    weights = np.zeros(N)
+    rows, local, values, numbers = _active(starts, ids, values)
+    weights = np.zeros(len(numbers))
     gaps = np.concatenate(([2.0], np.zeros(max(0, n_grades - 2))))  # c_0, then logs of the steps up
-    rows = np.repeat(np.arange(len(grade)), np.diff(starts))
 
     def cuts() -> np.ndarray:
         return gaps[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps[1:]))))
 
     def gradient():
         c = cuts()
-        p = np.vstack((np.ones(len(grade)), _sigmoid(_sums(starts, values * weights[ids])[None, :] - c[:, None]), np.zeros(len(grade))))  # P(grade >= k)
+        p = np.vstack((np.ones(len(grade)), _sigmoid(np.bincount(rows, values * weights[local], len(grade))[None, :] - c[:, None]), np.zeros(len(grade))))  # P(grade >= k)
         k, i = grade.astype(int), np.arange(len(grade))
         above, below = p[k, i], p[k + 1, i]
         width = 1 - np.exp(-np.concatenate(([np.inf], np.diff(c), [np.inf])))[k]
@@ -148,12 +158,7 @@ def train_ordinal(starts, ids, values, grade, n_grades: int, steps: int = 200, r
         upper, lower = (1 - above) / (1 - below) / width / max(1, len(k)), below / above / width / max(1, len(k))
         by_cut = np.array([upper[k == j + 1].sum() - lower[k == j].sum() for j in range(n_grades - 1)])
         by_gap = [by_cut.sum()] + [np.exp(gaps[j]) * by_cut[j:].sum() for j in range(1, len(gaps))]
-        return [np.bincount(ids, values * along_x[rows], N) + penalty * weights * 0.01, np.array(by_gap)]
+        return [np.bincount(local, values * along_x[rows], len(numbers)) + penalty * weights * 0.01, np.array(by_gap)]
 
     _adam([weights, gaps], gradient, steps, rate)
-    return weights, cuts()
-
-
-def texts(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for batch in batches:
-        yield batch, batch.column(batch.schema.get_field_index(name))
+    return _whole(numbers, weights), cuts()

@@ -7,9 +7,11 @@ host) exceeds `max_ratio` and at least `min_pages` pages have it, so that small
 Null or empty markup gives no lines and an empty text; a page all of whose lines go stays, with an empty
 text. Repeated rows count as separate pages. Extra columns are ignored.
 
-Lines are counted by (host, hash, length) with map-side sums, so a line on a third of all pages costs one
-row per task. The lines to drop are few per host: at most (lines per page) / max_ratio. They go to the pages
-by a join on (host, salt), so a host with a third of all pages is dealt over `salts` tasks.
+`min_pages` is a part of the rule beside the ratio: 1 is the plain ratio.
+
+Markup is parsed once and kept in the shared folder. Lines are counted by (host, hash, length) with map-side sums, so a line on a third
+of all pages costs one row per task. The lines to drop are few per host: at most (lines per page) / max_ratio. They are broadcast
+where they are few altogether, else joined by host, the pages of a host with very many dealt over salts.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewloom.llm.common import BROADCAST_KEYS, cut, hot_keys, lookup
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-HIDDEN = r"(?is)<(?:script|style|noscript)\b.*?</(?:script|style|noscript)>|<!--.*?-->"
+# Every pattern reads a character a bounded number of times: tags hold no "<", and hidden parts that nobody closes end with the page.
+HIDDEN = r"(?is)<(?:script|style|noscript)\b.*?(?:</(?:script|style|noscript)>|\z)|<!--.*?(?:-->|\z)"
 BLOCK = (
     r"(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|h[1-6]|table|tr|td|th|"
-    r"body|html|head|title|main|aside|pre|blockquote)\b[^>]*>"
+    r"body|html|head|title|main|aside|pre|blockquote)\b[^<>]*>"
 )
-TAG = r"<[^>]*>"
+TAG = r"<[^<>]*>"
+BLANKS = r"[ \t\x0B\f]+"
 
 
 def host_of(url: Column) -> Column:
@@ -33,11 +39,8 @@ def host_of(url: Column) -> Column:
 def markup_lines(html: Column) -> Column:
     """The visible lines of a page: hidden parts and tags go, block tags end lines, white space collapses."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, "\n"), BLOCK, "\n"), TAG, "")
-    lines = F.transform(
-        F.split(F.coalesce(text, F.lit("")), "[\\n\\r]+"),
-        lambda x: F.regexp_replace(F.regexp_replace(x, "[ \\t\\x0B\\f]+", " "), "^ | $", ""),
-    )
-    return F.filter(lines, lambda x: F.length(x) > 0)
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
+    return F.filter(F.transform(F.split(text, "[\\n\\r]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def _line_key(line: Column) -> Column:
@@ -51,29 +54,25 @@ def drop_site_lines(
     html_col: str = "html",
     max_ratio: float = 0.3,
     min_pages: int = 3,
-    salts: int = 32,
 ) -> DataFrame:
     """One row per page: id, host, n_lines, n_dropped, text (the kept lines, joined by newlines)."""
-    page = pages.select(
-        F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), markup_lines(F.col(html_col)).alias("lines")
-    )
-    sited = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host is not null")
+    page = cut(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), markup_lines(F.col(html_col)).alias("lines")))
+    sited = page.where("host is not null")
     totals = sited.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     frequent = (
-        sited.select("host", F.explode(F.array_distinct(F.transform(markup_lines(F.col("html")), _line_key))).alias("line"))
+        sited.select("host", F.explode(F.array_distinct(F.transform("lines", _line_key))).alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("line_pages"))
         .where(F.col("line_pages") >= min_pages)
     )
-    boilerplate = (
-        frequent.join(totals, "host")
-        .where(F.col("line_pages") / F.col("host_pages") > max_ratio)
-        .groupBy("host")
-        .agg(F.collect_list("line").alias("drop"))
-        .select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    )
-    salted = page.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(salts)).cast("int"))
-    joined = salted.join(boilerplate, ["host", "salt"], "left")
+    large = hot_keys(totals.withColumnRenamed("host_pages", "size"))
+    boilerplate = lookup(frequent, totals, "host", large, spread=["line"]).where(F.col("line_pages") / F.col("host_pages") > max_ratio)
+    # a host has at most (lines of a page) / max_ratio lines to drop
+    drops = cut(boilerplate.groupBy("host").agg(F.collect_list("line").alias("drop")))
+    if (drops.agg(F.sum(F.size("drop"))).first()[0] or 0) <= BROADCAST_KEYS:
+        joined = page.join(F.broadcast(drops), "host", "left")
+    else:
+        joined = lookup(page, drops, "host", large, "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), _line_key(x)))
     return joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept)).select(
         "page_id",
@@ -90,7 +89,7 @@ WITH page AS (
   SELECT row_number() OVER () AS r, page_id, lower(nullif(regexp_extract(url, '{HOST}', 1), '')) AS host,
          list_filter(list_transform(string_split_regex(coalesce(regexp_replace(regexp_replace(regexp_replace(
            html, '{HIDDEN}', chr(10), 'g'), '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g'), ''), '[\n\r]+'),
-           lambda x: regexp_replace(regexp_replace(x, '[ \t\x0B\f]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: length(x) > 0) AS lines
+           lambda x: trim(regexp_replace(x, '{BLANKS}', ' ', 'g'), ' ')), lambda x: length(x) > 0) AS lines
   FROM pages),
 line AS (SELECT r, page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM page),
 freq AS (SELECT host, line, count(DISTINCT r) AS n FROM line WHERE host IS NOT NULL GROUP BY host, line),

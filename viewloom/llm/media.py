@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -81,7 +82,7 @@ def tiff_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     for p in read_tiff(data):
                         height, width, samples = p.pixels.shape
                         yield doc.as_py(), p.number, width, height, samples, p.codec, p.predictor, p.layout, p.description, p.pixels.tobytes(), *kept, None
-                except (TiffError, ArithmeticError, ValueError, zlib.error) as e:
+                except (TiffError, ArithmeticError, ValueError, TypeError, MemoryError, struct.error, zlib.error) as e:
                     yield doc.as_py(), -1, None, None, None, None, None, None, None, None, *kept, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,16 +76,25 @@ def exponent(sources: DataFrame, total: int, least: int, count: int, budget: int
 
 
 def mixing_plan(
-    docs: DataFrame, entropy: float = 0.97, max_repeats: float = 4.0, budget: int | None = None, seed: int = 17, n_buckets: int | None = None
+    docs: DataFrame,
+    entropy: float = 0.97,
+    max_repeats: float = 4.0,
+    budget: int | None = None,
+    seed: int = 17,
+    n_buckets: int | None = None,
+    epochs: float = 1.0,
 ) -> DataFrame:
-    """`docs` has doc_id, source and text or n_words. One row per source: src, source, words, weight, quota (words owed), passes, last (end of the prefix of one more pass, or null)."""
+    """`docs` has doc_id, source and text or n_words. The budget is in words; without one it is `epochs` times the words there are.
+
+    One row per source: src, source, words, weight, quota (words owed), passes, last (end of the prefix of one more pass, or null).
+    """
     n_buckets = n_buckets or pieces(docs, 4 << 20, 64)
     rows = docs.select("doc_id", "source", _source().alias("src"), _words(docs).alias("words"))
     rows = rows if "n_words" in docs.columns else cut(rows)
     sources = cut(rows.groupBy("src").agg(F.first("source").alias("source"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("docs")))
     drawn = sources.where("words > 0")
     total, least, count = drawn.agg(F.sum("words"), F.min("words"), F.count(F.lit(1))).first()
-    budget = budget if budget is not None else total or 0
+    budget = budget if budget is not None else math.floor(epochs * (total or 0))
     a = exponent(drawn, total, least, count, budget, entropy, max_repeats) if count > 1 else 1.0
     power = F.when(F.col("words") > 0, F.pow(F.col("words") / F.lit(float(total or 1)), F.lit(a))).otherwise(F.lit(0.0))
     norm = sources.agg(F.sum(power)).first()[0] or 1.0
@@ -117,14 +126,14 @@ def draw(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     return rows.withColumn("order_key", _shuffled(seed, F.col("block"))).drop("src", "passes", "last", "times")
 
 
-def mix_sources(docs: DataFrame, entropy: float = 0.97, max_repeats: float = 4.0, budget: int | None = None, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, entropy: float = 0.97, max_repeats: float = 4.0, budget: int | None = None, seed: int = 17, epochs: float = 1.0) -> DataFrame:
     """One row per drawn copy: doc_id, source, n_words, weight, block, order_key."""
     lean = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("n_words")))
-    plan = mixing_plan(lean, entropy, max_repeats, budget, seed, pieces(docs, 4 << 20, 64))
+    plan = mixing_plan(lean, entropy, max_repeats, budget, seed, pieces(docs, 4 << 20, 64), epochs)
     return draw(lean, plan, seed).select("doc_id", "source", "n_words", F.round("weight", 6).alias("weight"), "block", "order_key")
 
 
-def oracle(documents: str = "documents", entropy: float = 0.97, max_repeats: float = 4.0, seed: int = 17, columns: str | None = None) -> str:
+def oracle(documents: str = "documents", entropy: float = 0.97, max_repeats: float = 4.0, seed: int = 17, epochs: float = 1.0, columns: str | None = None) -> str:
     """DuckDB twin: a plain bisection in a recursive query and one window over each source."""
     gap = r"[ \t\n\x0B\f\r]+"
     columns = columns or "d.doc_id, d.source, d.words AS n_words, round(s.weight, 6) AS weight, d.block, d.order_key"
@@ -134,7 +143,7 @@ WITH RECURSIVE bare AS (
   SELECT *, coalesce('=' || source, 'null') AS src, regexp_replace(text, '^{gap}|{gap}$', '', 'g') AS t FROM {documents}),
 doc AS (SELECT * EXCLUDE (t), CAST(CASE WHEN length(t) > 0 THEN len(string_split_regex(t, '{gap}')) ELSE 0 END AS BIGINT) AS words FROM bare),
 size AS (SELECT src, CAST(sum(words) AS BIGINT) AS words FROM doc GROUP BY src),
-fact AS (SELECT list(words / total) AS ps, min(words / total) AS least, count(*) AS k, any_value(total) AS total
+fact AS (SELECT list(words / total) AS ps, min(words / total) AS least, count(*) AS k, any_value(total) AS total, floor({epochs} * any_value(total)) AS budget
          FROM (SELECT words, sum(words) OVER () AS total FROM size WHERE words > 0)),
 bisect AS (
   SELECT 0 AS i, 0.0::DOUBLE AS elo, 1.0::DOUBLE AS ehi, 0.0::DOUBLE AS rlo, 1.0::DOUBLE AS rhi
@@ -144,12 +153,13 @@ bisect AS (
   FROM (SELECT i, elo, ehi, rlo, rhi, e, r,
           ln(list_sum(list_transform(ps, lambda p: pow(p, e)))) - e * list_sum(list_transform(ps, lambda p: pow(p, e) * ln(p)))
             / list_sum(list_transform(ps, lambda p: pow(p, e))) >= {entropy} * ln(k) - 1e-12 AS mixed,
-          pow(least, r - 1) / list_sum(list_transform(ps, lambda p: pow(p, r))) <= {max_repeats} AS rests
+          budget / total * pow(least, r - 1) / list_sum(list_transform(ps, lambda p: pow(p, r))) <= {max_repeats} AS rests
         FROM (SELECT *, (elo + ehi) / 2 AS e, (rlo + rhi) / 2 AS r FROM bisect), fact WHERE i < 60)),
-power AS (SELECT greatest(elo, CASE WHEN rhi < 1e-12 THEN 0 ELSE rhi END) AS a FROM bisect WHERE i = 60),
-share AS (SELECT src, words, CASE WHEN words > 0 THEN pow(words / total, a) ELSE 0 END AS z, total FROM size, fact, power),
+power AS (SELECT CASE WHEN k = 1 THEN 1 WHEN budget > {max_repeats} * total THEN elo ELSE greatest(elo, CASE WHEN rhi < 1e-12 THEN 0 ELSE rhi END) END AS a
+          FROM bisect, fact WHERE i = 60),
+share AS (SELECT src, words, CASE WHEN words > 0 THEN pow(words / total, a) ELSE 0 END AS z, budget FROM size, fact, power),
 owed AS (SELECT src, words, weight, quota, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS passes
-         FROM (SELECT src, words, z / sum(z) OVER () AS weight, CAST(round(z / sum(z) OVER () * total) AS BIGINT) AS quota FROM share)),
+         FROM (SELECT src, words, z / sum(z) OVER () AS weight, CAST(round(z / sum(z) OVER () * budget) AS BIGINT) AS quota FROM share)),
 source_plan AS (SELECT *, quota - passes * words AS rest FROM owed),
 cum AS (SELECT d.*, s.passes, s.rest,
           sum(d.words) OVER (PARTITION BY d.src ORDER BY {key.format(b='CAST(s.passes AS VARCHAR)')}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from viewloom.llm import kernels
-from viewloom.llm.common import arrow_rows, compact, cut, semi_join, sweep
+from viewloom.llm.common import arrow_rows, compact, cut, hot_keys, lookup, semi_join, sweep
 from viewloom.llm.components import connected
 
 BANDS, ROWS = 25, 4
@@ -211,8 +211,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 def _buckets(bands: DataFrame) -> DataFrame:
     """bucket, node, degree of the buckets with two nodes or more; the degree of a node is the number of nodes in all its buckets."""
-    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = bands.join(sizes, "bucket")
+    sizes = cut(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = lookup(bands, sizes, "bucket", hot_keys(sizes.withColumnRenamed("n", "size")))
     degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     return shared.select("bucket", "node").join(degrees, "node").select("bucket", "node", "degree")
 
@@ -223,7 +223,8 @@ def _led(grouped: DataFrame) -> DataFrame:
     What many texts are copies of has the highest degree, so a group mostly falls together at once.
     """
     leaders = grouped.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    led = grouped.join(leaders.select("bucket", F.col("b.node").alias("b")), "bucket").where("node <> b")
+    leaders = cut(leaders.select("bucket", F.col("b.node").alias("b"), "m"))
+    led = lookup(grouped, leaders.drop("m"), "bucket", hot_keys(leaders.select("bucket", F.col("m").alias("size")))).where("node <> b")
     shared = led.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     return shared.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
@@ -242,16 +243,23 @@ def _sets_of(used: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) ->
     return cut(sets.dropDuplicates(["node"]))
 
 
+def _counted(pairs: DataFrame) -> DataFrame:
+    """b, size: the number of pairs of each b."""
+    return pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The links (a, b) among candidate pairs: those whose shingles are similar enough, looked at where the signatures nearly are."""
     signed = nodes.select("node", "signature")
-    near = compact(pairs).join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-    near = near.join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    pairs = compact(pairs)
+    near = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
+    # many nodes have the same leader b
+    near = lookup(near, signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b", hot_keys(_counted(pairs)), spread=["a"])
     near = compact(near.where(_agreement("sa", "sb") >= least - SLACK).select("a", "b"))
     used = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(used, nodes, docs, words)
     full = near.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
-    full = full.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
+    full = lookup(full, sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b", hot_keys(_counted(near)), spread=["a"])
     with arrow_rows(docs.sparkSession, 256):  # shingle sets of long texts are large
         return compact(full.where(_jaccard("ea", "eb") >= least).select("a", "b"))
 
@@ -265,7 +273,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("components"))
     sizes = cut(sizes.where("components > 1").select("bucket", "total", F.when(F.col("total") > CROWDED, F.col("top.component")).alias("largest"), "top.n"))
-    placed = semi_join(rows, sizes, "bucket", "inner").withColumn("large", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)))
+    placed = lookup(rows, sizes, "bucket", hot_keys(sizes.select("bucket", F.col("total").alias("size")))).withColumn("large", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)))
     placed = placed.withColumn("m", F.when(F.col("largest").isNull(), 0).otherwise(F.ceil(F.col("n") / CROWDED)))
     placed = placed.withColumn("k", F.when(F.col("largest").isNull(), 1).otherwise(F.ceil((F.col("total") - F.col("n")) / CROWDED)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("large"), F.col("m")).otherwise(F.col("k"))))
@@ -417,6 +425,9 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.8)
             found = _verified(led, nodes, keyed, words, least)
         links = found if links is None else links.union(found)
         labels = connected(links)
-    placed = sketches.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    first = placed.groupBy("component").agg(F.min(F.nullif("key", F.lit(NO_ID))).alias("class_id"))
-    return placed.join(first, "component").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "class_id")
+    each = sketches.groupBy("node").agg(F.min(F.nullif("key", F.lit(NO_ID))).alias("least"), F.count(F.lit(1)).alias("copies"))
+    each = compact(each.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    first = each.groupBy("component").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    classes = lookup(each.select("node", "component", "copies"), first.drop("size"), "component", hot_keys(first.drop("class_id")))
+    copied = hot_keys(each.select("node", F.col("copies").alias("size")))
+    return lookup(sketches.select("key", "node"), classes.select("node", "class_id"), "node", copied).select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "class_id")

@@ -3,7 +3,7 @@
 Every labeller votes good (1), bad (0) or abstains (-1) on a text. EM over the counts of vote patterns of ALL documents
 estimates the share of good texts and each labeller's accuracy on either class; a pattern's posterior is the
 label of its texts. A logistic model on hashed words, word shapes, shape pairs and word repetitions is fitted to the posteriors of a
-hash sample of about `sample_rows` documents and scores every document.
+hash sample of about `sample_rows` different documents (id and text) and scores every document.
 
 There are at most 3 ** len(LABELLERS) patterns, so EM runs on a bounded table. Null and empty texts have no word:
 they get the score 0 and are rejected. Repeated rows give repeated rows. An empty table gives an empty result.
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from viewloom.llm import hashed, kernels
+from viewloom.llm import hashed
+from viewloom.llm.common import bounded_sample
 
 SAMPLE_ROWS = 6000
 KEEP_FROM = 0.4
@@ -154,8 +155,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, fl
     posterior = label_model(docs)
     if not posterior:
         return None
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20))))
+    drawn = bounded_sample(docs.select("doc_id", "text"), ["doc_id", "text"], sample_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,15 +1,16 @@
 """Hilbert-curve sharding: rows that are close in several metadata columns land in the same run of shards.
 
-Numbers are quantised by approximate quantiles, strings by quantiles of their first six bytes (strings that
-share them fall in one bin). The bins are the coordinates of a cell; its place on the Hilbert curve orders the
-rows, ties go by doc_id and text checksum. The order is cut into `n_shards` runs whose row counts differ by one at most, so
+Numbers are quantised by approximate quantiles, strings by the exact quantiles of their whole values: rows are counted by value, the
+values ranked by their order, and a bin begins at the first value that reaches its share of the rows. The bins are the coordinates of a
+cell; its place on the Hilbert curve orders the rows, ties go by doc_id and text checksum. The order is cut into `n_shards` runs whose row counts differ by one at most, so
 min/max file statistics prune on every one of the columns.
 
 Null coordinates fall in bin 0; null text has size 16 (no bytes) and checksum 0. Rows that are equal in all of
 this are interchangeable and get separate slots. Empty tables give empty results. Extra columns are ignored.
 
 The order comes from a range partitioning on (curve index, tie columns), so a cell with a third of all rows is
-dealt over many tasks; places follow from one count per task. Nothing is gathered but those counts.
+dealt over many tasks; places follow from one count per task. Nothing is gathered but those counts and at most 2**bits - 1 borders
+of each dimension.
 """
 
 from __future__ import annotations
@@ -60,25 +61,38 @@ def _hilbert(cells: pd.DataFrame) -> pd.Series:
     return pd.Series(hilbert_index(cells.to_numpy()))
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    if dict(df.dtypes)[name] == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _string_borders(values: DataFrame, name: str, bins: int) -> list[str]:
+    """The first values of the bins 1, 2, ... of a string column; fewer than `bins`, as one value never spans two bins."""
+    counts = values.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = cut(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("at", 33).alias("part")
+    sums = ranked.groupBy(part).agg(F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranked.withColumn("part", part).withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), "part")
+    first = placed.groupBy(F.expr(f"(start + before) * {bins} div total").alias("bin")).agg(F.min("value").alias("value"))
+    return sorted((r.value for r in first.where("bin > 0").collect()), key=lambda v: v.encode())
 
 
 def hilbert_order(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """`rows` with `curve`, the place of the row's cell."""
-    numbers = rows.select(*(_as_number(rows, d).alias(d) for d in dims))
+    kinds = dict(rows.dtypes)
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = numbers.agg(*(F.percentile_approx(d, steps, 10_000).alias(d) for d in dims)).first()
-    bins = [
-        F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[d] or [])))), lambda c, v=_as_number(rows, d): c < v)), F.lit(0))
-        if cuts[d]
-        else F.lit(0)
-        for d in dims
-    ]
-    bins = [F.when(_as_number(rows, d).isNull(), F.lit(0)).otherwise(b).cast("int").alias(f"bin_{d}") for d, b in zip(dims, bins, strict=True)]
-    return rows.withColumn("curve", _hilbert(F.struct(*bins)))
+    numbers = [d for d in dims if kinds[d] != "string"]
+    found = rows.agg(*(F.percentile_approx(F.col(d).cast("double"), steps, 10_000).alias(d) for d in numbers)).first() if numbers else {}
+
+    def coordinate(d: str) -> Column:
+        if d in numbers:
+            value, borders = F.col(d).cast("double"), sorted(set(found[d] or []))
+            passed = lambda border: border < value
+        else:
+            value, borders = F.col(d), _string_borders(rows.select(d), d, 1 << bits)
+            passed = lambda border: border <= value
+        place = F.size(F.filter(F.array(*map(F.lit, borders)), passed)) if borders else F.lit(0)
+        return F.when(value.isNull(), F.lit(0)).otherwise(place).cast("int").alias(f"bin_{d}")
+
+    return rows.withColumn("curve", _hilbert(F.struct(*map(coordinate, dims))))
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = BITS) -> DataFrame:
@@ -113,7 +127,11 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] =
 
 
 def write_by_curve(docs: DataFrame, path: str, n_files: int = 40, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = BITS) -> None:
-    """The documents themselves as `n_files` Parquet files along the curve, so that readers prune files by any of the dims."""
-    sized = docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"))
-    ordered = hilbert_order(sized, list(dims), bits).repartitionByRange(n_files, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    ordered.drop("curve").write.mode("overwrite").parquet(path)
+    """The documents themselves, with all their columns, as `n_files` Parquet files along the curve, so that readers prune files by any of the dims.
+
+    The dimension `size` is the text's; columns of `docs` that are called size or curve are written as they are.
+    """
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size")
+    sized = docs.select(F.struct("*").alias("row"), *(size if d == "size" else F.col(d) for d in dims))
+    ordered = hilbert_order(sized, list(dims), bits).repartitionByRange(n_files, "curve", "row.doc_id").sortWithinPartitions("curve", "row.doc_id")
+    ordered.select("row.*").write.mode("overwrite").parquet(path)

@@ -1,4 +1,7 @@
-"""Flat files in the shared folder that tasks write once and workers memory-map."""
+"""Flat files in the shared folder that tasks write once and workers memory-map.
+
+A folder is a full URI (common.scratch_folder gives one), so that tasks on every machine mean the same place.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,9 @@ KINDS = ("<u8", "<i8", "<u4", "|u1")
 def _local(folder: str) -> str | None:
     """The path of a folder on a file system that is mounted here, else None."""
     parts = urlparse(folder)
-    return parts.path if parts.scheme in ("", "file") else None
+    if not parts.scheme:
+        raise ValueError(f"{folder} has no scheme: it may mean another place on another machine")
+    return parts.path if parts.scheme == "file" else None
 
 
 def put(folder: str, name: str, arrays: list[np.ndarray]) -> None:
@@ -43,19 +48,15 @@ def put(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     remote.move(draft, f"{path}/{name}")
 
 
-def view(folder: str, name: str) -> list[np.ndarray] | None:
-    """The arrays of a file, memory-mapped; None if there is no such file. Files of an unmounted store are copied to an unnamed local file first."""
+def view(folder: str, name: str) -> list[np.ndarray]:
+    """The arrays of a file, memory-mapped; a missing file is an error. Files of an unmounted store are copied to an unnamed local file first."""
     path = _local(folder)
     if path is not None:
-        if not os.path.exists(f"{path}/{name}"):
-            return None
         raw = np.memmap(f"{path}/{name}", np.uint8, "r")
     else:
         from pyarrow import fs
 
         remote, at = fs.FileSystem.from_uri(folder)
-        if remote.get_file_info(f"{at}/{name}").type == fs.FileType.NotFound:
-            return None
         with tempfile.TemporaryFile() as f, remote.open_input_stream(f"{at}/{name}") as source:
             while block := source.read(1 << 24):
                 f.write(block)

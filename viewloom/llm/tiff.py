@@ -18,6 +18,9 @@ TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 8: (2,
 CODECS = {"none": 1, "lzw": 5, "deflate": 8, "old_deflate": 32946, "packbits": 32773}
 NAMES = {v: k for k, v in CODECS.items()}
 
+#: The most bytes that a byte of a block can stand for.
+EXPANSION = {"none": 1, "packbits": 64, "lzw": 3640, "deflate": 1032, "old_deflate": 1032}
+
 CLEAR, EOI, FIRST = 256, 257, 258
 RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
@@ -254,7 +257,9 @@ def _page(data: bytes, order: str, fields: dict, number: int) -> Page:
     one = lambda tag, default=None: fields[tag][0] if fields.get(tag) else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, scheme, predictor, planar = fields.get(BITS, (1,)), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if not width or not height or set(bits) - {8, 16} or len(set(bits)) != 1 or predictor not in (1, 2):
+    if not all(isinstance(v, int) for v in (samples, scheme, predictor, planar)):
+        raise TiffError(f"page {number}: a tag has a type that it may not have")
+    if not isinstance(width, int) or not isinstance(height, int) or width < 1 or height < 1 or set(bits) - {8, 16} or len(set(bits)) != 1 or predictor not in (1, 2):
         raise TiffError(f"page {number}: {width} x {height} of {bits} bits with predictor {predictor} is not supported")
     dtype = np.dtype(f"{order}u{bits[0] // 8}")
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
@@ -265,9 +270,15 @@ def _page(data: bytes, order: str, fields: dict, number: int) -> Page:
     else:
         block_w, block_h = width, min(one(ROWS_PER_STRIP, height), height)
         offsets, counts = fields.get(STRIP_OFFSETS, ()), fields.get(STRIP_COUNTS, ())
+    if not isinstance(block_w, int) or not isinstance(block_h, int) or block_w < 1 or block_h < 1 or not 1 <= samples <= 64 or scheme not in NAMES:
+        raise TiffError(f"page {number}: blocks of {block_w} x {block_h} with {samples} samples in compression {scheme} are not supported")
     across, down = -(-width // block_w), -(-height // block_h)
     if len(offsets) != planes * across * down or len(counts) != len(offsets):
         raise TiffError(f"page {number}: {len(offsets)} blocks are there, {planes * across * down} are needed")
+    held = sum(max(0, min(count, len(data) - offset)) for offset, count in zip(offsets, counts, strict=True))
+    claimed = height * width * samples * dtype.itemsize
+    if claimed > held * EXPANSION[NAMES[scheme]] or (tiled and block_w * block_h > 4 * max(width, 64) * max(height, 64)):
+        raise TiffError(f"page {number}: {claimed} bytes of pixels are claimed, its blocks have {held}")
     pixels = np.zeros((height, width, samples), dtype)
     for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         plane, cell = divmod(k, across * down)

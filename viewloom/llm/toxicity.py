@@ -1,12 +1,12 @@
 """Toxicity severity by cumulative-link ordinal regression on hashed word and stem features.
 
-Labels say toxic or not. Grades for training: 0 for rows that are not toxic, and for toxic rows 1, 2 or 3 by how
-many marker words they have (up to 2, up to 6, more), where markers are features that toxic rows of the sample
+Labels say toxic or not. Grades for training: 0 for rows that are not toxic, and for toxic rows 1, 2 or 3 by the
+share of marker words among their words (the thirds of the sample's toxic rows), where markers are features that toxic rows of the sample
 have at least MARKER_ODDS times as often as others. The model shares its weights across the ordered
 thresholds: P(severity > k) = sigmoid(w.x - c_k), and the expected severity is the sum over k.
 
-The model is trained in one task on a hash sample of about `sample_rows` labelled documents, which bounds its
-input however large the tables are; all documents are scored. Labels with a null are left out; of several labels
+The model is trained in one task on a hash sample of about `sample_rows` different labelled documents (id and text), which bounds its
+input however large the tables are and however often a row repeats; all documents are scored. Labels with a null are left out; of several labels
 of a document the highest counts. Without both classes in the sample all severities are 0. Null and empty texts
 have no feature and get the severity of the thresholds alone. Repeated rows give repeated rows.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm import hashed
+from viewloom.llm.common import bounded_sample, cut
 
 MARKER_ODDS = 30.0
 GRADES = 4
@@ -34,8 +35,10 @@ def grades(toxic: np.ndarray, starts: np.ndarray, ids: np.ndarray, counts: np.nd
     rate = [(seen[t] + 0.1) / ((toxic == t).sum() + 0.2) for t in (0, 1)]
     marker = (rate[1] / rate[0] >= MARKER_ODDS) & (seen[1] >= 3)
     found = np.bincount(rows, np.where(marker[ids], counts, 0), minlength=len(toxic))
-    # each marker word shows as itself and as up to three stems
-    return np.where(toxic == 0, 0, 1 + (found > 8) + (found > 24))
+    # each word, marker or not, shows as itself and as up to three stems
+    dense = found / np.maximum(np.bincount(rows, counts, minlength=len(toxic)), 1)
+    steps = np.quantile(dense[toxic > 0], [(g + 1) / (GRADES - 1) for g in range(GRADES - 2)])
+    return np.where(toxic == 0, 0, 1 + (dense[:, None] > steps).sum(axis=1))
 
 
 def telling(toxic: np.ndarray, starts: np.ndarray, ids: np.ndarray, least: float = 4.0) -> np.ndarray:
@@ -48,11 +51,10 @@ def telling(toxic: np.ndarray, starts: np.ndarray, ids: np.ndarray, least: float
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    share = min(1.0, sample_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    """doc_id, text, toxic of about `sample_rows` different labelled documents at most."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = cut(bounded_sample(known, ["doc_id"], sample_rows))
+    return bounded_sample(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), ["doc_id", "text"], sample_rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
