@@ -10,15 +10,11 @@ by id and text: a null id or an id on two texts is no reason to keep or drop a r
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewloom.llm import decontaminate, mixing, near_dedup, quality, sharding, store
-from viewloom.llm.common import cut, semi_join, shared_dir, table
+from viewloom.llm import decontaminate, mixing, near_dedup, quality, sharding
+from viewloom.llm.common import cut, scratch_folder, semi_join, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -84,9 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    if path := store._local(folder):
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    folder = scratch_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
