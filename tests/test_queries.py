@@ -3,7 +3,7 @@
 import pytest
 
 from viewloom.plans import ORACLES, QUERIES
-from viewloom.plans import information, models, multiview, records, timeseries  # noqa: F401
+from viewloom.plans import grids, information, models, multiview, records, subjects, synthetic, timeseries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

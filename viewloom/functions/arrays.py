@@ -105,3 +105,36 @@ def monomials(parts: list[Column], degree: int) -> list[Column]:
     for n in range(1, degree + 1):
         found += [reduce(lambda a, b: a * b, group) for group in combinations_with_replacement(parts, n)]
     return found
+
+
+def independent_of(v: Column, other: Column) -> Column:
+    """What of v is orthogonal to `other`."""
+    share = dot(v, other) / dot(other, other)
+    return F.zip_with(v, other, lambda x, y: x - share * y)
+
+
+def sparse(v: Column, eps: float) -> Column:
+    """Entries whose size is below eps become 0."""
+    return F.transform(v, lambda x: F.when(F.abs(x) < eps, 0.0).otherwise(x))
+
+
+def excess(v: Column, cut: Column) -> Column:
+    """sum(max(|v| - cut, 0)) - 1, which falls with the cut."""
+    return total(F.transform(v, lambda x: F.greatest(F.abs(x) - cut, F.lit(0.0)))) - 1
+
+
+def bisect(f, low: Column, high: Column, rounds: int = 60) -> Column:
+    """The root of a falling function between two columns, as a fold of a fixed number of halvings."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["lo"] + s["hi"]) / 2
+        up = f(middle) > 0
+        return F.struct(F.when(up, middle).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(middle).alias("hi"))
+
+    start = F.struct(low.cast("double").alias("lo"), high.cast("double").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+
+
+def linf_cut(v: Column) -> Column:
+    """Where the prox of the largest entry (weight 1) clips; null where all of v goes to 0."""
+    return F.when(norm_of(v, "L1") > 1, bisect(lambda c: excess(v, c), F.lit(0.0), norm_of(v, "Linf")))

@@ -27,3 +27,11 @@ def confusion(predictions: DataFrame, pred: str = "pred", truth: str = "truth",
 
 def subset_size(mask: Column) -> Column:
     return F.bit_count(mask)
+
+
+def valid_partitioning(rows: DataFrame, name: str, index: str, ends: DataFrame) -> DataFrame:
+    """name, members, valid: whether a grouping has each index of the range (`ends` is one row with lo and hi) once and nothing else."""
+    once = rows.groupBy(name, index).agg(F.count(F.lit(1)).alias("c"))
+    sums = once.groupBy(name).agg(F.sum("c").alias("members"), F.count(F.lit(1)).alias("different"), F.min(index).alias("first"), F.max(index).alias("last"))
+    whole = (F.col("first") == F.col("lo")) & (F.col("last") == F.col("hi")) & (F.col("members") == F.col("hi") - F.col("lo") + 1)
+    return sums.join(F.broadcast(ends), how="cross").select(name, "members", ((F.col("different") == F.col("members")) & whole).alias("valid"))

@@ -118,3 +118,27 @@ def modal_value(rows: DataFrame, keys: list[str], value: str, order: str) -> Dat
     """The most frequent value per key; among ties the one seen first."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     return counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value), F.max("n").alias("n"))
+
+
+def exact_quantile(rows: DataFrame, value: str, p: float, key: str | None = None) -> DataFrame:
+    """key, `quantile` (linear between neighbours) of a number without nulls, from counts of its distinct values.
+
+    The values of a key are cut into ranges by an approximate quantile sketch; only the two ranges in which the wanted places lie are ordered.
+    """
+    key = key or "_all"
+    rows = rows.select((F.lit(0) if key == "_all" else F.col(key)).alias(key), F.col(value).alias("_x"))
+    cuts = rows.groupBy(key).agg(F.percentile_approx("_x", [i / 128 for i in range(129)], 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_n"))
+    placed = rows.join(F.broadcast(cuts) if key == "_all" else cuts, key)
+    placed = placed.select(key, "_x", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_b"))
+    ranges = placed.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.lit(p) * (F.col("_n") - 1)
+    ranges = ranges.withColumn("_s", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    wanted = ranges.where((F.col("_s") <= F.ceil(at)) & (F.floor(at) < F.col("_s") + F.col("_m"))).select(key, "_b", "_s", "_n")
+    inside = placed.drop("_n").join(wanted, [key, "_b"]).groupBy(key, "_b", "_s", "_n", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(key, "_b").orderBy("_x")
+    ranked = inside.withColumn("_to", F.col("_s") + F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
+    holds = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_to")), F.col("_x")))
+    found = ranked.groupBy(key).agg(holds(F.floor(at)).alias("_lo"), holds(F.ceil(at)).alias("_hi"), (F.max(at) - F.max(F.floor(at))).alias("_w"))
+    found = found.select(key, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias("quantile"))
+    return found.drop("_all") if key == "_all" else found

@@ -1,4 +1,4 @@
-"""Decompositions, regressions and ordered NumPy kernels as queries (rows only; tests hold them against NumPy)."""
+"""Decompositions, regressions and ordered NumPy kernels as queries; those without a SQL twin are held against NumPy in tests/test_models.py."""
 
 from __future__ import annotations
 
@@ -197,33 +197,21 @@ def dtw_match(spark, d):
     return found.groupBy("user_id").agg(F.min(F.struct("cost", "end")).alias("b")).select("user_id", F.col("b.end").alias("end"), F.round("b.cost", 6).alias("cost"))
 
 
-@query()
-def random_feature_means(spark, d):
-    """Mean random Fourier features (64 seeded frequencies) of each window's delay embedding."""
-    rng = np.random.default_rng(7)
-    w, h = rng.normal(0, 0.02, (2, 64)), rng.uniform(0, 2 * pi, 64)
-    win = R.count_windows(R.delay_embedding(event_series(spark, d), ["user_id"], "value", 1, 2), ["user_id"], WINDOW)
-
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            z = np.sqrt(2 / 64) * np.cos(f[["x0", "x1"]].to_numpy() @ w + h)
-            yield pd.DataFrame({"user_id": f["user_id"], "win": f["win"], "z": list(z)})
-
-    rows = win.select("user_id", "win", "x0", "x1").mapInPandas(features, "user_id long, win int, z array<double>")
-    one = rows.select("user_id", "win", F.posexplode("z").alias("f", "z"))
-    return one.groupBy("user_id", "win", "f").agg(F.round(F.avg("z"), 6).alias("feature"))
-
-
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT id, 0 AS k, 1.0 + 0.01 * id AS x, 1.0::DOUBLE AS y, 1.0::DOUBLE AS z FROM (SELECT unnest(range(0, 8))::DOUBLE AS id)
+UNION ALL SELECT id, k + 1, x + 0.01 * (10 * (y - x)), y + 0.01 * (x * (28 - z) - y), z + 0.01 * (x * y - 2.6666666666666665::DOUBLE * z) FROM s WHERE k < 500)
+SELECT id::BIGINT AS series_id, k::BIGINT - 1 AS rn, round(k * 0.01, 6) AS t, round(x, 8) AS x, round(y, 8) AS y, round(z, 8) AS z FROM s WHERE k > 0"""
+)
 def lorenz_series(spark, d):
-    """Seeded Lorenz trajectories, one per task row: a generator."""
+    """Lorenz trajectories from eight starts, one per task row: a generator."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for i in f["id"]:
                 x, dt, out = np.array([1.0 + 0.01 * i, 1.0, 1.0]), 0.01, []
                 for k in range(500):
                     x = x + dt * np.array([10 * (x[1] - x[0]), x[0] * (28 - x[2]) - x[1], x[0] * x[1] - 8 / 3 * x[2]])
-                    out.append((i, k, (k + 1) * dt, *x))
+                    out.append((i, k, round((k + 1) * dt, 6), *np.round(x, 8)))
                 yield pd.DataFrame(out, columns=["series_id", "rn", "t", "x", "y", "z"])
 
     return spark.range(8).mapInPandas(run, "series_id long, rn long, t double, x double, y double, z double")

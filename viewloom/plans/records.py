@@ -33,17 +33,20 @@ def engine_runs_rul(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT user_id, CAST(floor((epoch_us(ts) - 1704067200000000) / 86400000000) AS BIGINT) AS day, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 5 ELSE -1 END AS code, event_id FROM events),
-g AS (SELECT user_id, unnest(range(0, 31)) AS day FROM (SELECT DISTINCT user_id FROM events)),
+    """WITH e AS (SELECT user_id, CAST(date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) AS BIGINT) AS day, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 5 ELSE -1 END AS code, event_id FROM events),
+g AS (SELECT user_id, unnest(range(0, last + 1)) AS day FROM (SELECT DISTINCT user_id FROM events), (SELECT max(day) AS last FROM e)),
 f AS (SELECT user_id, day, arg_max(code, event_id) AS code FROM e GROUP BY ALL)
 SELECT g.user_id, g.day, coalesce(f.code, -1) AS code FROM g LEFT JOIN f USING (user_id, day)"""
 )
 def grid_labels(spark, d):
-    """Codes scattered on a fixed grid of days, -1 where there is none; the last event of a day counts."""
-    day = F.expr("floor((timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)) / 86400000000)").cast("long")
+    """Codes scattered on the grid of all days from the first to the last, -1 where there is none; the last event of a day counts."""
+    events = table(spark, d, "events").withColumn("date", F.col("ts").cast("date"))
+    ends = events.agg(F.min("date").alias("first"), F.datediff(F.max("date"), F.min("date")).cast("long").alias("last"))
     code = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 5).otherwise(-1)
-    rows = table(spark, d, "events").groupBy("user_id", day.alias("day")).agg(F.max_by(code, "event_id").alias("code"))
-    grid = rows.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(30)).cast("array<bigint>")).alias("day"))
+    day = F.datediff("date", "first").cast("long").alias("day")
+    rows = events.join(F.broadcast(ends), how="cross").groupBy("user_id", day).agg(F.max_by(code, "event_id").alias("code"))
+    users = rows.select("user_id").distinct().join(F.broadcast(ends), how="cross")
+    grid = users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("day"))
     return grid.join(rows, ["user_id", "day"], "left").select("user_id", "day", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
@@ -110,13 +113,13 @@ def multi_hot_labels(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT doc_id AS id, n_chars FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS id, quality FROM labels), c AS (SELECT vec_id AS id, label FROM embeddings)
+    """WITH a AS (SELECT doc_id AS id, n_chars FROM documents), b AS (SELECT doc_id AS id, quality FROM labels), c AS (SELECT vec_id AS id, label FROM embeddings)
 SELECT id, coalesce(a.n_chars, -1) AS n_chars, coalesce(b.quality, -1) AS quality, coalesce(c.label, -1) AS label, (a.id IS NOT NULL)::INTEGER + (b.id IS NOT NULL)::INTEGER + (c.id IS NOT NULL)::INTEGER AS views
 FROM a FULL JOIN b USING (id) FULL JOIN c USING (id)"""
 )
 def three_source_outer(spark, d):
     """Three sources by id; what a source lacks is null, shown as -1."""
-    a = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "n_chars", F.lit(1).alias("ia"))
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", F.lit(1).alias("ia"))
     b = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", F.lit(1).alias("ib"))
     c = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.lit(1).alias("ic"))
     rows = a.join(b, "id", "full").join(c, "id", "full")
@@ -226,7 +229,11 @@ def view_order_curves(spark, d):
     return spark.createDataFrame(found, "target int, view_order string, step int, squared_error double")
 
 
-@query()
+@query(
+    f"""WITH {SERIES}, p AS (SELECT user_id, period, rn % period AS phase, sum(value) AS s, count(*) AS n FROM series, (SELECT unnest(range(2, 50)) AS period) GROUP BY ALL),
+q AS (SELECT user_id, period, round(sum(s * s / n) / sum(n), 6) AS q FROM p GROUP BY 1, 2)
+SELECT user_id, period::INTEGER AS period, q AS score FROM q QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY q DESC, period) = 1"""
+)
 def period_search(spark, d):
     """Per series, the period among 2 to 49 whose phases explain most of the variance (scored by one exploded aggregation)."""
     rows = event_series(spark, d).select("user_id", "rn", "value", F.explode(F.sequence(F.lit(2), F.lit(49))).alias("period"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viewloom.operators import labels as L
 from viewloom.operators import series as R
+from viewloom.operators import statistics as S
 from viewloom.plans import SERIES, query
 from viewloom.sources.tables import event_series, table
 
@@ -119,7 +120,7 @@ def first_local_min_lag(spark, d):
 )
 def p99_blank(spark, d):
     e = table(spark, d, "events")
-    limit = F.broadcast(e.agg(F.percentile("value", 0.99).alias("q")))
+    limit = F.broadcast(S.exact_quantile(e.where("value is not null"), "value", 0.99).withColumnRenamed("quantile", "q"))
     return e.join(limit, how="cross").select("event_id", F.when(F.col("value") > F.col("q"), 0.0).otherwise(F.col("value")).alias("value"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +27,24 @@ def event_series(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """`rank` from 0 over all rows by a column without ties: ranges of it are sorted apart, and one count per range comes together."""
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return ranked.withColumn("rank", F.col("_s") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_s")
+
+
 def read_delimited(lines: DataFrame, names: list[str], sep: str = "\t", every: int = 1, order: str | None = None) -> DataFrame:
     """Rows of `lines` (value, and `order` if only each `every`-th is kept) with as many fields as `names`; ragged rows go.
 
     Strides count before the raggedness test, as a reader that skips first would.
     """
     if every > 1:
-        at = F.row_number().over(Window.orderBy(order)) - 1
-        lines = lines.withColumn("_at", at).where(F.col("_at") % every == 0)
+        lines = numbered(lines, order).where(F.col("rank") % every == 0).drop("rank")
     fields = F.split("value", sep)
     return lines.where(F.size(fields) == len(names)).select(*(fields[i].alias(n) for i, n in enumerate(names)))
 
@@ -74,3 +87,41 @@ def name_catalog(paths: DataFrame, path: str) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """Parquet by key; a rerun overwrites the same partitions only, so a batch can be restarted."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def line_count(text: Column | str) -> Column:
+    """Lines of a text column; a last line without a line end counts."""
+    return F.size(F.split(text, "\n")).cast("long")
+
+
+def clean_record(rows: DataFrame, bookkeeping: list[str], kind: str) -> DataFrame:
+    """Without bookkeeping columns, and for kind "feat" without labels."""
+    return rows.drop(*bookkeeping, *(["label", "labels"] if kind == "feat" else []))
+
+
+def complete_view_sets(views: dict[str, list[str]], columns: list[str], rest: str = "rest") -> dict[str, list[str]]:
+    """View sets restricted to `columns`; the columns that no view has are the last view, if there are any."""
+    found = {name: [c for c in wanted if c in columns] for name, wanted in views.items()}
+    left = [c for c in columns if not any(c in v for v in found.values())]
+    return found | ({rest: left} if left else {})
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the cluster's checkpoints, deleted when the driver's JVM ends; only a local session may be without one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="viewloom-")
+    at = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
+    return files.makeQualified(at).toString()
+
+
+def kept(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """`df` written by key to the shared folder and read again: fitted coefficients outlive the job that made them."""
+    folder = shared_folder(df.sparkSession, name)
+    write_partitioned(df, folder, by)
+    return df.sparkSession.read.parquet(folder)
