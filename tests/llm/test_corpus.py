@@ -124,6 +124,40 @@ def test_windows_do_not_change_the_tokens(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
 
 
+def test_chunks_and_many_small_shards_do_not_change_scores(spark, monkeypatch):
+    rows = [(i, " ".join(random.Random(i).choices(["hot"] * 5 + list("abcdefgh"), k=n))) for i, n in enumerate([200, 3000, 0, 40, 1, 700])]
+    brute = brute_scores(rows)
+    monkeypatch.setattr(language_model, "pieces", lambda docs, each: 37)
+    monkeypatch.setattr(language_model, "CHUNK", 150)
+    monkeypatch.setattr(kernels, "WINDOW", 256)
+
+    got = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, [(k, t, "s") for k, t in rows])).collect()}
+    assert all(abs(got[k] - brute[k][4]) < 1e-6 for k in got)
+    pairs = collections.Counter()
+    for histories, tokens in language_model._chunks(iter([pa.record_batch([pa.array([t for _, t in rows])], names=["text"])])):
+        pairs.update(zip(histories.tolist(), tokens.tolist()))
+    monkeypatch.setattr(kernels, "WINDOW", 1 << 20)
+    whole = collections.Counter()
+    for _, histories, tokens in language_model._streams(pa.array([t for _, t in rows])):
+        whole.update(zip(histories.tolist(), tokens.tolist()))
+    assert pairs == whole
+
+
+def test_a_missing_shard_is_an_error(spark):
+    import os
+
+    from viewloom.llm import store
+
+    docs = frame(spark, [(i, f"some words {i}", "s") for i in range(20)])
+    model = language_model.train(docs.select("text"))
+    folder = store._local(model.folder)
+    os.remove(f"{folder}/words-0")
+    with pytest.raises(Exception, match="words-0|No such file"):
+        language_model.score(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), model).collect()
+    with pytest.raises(ValueError):
+        store.put("/no/scheme", "x", [])
+
+
 def test_hot_words_do_not_change_scores(spark):
     rows = frame(spark, [(i, " ".join(random.Random(i).choices(["hot"] * 5 + list("abcdefgh"), k=200)), "s") for i in range(40)])
     want = {r.doc_id: r.score for r in language_model.score_documents(rows).collect()}

@@ -12,7 +12,7 @@ the probabilities of all words and one unknown word sum to 1. An unknown history
 Every task counts the pairs of a bounded chunk of its texts; chunks meet by shard of the history's hash, histories that
 are very frequent by shard of the pair. A shard is merged in one task and written to the shared folder: sorted 64-bit keys
 and their counts. No count is pruned. Word statistics are merged by shard of the word in the same way. Scoring maps those files and
-looks up the distinct words and pairs of a chunk. Shards hold about as much however large the corpus is.
+looks up the distinct words and pairs of a chunk. Shards hold about as much however large the corpus is, up to MOST_HOT / 4 of them.
 
 Null and empty texts are one end. A null doc_id is learnt from. Repeated rows count and are scored each. Without any text to learn from,
 scores are those of the base. Extra columns are ignored.
@@ -20,9 +20,6 @@ scores are those of the base. Extra columns are ignored.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm import kernels, store
-from viewloom.llm.common import cut, pieces, shared_dir
+from viewloom.llm.common import cut, pieces, scratch_folder
 
 START = np.uint64(0x243F6A8885A308D3)
 CHUNK = 1 << 21
 SHARD_BYTES = 8 << 20
-MOST_HOT = 1 << 16
+#: At most so many histories are split (the list is broadcast): beyond a quarter as many shards a shard may hold a history of
+#: up to tokens / MOST_HOT, so that shards grow, slowly, with the corpus.
+MOST_HOT = 1 << 20
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -146,12 +145,14 @@ STATS = ["seen", "total", "n1", "n2", "n3", "before"]
 
 
 def _count_pairs(docs: DataFrame, shards: int, hot: np.ndarray, folder: str) -> DataFrame:
-    """Writes the pair files; returns shard, words, stats (word statistics by shard of the word) and the counts of pair counts c1 to c4."""
+    """Writes the pair files; returns shard, words, stats (word statistics by shard of the word), the shards written and the counts of pair counts c1 to c4."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for histories, tokens in _chunks(batches):
-            words, ids = np.unique(tokens, return_inverse=True)
-            last = np.concatenate(([0], ids[:-1] + 1))
+            # the first history of a chunk may be a token of the chunk before
+            words, ids = np.unique(np.append(tokens, histories[:1]), return_inverse=True)
+            last = np.roll(ids, 1) + 1
+            last, ids = last[:-1], ids[:-1]
             last[histories == START] = 0
             pairs, counts = _merged((last.astype(np.int64) << 32) | ids, np.ones(len(ids), np.int64))
             first = np.concatenate(([START], words))[pairs >> 32]
@@ -185,21 +186,22 @@ def _count_pairs(docs: DataFrame, shards: int, hot: np.ndarray, folder: str) ->
             *(np.concatenate((x.astype(np.int64), 0 * one)) for x in (counts == 1, counts == 2, counts >= 3)),
             np.concatenate((0 * one, one)),
         )
-        out = _blob_rows(_shard(word, shards), [word, *(x.astype(np.uint32) for x in stats)], ["words", *STATS[1:]])
+        out = _blob_rows(_shard(word, shards), [word, *stats], ["words", *STATS[1:]])
         # mostly small numbers: packed, since the checkpoint does not compress
         packed = [pa.array([zlib.compress(b, 1) for b in out.column(n).to_pylist()], pa.binary()) for n in STATS[1:]]
         out = pa.RecordBatch.from_arrays([*out.columns[:2], *packed], names=out.schema.names)
-        ties = {f"c{k}": pa.array([int((counts == k).sum())] + [0] * (out.num_rows - 1), pa.int64()) for k in (1, 2, 3, 4)}
+        ties = {"wrote": pa.array([shard] + [None] * (out.num_rows - 1), pa.int32())}
+        ties |= {f"c{k}": pa.array([int((counts == k).sum())] + [0] * (out.num_rows - 1), pa.int64()) for k in (1, 2, 3, 4)}
         return pa.table({n: out.column(i) for i, n in enumerate(out.schema.names)} | ties)
 
     schema = "shard int, histories binary, runs binary, words binary, counts binary"
     parts = docs.select("text").mapInArrow(count, schema)
     stats = ", ".join(f"{n} binary" for n in STATS[1:])
-    return cut(parts.groupBy("shard").applyInArrow(merge, f"shard int, words binary, {stats}, c1 long, c2 long, c3 long, c4 long"))
+    return cut(parts.groupBy("shard").applyInArrow(merge, f"shard int, words binary, {stats}, wrote int, c1 long, c2 long, c3 long, c4 long"))
 
 
 def _merge_words(partial: DataFrame, vocabulary: DataFrame, folder: str) -> DataFrame:
-    """Writes the word files; returns the counts k1 to k4 of words with so many words before them, and their sum."""
+    """Writes the word files; returns, with the shards written, the counts k1 to k4 of words with so many words before them, and their sum."""
 
     def merge(rows: pa.Table) -> pa.Table:
         words = _array(rows["words"], np.uint64)
@@ -210,16 +212,16 @@ def _merge_words(partial: DataFrame, vocabulary: DataFrame, folder: str) -> Data
             blobs = zip(rows[name].to_pylist(), sizes, strict=True)
             return np.concatenate([np.zeros(n, np.int64) if b is None else np.frombuffer(zlib.decompress(b) if name != "seen" else b, dtype).astype(np.int64) for b, n in blobs])
 
-        words, *stats = _merged(words, column("seen", np.int64), *(column(n, np.uint32) for n in STATS[1:]))
+        words, *stats = _merged(words, column("seen", np.int64), *(column(n, np.int64) for n in STATS[1:]))
         store.put(folder, f"words-{rows['shard'][0].as_py()}", [words, *(x.astype(np.uint32) if x.max(initial=0) < 2**32 else x for x in stats)])
         before = stats[-1]
-        return pa.table({"k1": [int((before == 1).sum())], **{f"k{k}": [int((before == k).sum())] for k in (2, 3, 4)}, "more": [int((before >= 3).sum())], "total": [int(before.sum())]})
+        return pa.table({"wrote": rows["shard"][:1], "k1": [int((before == 1).sum())], **{f"k{k}": [int((before == k).sum())] for k in (2, 3, 4)}, "more": [int((before >= 3).sum())], "total": [int(before.sum())]})
 
     nothing = F.lit(None).cast("binary")
     names = ["shard", "words", *STATS]
     known = vocabulary.select("shard", "words", F.col("counts").alias("seen"), *(nothing.alias(n) for n in STATS[1:]))
     parts = partial.select("shard", "words", nothing.alias("seen"), *STATS[1:])
-    return parts.select(names).union(known.select(names)).groupBy("shard").applyInArrow(merge, "k1 long, k2 long, k3 long, k4 long, more long, total long")
+    return cut(parts.select(names).union(known.select(names)).groupBy("shard").applyInArrow(merge, "wrote int, k1 long, k2 long, k3 long, k4 long, more long, total long"))
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -247,8 +249,8 @@ class Model:
         heads = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0))) if len(keys) else []
         for i, j in zip(heads, np.append(heads[1:], len(keys)) if len(keys) else [], strict=True):
             own = order[i:j]
-            arrays = store.view(self.folder, f"{kind}-{shard[own[0]]}")
-            if arrays is None or not len(arrays[0]):
+            arrays = store.view(self.folder, f"{kind}-{shard[own[0]]}")  # every shard has a file: a missing one is an error
+            if not len(arrays[0]):
                 continue
             at = np.minimum(np.searchsorted(arrays[0], keys[own]), len(arrays[0]) - 1)
             real = arrays[0][at] == keys[own]
@@ -292,20 +294,34 @@ class Model:
         return np.log10(p)[back], seen[w]
 
 
+def _fill(written: DataFrame, shards: int, folder: str, kind: str, arrays: list[np.ndarray]) -> None:
+    """Empty files for the shards that nothing fell in."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                store.put(folder, f"{kind}-{shard}", arrays)
+            yield batch
+
+    missing = written.sparkSession.range(shards).join(written.where("wrote is not null").select(F.col("wrote").cast("long").alias("id")), "id", "left_anti")
+    missing.mapInArrow(put, "id long").write.format("noop").mode("overwrite").save()
+
+
 def train(docs: DataFrame) -> Model:
     """A model of the texts in `docs`."""
-    spark = docs.sparkSession
     shards = pieces(docs, SHARD_BYTES)
-    folder = f"{shared_dir(spark).rstrip('/')}/language-model-{uuid.uuid4().hex}"
-    if path := store._local(folder):
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    folder = scratch_folder(docs.sparkSession, "language-model")
     vocabulary = count_words(docs, shards)
     types = vocabulary.agg(F.sum((F.octet_length("words") / 8).cast("long"))).first()[0] or 0
     tokens = _total(vocabulary)
     hot = _frequent(vocabulary, tokens / min(4 * shards, MOST_HOT))
     partial = _count_pairs(docs, shards, hot, folder)
     ties = partial.agg(*(F.sum(f"c{k}") for k in (1, 2, 3, 4))).first()
-    words = _merge_words(partial, vocabulary, folder).agg(*(F.sum(n) for n in ("k1", "k2", "k3", "k4", "more", "total"))).first()
+    merged = _merge_words(partial, vocabulary, folder)
+    words = merged.agg(*(F.sum(n) for n in ("k1", "k2", "k3", "k4", "more", "total"))).first()
+    none, small = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    _fill(partial, shards, folder, "pairs", [none, np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)])
+    _fill(merged, shards, folder, "words", [none, *[small] * len(STATS)])
     ties, words = ([x or 0 for x in row] for row in (ties, words))
     return Model(folder, shards, hot, tokens, types, ties, words[:4], words[4], words[5])
 
