@@ -108,6 +108,50 @@ def test_language_model_is_kneser_ney(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def brute_three(rows):
+    tokens = {k: ["<s>", "<s>", *words_of(t), None] for k, t in rows}
+    train = [k for k in tokens if zlib.crc32(str(k).encode()) % 7 != 2]
+    three = collections.Counter(g for k in train for g in zip(tokens[k], tokens[k][1:], tokens[k][2:]))
+    two = collections.Counter()
+    for (_, v, w), c in three.items():
+        two[v, w] += c if v == "<s>" else 1
+    before = collections.Counter(w for _, w in two)
+    v = len({w for k in train for w in tokens[k][2:]})
+    tables = {}
+    for n, counts in ((3, three), (2, two)):
+        total, tail = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            tail[g[:-1]][min(c, 3) - 1] += 1
+        tables[n] = counts, total, tail, language_model.discounts([sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)])
+    cut = language_model.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
+    rest = sum(cut[min(c, 3)] for c in before.values()) / (v + 1)
+
+    def p(g):
+        if len(g) == 1:
+            return (before[g[0]] - cut[min(before[g[0]], 3)] + rest) / sum(before.values())
+        counts, total, tail, d = tables[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        return (counts[g] - d[min(counts[g], 3)] + sum(d[i + 1] * tail[g[:-1]][i] for i in range(3)) * p(g[1:])) / total[g[:-1]]
+
+    for h in list(tables[3][1])[:4]:
+        assert abs(sum(p((*h, w)) for w in before) + p((*h, "unknown")) - 1) < 1e-9
+    return {k: sum(math.log10(p(g)) for g in zip(t, t[1:], t[2:])) for k, t in tokens.items()}
+
+
+@pytest.mark.parametrize("shards", [None, 37])
+def test_three_words_are_kneser_ney(spark, monkeypatch, shards):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(60)
+    rows = [(r[0], r[1]) for r in docs.collect()] + [(1000, None), (1001, "one"), (1002, "the the the the the the " * 80)]
+    if shards:
+        monkeypatch.setattr(language_model, "pieces", lambda docs, each: shards)
+    want = brute_three(rows)
+    got = language_model.score_documents(frame(spark, [(k, t, "s") for k, t in rows])).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-6 * max(1, abs(r.score)) for r in got)
+    assert language_model.score_documents(frame(spark, [])).count() == 0
+
+
 def test_language_model_odd_rows(odd, none):
     got = {r.doc_id: r for r in language_model.score_documents(odd).collect()}
     assert language_model.score_documents(odd).count() == len(ODD)
@@ -131,14 +175,14 @@ def test_chunks_and_many_small_shards_do_not_change_scores(spark, monkeypatch):
     monkeypatch.setattr(language_model, "CHUNK", 150)
     monkeypatch.setattr(kernels, "WINDOW", 256)
 
-    got = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, [(k, t, "s") for k, t in rows])).collect()}
+    got = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, [(k, t, "s") for k, t in rows]), order=2).collect()}
     assert all(abs(got[k] - brute[k][4]) < 1e-6 for k in got)
     pairs = collections.Counter()
-    for histories, tokens in language_model._chunks(iter([pa.record_batch([pa.array([t for _, t in rows])], names=["text"])])):
+    for _, histories, tokens in language_model._chunks(iter([pa.record_batch([pa.array([t for _, t in rows])], names=["text"])])):
         pairs.update(zip(histories.tolist(), tokens.tolist()))
     monkeypatch.setattr(kernels, "WINDOW", 1 << 20)
     whole = collections.Counter()
-    for _, histories, tokens in language_model._streams(pa.array([t for _, t in rows])):
+    for _, _, histories, tokens in language_model._streams(pa.array([t for _, t in rows])):
         whole.update(zip(histories.tolist(), tokens.tolist()))
     assert pairs == whole
 
@@ -160,7 +204,7 @@ def test_a_missing_shard_is_an_error(spark):
 
 def test_hot_words_do_not_change_scores(spark):
     rows = frame(spark, [(i, " ".join(random.Random(i).choices(["hot"] * 5 + list("abcdefgh"), k=200)), "s") for i in range(40)])
-    want = {r.doc_id: r.score for r in language_model.score_documents(rows).collect()}
+    want = {r.doc_id: r.score for r in language_model.score_documents(rows, order=2).collect()}
     brute = brute_scores([(r.doc_id, r.text) for r in rows.collect()])
     assert all(abs(want[k] - brute[k][4]) < 1e-6 for k in want)
 
