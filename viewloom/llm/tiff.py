@@ -62,76 +62,81 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def _widths(places: np.ndarray) -> np.ndarray:
+    """Bits of the codes that stand so many codes after a clear code: 9 to 12, one code early, as TIFF has it."""
+    return 9 + (places >= 254).astype(np.int64) + (places >= 766) + (places >= 1790)
+
+
 def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, one code early, as TIFF has it."""
-    table = {bytes([i]): i for i in range(256)}
-    bits, held, width, after, out = 0, 0, 9, FIRST, bytearray()
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = (bits << width) | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held & 255)
-        bits &= (1 << held) - 1
-
-    put(CLEAR)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """Codes of 9 to 12 bits, most significant bit first."""
+    codes, table, after = [CLEAR], {}, FIRST
+    put, known = codes.append, table.get
+    word = data[0] if data else None
+    for byte in data[1:]:
+        longer = word << 8 | byte
+        code = known(longer)
+        if code is not None:
+            word = code
             continue
-        put(table[word])
+        put(word)
         table[longer] = after
         after += 1
         if after == 4094:
             put(CLEAR)
-            table, width, after = {bytes([i]): i for i in range(256)}, 9, FIRST
-        elif after == 1 << width and width < 12:
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word])
-        after += 1
-        if after == 1 << width and width < 12:
-            width += 1
+            table, after = {}, FIRST
+            known = table.get
+        word = byte
+    if data:
+        put(word)
     put(EOI)
-    if held:
-        out.append(bits << (8 - held) & 255)
-    return bytes(out)
+    every = np.array(codes, np.uint16)
+    clears = np.flatnonzero(every == CLEAR)
+    steps = np.arange(len(every))
+    widths = _widths(steps - clears[np.searchsorted(clears, steps) - 1] - 1)
+    widths[0] = 9
+    bits = np.unpackbits(every.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
+
+
+#: Codes that are read at a time; no table is fuller.
+RUN_CODES = 4096
+_RUN_WIDTHS = _widths(np.arange(RUN_CODES))
+_RUN_STARTS = np.concatenate(([0], np.cumsum(_RUN_WIDTHS)[:-1]))
+_FRESH = [bytes([i]) for i in range(256)] + [b"", b""]
 
 
 def unlzw(data: bytes, size: int) -> bytes:
-    table: list[bytes] = []
-    out, bits, held, width, last = bytearray(), 0, 0, 9, b""
-    fresh = [bytes([i]) for i in range(256)] + [b"", b""]
-    for byte in data:
-        bits, held = (bits << 8) | byte, held + 8
-        if held < width:
-            continue
-        held -= width
-        code, bits = bits >> held, bits & ((1 << held) - 1)
-        if code == EOI or len(out) >= size:
+    """Runs of codes up to the next clear code are cut out together; their widths follow from their places."""
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    raw = np.concatenate((raw, np.zeros(3, np.int64)))
+    out, made, at, end = [], 0, 0, 8 * len(data)
+    while made < size:
+        starts = at + _RUN_STARTS
+        n = int(np.searchsorted(starts + _RUN_WIDTHS, end, "right"))
+        starts, widths = starts[:n], _RUN_WIDTHS[:n]
+        byte = starts >> 3
+        codes = ((raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (starts & 7) - widths)) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == EOI))
+        stop = int(stops[0]) if len(stops) else n
+        table, last = _FRESH.copy(), b""
+        add, known = table.append, len(_FRESH)
+        for code in codes[:stop].tolist():
+            if code < known:
+                word = table[code]
+            elif code == known and last:
+                word = last + last[:1]
+            else:
+                raise TiffError(f"LZW code {code} comes too early")
+            if last:
+                add(last + word[:1])
+                known += 1
+            out.append(word)
+            last = word
+        made += sum(map(len, out[-stop:])) if stop else 0
+        if stop == n or codes[stop] == EOI:
             break
-        if code == CLEAR:
-            table, width, last = fresh.copy(), 9, b""
-            continue
-        if not table:
-            table = fresh.copy()
-        if code < len(table):
-            word = table[code]
-        elif code == len(table) and last:
-            word = last + last[:1]
-        else:
-            raise TiffError(f"LZW code {code} comes too early")
-        out += word
-        if last:
-            table.append(last + word[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-        last = word
-    return bytes(out)
+        at = int(starts[stop] + widths[stop])
+    return b"".join(out)
 
 
 def _squeeze(data: bytes, codec: str) -> bytes:
