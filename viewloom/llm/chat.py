@@ -94,9 +94,10 @@ def read_back(pieces: DataFrame) -> DataFrame:
     def digest(conv, group):
         turns, learnt = hashlib.sha256(), hashlib.sha256()
         n = loss_chars = chars = 0
-        held, marked = "", []
+        held, marked, seen = "", [], 0  # no end of a turn begins before `seen`
         for _, _, text, loss in chain(group, [(conv, -1, "", False)]):
             chars += len(text)
+            seen = max(seen, len(held) - len(STOP) + 1)
             held += text
             if loss:
                 marked.append(text)
@@ -105,12 +106,12 @@ def read_back(pieces: DataFrame) -> DataFrame:
                 loss_chars += len(plain)
                 learnt.update(plain.encode())
                 marked = []
-            while (stop := held.find(STOP)) >= 0:
+            while (stop := held.find(STOP, seen)) >= 0:
                 head, _, body = held[:stop].partition("\n")
                 if not head.startswith(START):
                     raise ValueError(f"conversation {conv}: a turn does not start as one")
                 turns.update(f"{unheader(head[len(START) :])}\n{unescape(body)}\n".encode())
-                held, n = held[stop + len(STOP) :], n + 1
+                held, n, seen = held[stop + len(STOP) :], n + 1, 0
         if held:
             raise ValueError(f"conversation {conv}: text is left over")
         return conv, n, turns.hexdigest(), loss_chars, learnt.hexdigest(), chars

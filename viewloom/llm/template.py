@@ -58,10 +58,21 @@ FILTERS: dict[str, Callable] = {
     "escape": escape,
     "header": header,
 }
+#: The longest text that a repetition may make.
+MOST_CHARS = 1 << 20
+
+
+def _times(a, b):
+    for text, n in ((a, b), (b, a)):
+        if isinstance(text, (str, list, tuple)) and isinstance(n, int) and len(text) * max(n, 0) > MOST_CHARS:
+            raise ValueError(f"a repetition longer than {MOST_CHARS}")
+    return a * b
+
+
 BINARY: dict[str, Callable] = {
     "+": operator.add,
     "-": operator.sub,
-    "*": operator.mul,
+    "*": lambda a, b: _times(a, b),
     "//": operator.floordiv,
     "%": operator.mod,
     "~": lambda a, b: _show(a) + _show(b),
