@@ -27,26 +27,28 @@ class Moments:
 
 
 def moments(rows: DataFrame, vec: str) -> Moments:
-    """Of an array column without nulls inside; null vectors are left out."""
+    """Of an array column without nulls inside; null vectors are left out. Sums are taken around a pilot row, so large means cancel nothing."""
     lean = rows.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+    pilot = lean.first()
+    if pilot is None:
+        return Moments(0.0, np.zeros(0), np.zeros((0, 0)))
+    pilot = np.array(pilot["v"])
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for frame in frames:
             if len(frame):
-                x = np.stack(frame["v"].to_numpy())
+                x = np.stack(frame["v"].to_numpy()) - pilot
                 x = np.hstack((np.ones((len(x), 1)), x))
                 total = x.T @ x + (0 if total is None else total)
         if total is not None:
             yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
 
     found = lean.mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
-    if not found:
-        return Moments(0.0, np.zeros(0), np.zeros((0, 0)))
     width = int(round(len(found) ** 0.5))
     m = np.array([r["s"] for r in found]).reshape(width, width)
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-    return Moments(n, mean, m[1:, 1:] / n - np.outer(mean, mean))
+    return Moments(n, pilot + mean, m[1:, 1:] / n - np.outer(mean, mean))
 
 
 def _signed(v: np.ndarray) -> np.ndarray:

@@ -65,6 +65,17 @@ def knn(rows: DataFrame, queries: DataFrame, id_col: str, vec: str, k: int, excl
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def against_all(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row beside every query row, the queries in blocks of BLOCK that are broadcast. `queries` has `rank` from 0 and other columns than `rows`."""
+    blocks = (queries.agg(F.max("rank")).first()[0] or 0) // BLOCK + 1
+    found = None
+    for k in range(blocks):
+        block = queries.where(F.expr(f"rank div {BLOCK} = {k}")).drop("rank")
+        part = rows.join(F.broadcast(block), how="cross")
+        found = part if found is None else found.union(part)
+    return found
+
+
 def nadaraya_watson(pairs: DataFrame, keys: list[str], target: str, distance2: str, gamma: float) -> DataFrame:
     """Kernel-weighted mean of `target` per key, from rows that carry a squared distance."""
     weight = F.exp(-F.lit(gamma) * F.col(distance2))

@@ -78,26 +78,32 @@ def entropy(rows: DataFrame, columns: list[str], name: str = "bits") -> DataFram
     return counts.agg((F.log2(F.sum("_c")) - F.sum(F.col("_c") * F.log2("_c")) / F.sum("_c")).alias(name))
 
 
-def _joined(parts: list[DataFrame]) -> DataFrame:
-    """One-row frames side by side."""
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.crossJoin(F.broadcast(p))
-    return found
+def _sum_of_entropies(rows: DataFrame, terms: list[tuple[int, list[str]]]) -> DataFrame:
+    """`bits`: the sum of the signed entropies of several sets of columns. The rows are read and grouped once; the sets are summed from those counts."""
+    signs: dict[frozenset[str], int] = {}
+    for sign, columns in terms:
+        signs[frozenset(columns)] = signs.get(frozenset(columns), 0) + sign
+    every = list(dict.fromkeys(c for _, columns in terms for c in columns))
+    counts = rows.groupBy(*every).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    each = counts.groupingSets([[F.col(c) for c in every if c in key] for key in signs], *every).agg(F.sum("_c").alias("_s"), F.grouping_id().alias("_g"))
+    bits = each.groupBy("_g").agg((F.log2(F.sum("_s")) - F.sum(F.col("_s") * F.log2("_s")) / F.sum("_s")).alias("_h"))
+    sign = F.lit(0)
+    for key, s in signs.items():
+        # a column outside the set has a 1 in the number of the set, the first column the highest
+        sign = F.when(F.col("_g") == int("".join("0" if c in key else "1" for c in every), 2), s).otherwise(sign)
+    return bits.agg(F.sum(sign * F.col("_h")).alias("bits"))
 
 
 def conditional_entropy(rows: DataFrame, a: list[str], given: list[str]) -> DataFrame:
-    return _joined([entropy(rows, [*a, *given], "ab"), entropy(rows, given, "b")]).select((F.col("ab") - F.col("b")).alias("bits"))
+    return _sum_of_entropies(rows, [(1, [*a, *given]), (-1, given)])
 
 
 def mutual_information(rows: DataFrame, a: list[str], b: list[str]) -> DataFrame:
-    parts = [entropy(rows, a, "a"), entropy(rows, b, "b"), entropy(rows, [*a, *b], "ab")]
-    return _joined(parts).select((F.col("a") + F.col("b") - F.col("ab")).alias("bits"))
+    return _sum_of_entropies(rows, [(1, a), (1, b), (-1, [*a, *b])])
 
 
 def conditional_mutual_information(rows: DataFrame, a: list[str], b: list[str], given: list[str]) -> DataFrame:
-    parts = [entropy(rows, [*a, *given], "ac"), entropy(rows, [*b, *given], "bc"), entropy(rows, [*a, *b, *given], "abc"), entropy(rows, given, "c")]
-    return _joined(parts).select((F.col("ac") + F.col("bc") - F.col("abc") - F.col("c")).alias("bits"))
+    return _sum_of_entropies(rows, [(1, [*a, *given]), (1, [*b, *given]), (-1, [*a, *b, *given]), (-1, given)])
 
 
 def joint_states(rows: DataFrame, columns: list[str]) -> DataFrame:

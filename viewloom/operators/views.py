@@ -67,9 +67,12 @@ def exact_split(rows: DataFrame, order: list[str], fraction: float) -> DataFrame
     return ranked.withColumn("part", F.when(F.col("rank") < F.floor(F.col("total") * fraction), "train").otherwise("test")).drop("rank", "total")
 
 
-def ranks(rows: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
-    """`rank` from 0 and `total`, over all rows, without a global window. The first order column must be numeric."""
-    first = order[0]
+def ranks(rows: DataFrame, order: list[str], each: int = 1_000_000) -> DataFrame:
+    """`rank` from 0 and `total`, over all rows, without a global window. The first order column must be numeric.
+
+    Rows are dealt over ranges of it, about one for `each` rows (64 to 1024 of them), so a range is a sort that spills.
+    """
+    first, ranges = order[0], min(1024, max(64, rows.count() // each))
     cuts = rows.agg(F.percentile_approx(first, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
     bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(first))) if cuts else F.lit(0)
     dealt = rows.withColumn("_b", bucket)

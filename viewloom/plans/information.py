@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.functions import arrays as A
+from viewloom.operators import linear as M
+from viewloom.operators import neighbours as K
 from viewloom.operators import series as R
 from viewloom.operators import statistics as S
+from viewloom.operators import views as V
 from viewloom.plans import SERIES, query
 from viewloom.sources.tables import event_series, table
 
@@ -117,31 +121,28 @@ def mean_scale_window(spark, d):
     return centred.select("user_id", "rn", "win", F.round(F.col("v") / F.nullif(top, F.lit(0.0)), 6).alias("scaled"))
 
 
-_E8 = [f"e{i}" for i in range(8)]
-
-
-def _wide(spark, d, n=8):
-    return table(spark, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)))
-
-
 @query(
-    "WITH v AS (SELECT vec_id, unnest(range(0, 8)) AS i, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings) "
+    "WITH v AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) "
     "SELECT a.i, b.i AS j, round(corr(a.x, b.x), 6) AS r FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2"
 )
 def corr_matrix_long(spark, d):
-    return S.correlations(_wide(spark, d), _E8).select(F.col("i").cast("long"), F.col("j").cast("long"), F.round("r", 6).alias("r"))
+    """Correlations of all dimensions: tasks sum outer products, the matrix has a fixed size."""
+    cov = M.moments(table(spark, d, "embeddings"), "embedding").cov
+    size = np.sqrt(np.diag(cov))
+    found = [(i, j, round(float(cov[i, j] / (size[i] * size[j])), 6)) for i in range(len(cov)) for j in range(i, len(cov))]
+    return spark.createDataFrame(found, "i long, j long, r double")
 
 
 @query(
-    """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 50),
-g AS (SELECT a.vec_id AS i, b.vec_id AS j, exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS g FROM p a, p b)
+    """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT a.vec_id AS i, b.vec_id AS j, exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS g FROM p a, p b WHERE a.vec_id % 100 = 0)
 SELECT i, j, round(g - avg(g) OVER (PARTITION BY i) - avg(g) OVER (PARTITION BY j) + avg(g) OVER (), 6) AS centred FROM g"""
 )
 def gram_center(spark, d):
-    """The Gram matrix of a stated set of landmarks (the feature: vec_id < 50), not of all rows."""
-    p = table(spark, d, "embeddings").where("vec_id < 50").select("vec_id", A.doubles("embedding").alias("e"))
-    a, b = p.toDF("i", "a"), p.toDF("j", "b")
-    gram = a.join(F.broadcast(b), how="cross").select("i", "j", A.rbf(F.col("a"), F.col("b"), 0.05).alias("g"))
+    """The kernel of the stated queries (ids divisible by 100) with all rows, centred over both."""
+    p = table(spark, d, "embeddings").select("vec_id", A.doubles("embedding").alias("e"))
+    asked = V.ranks(p.where("vec_id % 100 = 0"), ["vec_id"]).select(F.col("vec_id").alias("i"), F.col("e").alias("a"), "rank")
+    gram = K.against_all(p.toDF("j", "b"), asked).select("i", "j", A.rbf(F.col("a"), F.col("b"), 0.05).alias("g"))
     return S.double_centred(gram).select("i", "j", F.round("centred", 6).alias("centred"))
 
 

@@ -268,16 +268,16 @@ _U = "list_reverse_sort(list_transform(e, lambda x: abs(x)))"
     f"""WITH v AS (SELECT vec_id, e, {_U} AS u FROM (SELECT vec_id, list_transform(({E64})[1:16], lambda x: 4 * x) AS e FROM embeddings)),
 r AS (SELECT *, list_max(list_transform(list_filter(range(1, 17), lambda j: u[j] - (list_sum(u[1:j]) - 1) / j > 0), lambda j: j)) AS rho FROM v),
 l AS (SELECT *, CASE WHEN list_sum(u) <= 1 THEN NULL ELSE (list_sum(u[1:rho]) - 1) / rho END AS cut FROM r)
-SELECT vec_id, round(coalesce(cut, 0), 6) AS cut, round(CASE WHEN cut IS NULL THEN 0 ELSE list_sum(list_transform(e, lambda x: sign(x) * least(abs(x), cut))) END, 4) AS total,
+SELECT vec_id, round(coalesce(cut, 0), 6) AS cut, round(CASE WHEN cut IS NULL THEN 0 ELSE sqrt(list_sum(list_transform(e, lambda x: pow(least(abs(x), cut), 2)))) END, 6) AS size,
   round(CASE WHEN cut IS NULL THEN 0 ELSE list_sum(list_transform(u, lambda x: greatest(x - cut, 0))) - 1 END, 6) + 0.0 AS excess FROM l"""
 )
 def prox_linf_rows(spark, d):
     """The prox of the largest entry, by bisection of sum(max(|v| - cut, 0)) = 1 inside the row; the twin sorts and solves it exactly."""
     v = F.transform(F.slice(A.doubles("embedding"), 1, 16), lambda x: 4 * x)
-    rows = table(spark, d, "embeddings").select("vec_id", v.alias("v")).withColumn("cut", A.linf_cut(F.col("v")))
-    clipped = F.transform("v", lambda x: F.signum(x) * F.least(F.abs(x), F.coalesce("cut", F.lit(0.0))))
-    excess = F.when(F.col("cut").isNull(), 0.0).otherwise(A.excess(F.col("v"), F.col("cut")))
-    return rows.select("vec_id", F.round(F.coalesce("cut", F.lit(0.0)), 6).alias("cut"), F.round(A.total(clipped), 4).alias("total"), (F.round(excess, 6) + 0.0).alias("excess"))
+    rows = table(spark, d, "embeddings").select("vec_id", v.alias("v")).withColumn("_cut", A.linf_cut(F.col("v")))
+    clipped = F.transform("v", lambda x: F.signum(x) * F.least(F.abs(x), F.coalesce("_cut", F.lit(0.0))))
+    excess = F.when(F.col("_cut").isNull(), 0.0).otherwise(A.excess(F.col("v"), F.col("_cut")))
+    return rows.select("vec_id", F.round(F.coalesce("_cut", F.lit(0.0)), 6).alias("cut"), F.round(A.norm2(clipped), 6).alias("size"), (F.round(excess, 6) + 0.0).alias("excess"))
 
 
 @query(f"SELECT vec_id, round(list_sum(list_transform(e, lambda x: sign(x - 0.05) * greatest(abs(x - 0.05) - 0.1, 0))), 6) AS total FROM (SELECT vec_id, {E64} AS e FROM embeddings)")

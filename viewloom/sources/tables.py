@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from viewloom.operators.views import ranks
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,24 +29,13 @@ def event_series(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """`rank` from 0 over all rows by a column without ties: ranges of it are sorted apart, and one count per range comes together."""
-    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    ranked = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return ranked.withColumn("rank", F.col("_s") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_s")
-
-
 def read_delimited(lines: DataFrame, names: list[str], sep: str = "\t", every: int = 1, order: str | None = None) -> DataFrame:
     """Rows of `lines` (value, and `order` if only each `every`-th is kept) with as many fields as `names`; ragged rows go.
 
     Strides count before the raggedness test, as a reader that skips first would.
     """
     if every > 1:
-        lines = numbered(lines, order).where(F.col("rank") % every == 0).drop("rank")
+        lines = ranks(lines, [order]).where(F.col("rank") % every == 0).drop("rank", "total")
     fields = F.split("value", sep)
     return lines.where(F.size(fields) == len(names)).select(*(fields[i].alias(n) for i, n in enumerate(names)))
 
