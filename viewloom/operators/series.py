@@ -79,16 +79,20 @@ def next_values(series: DataFrame, keys: list[str], value: str, rn: str = "rn")
 
 
 def ema(series: DataFrame, keys: list[str], value: str, alpha: float, rn: str = "rn") -> DataFrame:
-    """Exponential moving average by an ordered fold over each key's values."""
-    rows = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(rn).alias("rn"), F.col(value).alias("v")))).alias("s"))
-    empty = F.array().cast("array<struct<rn:bigint,ema:double>>")
+    """Exponential moving average: alpha x + (1 - alpha) of the one before; the first is the value itself.
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)["ema"]
-        new = F.when(F.size(acc) == 0, x["v"]).otherwise(F.lit(alpha) * x["v"] + F.lit(1 - alpha) * last)
-        return F.concat(acc, F.array(F.struct(x["rn"].cast("long").alias("rn"), new.alias("ema"))))
+    A row's average is a weighted sum of the rows before it. Weights below 1e-17 no longer change a double, so it is a window over a
+    bounded number of rows, and no series is held as a whole.
+    """
+    from math import ceil, log
 
-    return rows.select(*keys, F.explode(F.aggregate("s", empty, step)).alias("e")).select(*keys, "e.rn", "e.ema")
+    reach = ceil(log(1e-17) / log(1 - alpha))
+    order = Window.partitionBy(*keys).orderBy(rn)
+    rows = series.select(*keys, rn, F.row_number().over(order).alias("_i"), F.collect_list(value).over(order.rowsBetween(-reach, 0)).alias("_v"))
+    past = F.size("_v") - 1
+    share = lambda i: F.pow(F.lit(1 - alpha), past - i) * F.when((i == 0) & (F.col("_i") == past + 1), 1.0).otherwise(alpha)
+    weighted = F.transform("_v", lambda x, i: x * share(i))
+    return rows.select(*keys, rn, F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x).alias("ema"))
 
 
 def lag_information(series: DataFrame, keys: list[str], state: str, lags: int, rn: str = "rn") -> DataFrame:

@@ -215,23 +215,37 @@ def _story(rows):
     return rows.withColumn("text", F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STORY.items())))
 
 
-@query(
-    rf"""SELECT event_id, CASE WHEN regexp_matches(t, '{L.STABILISATION_START}') THEN 0 WHEN regexp_matches(t, '{L.STABILISATION_END}') THEN -1
+_CODE = rf"""CASE WHEN regexp_matches(t, '{L.STABILISATION_START}') THEN 0 WHEN regexp_matches(t, '{L.STABILISATION_END}') THEN -1
   WHEN regexp_matches(t, '{L.BLEED}') AND NOT regexp_matches(t, '{L.BLEED_NOT}') THEN 1 WHEN regexp_matches(t, '{L.BLEED_END}') THEN 2
   WHEN regexp_matches(t, '{L.RESUSCITATION_START}') THEN CASE WHEN contains(t, 'hextend') THEN 3 ELSE 4 END
-  WHEN regexp_matches(t, '{L.RESUSCITATION_END}') THEN CASE WHEN contains(t, 'hextend') THEN 5 ELSE 6 END END AS label
-FROM (SELECT event_id, {_TEXT} AS t FROM events)"""
-)
+  WHEN regexp_matches(t, '{L.RESUSCITATION_END}') THEN CASE WHEN contains(t, 'hextend') THEN 5 ELSE 6 END END"""
+
+
+@query(f"SELECT event_id, {_CODE} AS label FROM (SELECT event_id, {_TEXT} AS t FROM events)")
 def annotation_events(spark, d):
     return _story(table(spark, d, "events")).select("event_id", L.annotation_label(F.col("text")).alias("label"))
 
 
-@query()
+@query(
+    f"""WITH {SERIES}, c AS (SELECT user_id, rn - 1 AS k, {_CODE} AS code FROM (SELECT user_id, rn, {_TEXT} AS t FROM series)),
+e AS (SELECT c.user_id, k, code FROM c JOIN (SELECT user_id, coalesce(max(CASE WHEN code = 0 THEN k END), -1) AS fresh FROM c GROUP BY 1) USING (user_id) WHERE code IS NOT NULL AND k >= fresh),
+m AS (SELECT user_id, k, CASE WHEN code = 6 AND lag(code) OVER w = 3 THEN 5 ELSE code END AS code FROM e WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+f AS (SELECT * FROM (SELECT user_id, k AS idx, coalesce(lag(code) OVER (PARTITION BY user_id ORDER BY k), -1) AS label, code FROM m) WHERE label <> code),
+b AS (SELECT user_id, max(idx) AS bleed FROM f WHERE label = 1 GROUP BY 1),
+g AS (SELECT user_id, idx, CASE WHEN idx < bleed AND label > 2 THEN 2 ELSE label END AS label FROM f JOIN b USING (user_id)),
+l AS (SELECT user_id, max(idx) AS last FROM g WHERE label NOT IN (5, 6) GROUP BY 1)
+SELECT user_id, idx::INTEGER AS idx, label FROM g JOIN l USING (user_id) WHERE idx <= last
+UNION ALL SELECT user_id, max(k)::INTEGER, 7 FROM c JOIN l USING (user_id) GROUP BY user_id, last HAVING max(k) > last"""
+)
 def label_state_machine(spark, d):
     return L.label_state_machine(_story(_series(spark, d)).select("user_id", (F.col("rn") - 1).alias("k"), "text"), "user_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SERIES}, r AS (SELECT user_id, rn, value AS ema FROM series WHERE rn = 1
+UNION ALL SELECT s.user_id, s.rn, 0.2 * s.value + 0.8 * r.ema FROM r JOIN series s ON s.user_id = r.user_id AND s.rn = r.rn + 1)
+SELECT user_id, rn, round(ema, 6) AS ema FROM r"""
+)
 def ema_series(spark, d):
     return R.ema(_series(spark, d), ["user_id"], "value", 0.2).select("user_id", "rn", F.round("ema", 6).alias("ema"))
 
