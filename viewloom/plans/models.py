@@ -91,7 +91,13 @@ def _digamma(n: int) -> float:
     return -0.5772156649015329 + sum(1 / i for i in range(1, n))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT vec_id, embedding[1:3]::DOUBLE[] AS e FROM embeddings),
+k AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM p a, p b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY dist, b.vec_id) = 3),
+n AS (SELECT sum(1.0::DOUBLE / i) AS h FROM (SELECT unnest(range(1, (SELECT count(*) FROM embeddings))) AS i))
+SELECT round(3 * avg(ln(dist)) + any_value(h) - 1.5 + ln(4 * pi() / 3), 6) AS nats, count(*) AS queries FROM k, n"""
+)
 def knn_entropy(spark, d):
     """Kozachenko-Leonenko entropy in nats of the first three dimensions: the third neighbours of the queries (every hundredth id) among all rows."""
     from math import lgamma, log
@@ -176,7 +182,18 @@ def tv_derivative(spark, d):
     return dealt.groupBy("user_id", "chunk").applyInPandas(derive, "user_id long, rn long, dx double").select("user_id", "rn", F.round("dx", 6).alias("dx"))
 
 
-@query()
+def _dtw_sql() -> str:
+    """The target's steps one after the other, each a window over the series: it moves 0, 1 or 2 on."""
+    parts = [f"WITH {SERIES}, t AS (SELECT rn, value FROM series WHERE user_id = (SELECT min(user_id) FROM series) AND rn <= 8)"]
+    target = "(SELECT value FROM t WHERE rn = {})"
+    parts.append(f"c1 AS (SELECT user_id, rn, value, abs(value - {target.format(1)}) AS c FROM series)")
+    for i in range(2, 9):
+        before = "least(c, coalesce(lag(c, 1) OVER w, 1e300), coalesce(lag(c, 2) OVER w, 1e300))"
+        parts.append(f"c{i} AS (SELECT user_id, rn, value, abs(value - {target.format(i)}) + {before} AS c FROM c{i - 1} WINDOW w AS (PARTITION BY user_id ORDER BY rn))")
+    return ", ".join(parts) + ' SELECT user_id, rn AS "end", round(c, 6) AS cost FROM c8 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c, rn) = 1'
+
+
+@query(_dtw_sql())
 def dtw_match(spark, d):
     """The best open-ended alignment of the first eight values of the first user with every series.
 

@@ -259,20 +259,3 @@ def switching_linear_series(spark, d):
                 yield pd.DataFrame(out, columns=["series_id", "rn", "mode", "x", "y"])
 
     return spark.range(6).mapInPandas(run, "series_id long, rn long, mode int, x double, y double")
-
-
-@query()
-def redundant_views(spark, d):
-    """A generator of views that share latent variables: row_id, view_id, feat."""
-
-    def run(frames):
-        maps = np.random.default_rng(3).normal(size=(3, 2, 4))
-        for f in frames:
-            out = []
-            for i in f["id"]:
-                z = np.random.default_rng(int(i)).normal(size=4)
-                for v, pair in enumerate(((0, 1), (1, 2), (2, 3))):
-                    out.append((i, v, (z[list(pair)] @ maps[v]).tolist()))
-            yield pd.DataFrame(out, columns=["row_id", "view_id", "feat"])
-
-    return spark.range(200).mapInPandas(run, "row_id long, view_id int, feat array<double>")

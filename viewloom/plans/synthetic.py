@@ -85,6 +85,16 @@ def normal_points(spark, d, rows=_rows):
     return rows(spark)
 
 
+_FEAT = [f"round({_normal('id', 'v')} * {_normal('(100 + 2 * v)', str(c))} + {_normal('id', '(v + 1)')} * {_normal('(101 + 2 * v)', str(c))}, 6)" for c in range(4)]
+
+
+@query(f"SELECT id AS row_id, v::INTEGER AS view_id, [{', '.join(_FEAT)}] AS feat FROM (SELECT unnest(range(0, {POINTS})) AS id), (SELECT unnest(range(0, 3)) AS v)")
+def redundant_views(spark, d):
+    """Three views of four latent variables, each of two of them, so that neighbours share one."""
+    rows = spark.range(POINTS).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
+    return rows.selectExpr("id AS row_id", "CAST(v AS INT) AS view_id", f"array({', '.join(_FEAT)}) AS feat")
+
+
 _SIDE = 24
 _X = f"(CAST(id % {_SIDE} AS DOUBLE) / {_SIDE - 1})"
 _Y = f"(CAST(floor(CAST(id AS DOUBLE) / {_SIDE}) AS DOUBLE) / {_SIDE - 1})"
