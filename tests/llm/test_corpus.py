@@ -487,7 +487,9 @@ def test_fits_stay_bounded_when_rows_repeat_or_have_no_id(spark):
 
     rows = spark.createDataFrame([(None, "same")] * 5000 + [(None, f"t{i}") for i in range(5000)] + [(7, f"u{i}") for i in range(5000)], "doc_id long, text string")
     got = bounded_sample(rows, ["doc_id", "text"], 500).collect()
-    assert 350 < len(got) < 650 and len({(r.doc_id, r.text) for r in got}) == len(got)
+    assert 250 < len(got) < 550 and len({(r.doc_id, r.text) for r in got}) == len(got)
+    hardly = spark.createDataFrame([(None, "same")] * 9000 + [(None, f"t{i}") for i in range(300)], "doc_id long, text string")
+    assert 140 < bounded_sample(hardly, ["doc_id", "text"], 200).count() < 260
     few = bounded_sample(rows.where("text = 'same'"), ["doc_id", "text"], 500).collect()
     assert [tuple(r) for r in few] == [(None, "same")]
     labels = spark.createDataFrame([(7, 1), (7, 0), (7, None), (8, 1)], "doc_id long, toxic int")
@@ -632,6 +634,14 @@ def test_template_language(source, context, want):
     assert "".join(t for t, _ in template.compile_template(source)(context)) == want
 
 
+def test_repetitions_are_bounded():
+    for source in ("{{ 'x' * 9999999999 }}", "{{ 9999999999 * 'x' }}", "{{ 'x' * n }}"):
+        run = template.compile_template(source)  # folding leaves it, rendering says so
+        with pytest.raises(ValueError):
+            "".join(t for t, _ in run({"n": 10**12}))
+    assert "".join(t for t, _ in template.compile_template("{{ 'ab' * 3 }}")({})) == "ababab"
+
+
 def test_template_folds_and_is_sandboxed():
     assert template.fold(template.parse("a{{ 'b' ~ 1 }}{% if 1 > 2 %}x{% else %}c{% endif %}")) == [("text", "ab1c")]
     assert "".join(t for t, _ in template.compile_template("{{ x.__class__ }}")({"x": "s"})) == ""

@@ -112,19 +112,26 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi")
 
 
 def bounded_sample(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-    """About `most` different rows of `rows` (all, where there are fewer), each once, told apart by a hash of the columns `by`.
+    """About `most` different rows of `rows` at most (all, where there are fewer), each once, told apart by a hash of the columns `by`.
 
-    Rows that repeat, or that have null in an id, are one row for the sample, so it is bounded whatever the table holds.
+    Rows that repeat, or that have null in an id, are one row for the sample, so it is bounded whatever the table holds. The share to draw
+    follows from the number of rows; only where so many repeat that this gives less than a quarter, from the number of different rows.
     """
-    name = F.xxhash64(*(F.col(c).isNull() for c in by), *by)
-    different = rows.agg(F.approx_count_distinct(name, 0.02)).first()[0]
-    share = min(1.0, most / max(1, different))
-    drawn = rows.withColumn("row_name", name)
-    if share < 1:
-        # hashed again: the estimate above and other samples go by the same hash
-        drawn = drawn.where(F.pmod(F.xxhash64("row_name", F.lit("sample")), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
-    firsts = [F.first(c).alias(c) for c in rows.columns]
-    return drawn.groupBy("row_name").agg(*firsts).drop("row_name")
+    named = rows.withColumn("row_name", F.xxhash64(*(F.col(c).isNull() for c in by), *by))
+
+    def drawn(size: int) -> DataFrame:
+        share = min(1.0, most / max(1, size))
+        # hashed again: the count of different rows and other samples go by the same hash
+        part = named if share == 1 else named.where(F.pmod(F.xxhash64("row_name", F.lit("sample")), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
+        return part.groupBy("row_name").agg(*(F.first(c).alias(c) for c in rows.columns)).drop("row_name")
+
+    size = rows.count()
+    if size <= most:
+        return drawn(size)
+    found = cut(drawn(size))
+    if 4 * found.count() >= most:
+        return found
+    return drawn(named.agg(F.approx_count_distinct("row_name", 0.02)).first()[0])
 
 
 def hot_keys(sizes: DataFrame) -> DataFrame | None:

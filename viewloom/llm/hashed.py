@@ -110,12 +110,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _active(starts, ids, values) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, local feature numbers and values of the entries that are not 0, and the feature numbers themselves: the others keep the weight 0."""
-    kept = np.flatnonzero(values)
-    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[kept]
-    numbers, local = np.unique(ids[kept], return_inverse=True)
-    return rows, local, values[kept].astype(np.float64), numbers
+#: Entries that a step of training looks at together.
+STEP = 1 << 19
+
+
+class _Entries:
+    """The entries of a sample that are not 0, by row and by the number of their feature among those that occur; the others keep the weight 0."""
+
+    def __init__(self, starts, ids, values):
+        kept = np.flatnonzero(values)
+        self.numbers = np.flatnonzero(np.bincount(ids[kept], minlength=N))
+        place = np.zeros(N, np.int32)
+        place[self.numbers] = np.arange(len(self.numbers))
+        self.count, self.width = len(starts) - 1, len(self.numbers)
+        self.rows = np.repeat(np.arange(self.count, dtype=np.int32), np.diff(starts))[kept]
+        self.local, self.values = place[ids[kept]], values[kept].astype(np.float32)
+
+    def _slices(self) -> Iterator[slice]:
+        return (slice(i, i + STEP) for i in range(0, len(self.values), STEP))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """The weighted sum of each row."""
+        return sum((np.bincount(self.rows[s], self.values[s] * weights[self.local[s]], self.count) for s in self._slices()), np.zeros(self.count))
+
+    def along(self, errors: np.ndarray) -> np.ndarray:
+        """The sum of the rows' errors over each feature."""
+        return sum((np.bincount(self.local[s], self.values[s] * errors[self.rows[s]], self.width) for s in self._slices()), np.zeros(self.width))
 
 
 def _whole(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -126,22 +146,21 @@ def _whole(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def train_logistic(starts, ids, values, target, steps: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias for probabilities in `target` as soft labels."""
-    rows, local, values, numbers = _active(starts, ids, values)
-    weights, bias = np.zeros(len(numbers)), np.zeros(1)
+    entries = _Entries(starts, ids, values)
+    weights, bias = np.zeros(entries.width), np.zeros(1)
 
     def gradient():
-        scores = np.bincount(rows, values * weights[local], len(target))
-        error = (_sigmoid(scores + bias[0]) - target) / max(1, len(target))
-        return [np.bincount(local, values * error[rows], len(numbers)) + penalty / 100 * weights, np.array([error.sum()])]
+        error = (_sigmoid(entries.scores(weights) + bias[0]) - target) / max(1, len(target))
+        return [entries.along(error) + penalty / 100 * weights, np.array([error.sum()])]
 
     _adam([weights, bias], gradient, steps, rate)
-    return _whole(numbers, weights), float(bias[0])
+    return _whole(entries.numbers, weights), float(bias[0])
 
 
 def train_ordinal(starts, ids, values, grade, n_grades: int, steps: int = 200, rate: float = 0.03, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative-link model: P(grade > k) = sigmoid(w.x - c_k) with one w for all k and c rising. Returns w and c."""
-    rows, local, values, numbers = _active(starts, ids, values)
-    weights = np.zeros(len(numbers))
+    entries = _Entries(starts, ids, values)
+    weights = np.zeros(entries.width)
     gaps = np.concatenate(([2.0], np.zeros(max(0, n_grades - 2))))  # c_0, then logs of the steps up
 
     def cuts() -> np.ndarray:
@@ -149,7 +168,7 @@ def train_ordinal(starts, ids, values, grade, n_grades: int, steps: int = 200, r
 
     def gradient():
         c = cuts()
-        p = np.vstack((np.ones(len(grade)), _sigmoid(np.bincount(rows, values * weights[local], len(grade))[None, :] - c[:, None]), np.zeros(len(grade))))  # P(grade >= k)
+        p = np.vstack((np.ones(len(grade)), _sigmoid(entries.scores(weights)[None, :] - c[:, None]), np.zeros(len(grade))))  # P(grade >= k)
         k, i = grade.astype(int), np.arange(len(grade))
         above, below = p[k, i], p[k + 1, i]
         width = 1 - np.exp(-np.concatenate(([np.inf], np.diff(c), [np.inf])))[k]
@@ -158,7 +177,7 @@ def train_ordinal(starts, ids, values, grade, n_grades: int, steps: int = 200, r
         upper, lower = (1 - above) / (1 - below) / width / max(1, len(k)), below / above / width / max(1, len(k))
         by_cut = np.array([upper[k == j + 1].sum() - lower[k == j].sum() for j in range(n_grades - 1)])
         by_gap = [by_cut.sum()] + [np.exp(gaps[j]) * by_cut[j:].sum() for j in range(1, len(gaps))]
-        return [np.bincount(local, values * along_x[rows], len(numbers)) + penalty * weights * 0.01, np.array(by_gap)]
+        return [entries.along(along_x) + penalty * weights * 0.01, np.array(by_gap)]
 
     _adam([weights, gaps], gradient, steps, rate)
-    return _whole(numbers, weights), cuts()
+    return _whole(entries.numbers, weights), cuts()

@@ -179,8 +179,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, fl
         frame = pd.concat(frames).sort_values(["doc_id", "target", "ids"], kind="stable")
         rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(frame["ids"], frame["vals"], strict=True)]
         starts, ids, values = hashed.csr(rows)
-        common = np.bincount(ids, minlength=hashed.N) >= 3
-        weights, bias = hashed.train_logistic(starts, ids, np.where(common[ids], values, 0.0), frame["target"].to_numpy())
+        target = frame["target"].to_numpy()
+        del frame, frames, rows  # their bytes are copied: a task has little memory beside the executor's heap
+        rare = np.bincount(ids, minlength=hashed.N) < 3
+        values[rare[ids]] = 0.0
+        weights, bias = hashed.train_logistic(starts, ids, values, target)
         yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
     rows = drawn.select(F.col("doc_id").cast("long"), "text").mapInArrow(features, "doc_id long, target double, ids binary, vals binary")
