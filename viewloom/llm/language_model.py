@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm import kernels, store
-from viewloom.llm.common import cut, pieces, scratch_folder
+from viewloom.llm.common import cut, pieces, scratch_folder, text_batches
 
 START = np.uint64(0x243F6A8885A308D3)
 CHUNK = 1 << 21
@@ -236,6 +236,17 @@ def _merge_contexts(grams: DataFrame, folder: str) -> DataFrame:
 STATS = ["seen", "total", "n1", "n2", "n3", "before"]
 
 
+def _packed(longs: bytes) -> bytes:
+    """64-bit counts, compressed; in 32 bits where all of them fit."""
+    counts = np.frombuffer(longs, np.int64)
+    return zlib.compress(b"\4" + counts.astype(np.uint32).tobytes() if counts.max(initial=0) < 2**32 else b"\10" + longs, 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    plain = zlib.decompress(blob)
+    return np.frombuffer(plain, np.uint32 if plain[0] == 4 else np.int64, offset=1).astype(np.int64)
+
+
 def _pair_parts(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     """shard, histories, runs, words, counts of the pairs of chunks of texts."""
 
@@ -278,7 +289,7 @@ def _count_pairs(parts: DataFrame, shards: int, folder: str, kind=np.uint32) ->
         )
         out = _blob_rows(_shard(word, shards), [word, *stats], ["words", *STATS[1:]])
         # mostly small numbers: packed, since the checkpoint does not compress
-        packed = [pa.array([zlib.compress(b, 1) for b in out.column(n).to_pylist()], pa.binary()) for n in STATS[1:]]
+        packed = [pa.array([_packed(b) for b in out.column(n).to_pylist()], pa.binary()) for n in STATS[1:]]
         out = pa.RecordBatch.from_arrays([*out.columns[:2], *packed], names=out.schema.names)
         ties = {"wrote": pa.array([shard] + [None] * (out.num_rows - 1), pa.int32())}
         ties |= _ties(counts, out.num_rows)
@@ -295,12 +306,12 @@ def _merge_words(partial: DataFrame, vocabulary: DataFrame, folder: str) -> Data
         words = _array(rows["words"], np.uint64)
         sizes = [len(b) // 8 for b in rows["words"].to_pylist()]
 
-        def column(name: str, dtype) -> np.ndarray:
+        def column(name: str) -> np.ndarray:
             """A row that does not have it counts as zeros."""
             blobs = zip(rows[name].to_pylist(), sizes, strict=True)
-            return np.concatenate([np.zeros(n, np.int64) if b is None else np.frombuffer(zlib.decompress(b) if name != "seen" else b, dtype).astype(np.int64) for b, n in blobs])
+            return np.concatenate([np.zeros(n, np.int64) if b is None else np.frombuffer(b, np.int64) if name == "seen" else _unpacked(b) for b, n in blobs])
 
-        words, *stats = _merged(words, column("seen", np.int64), *(column(n, np.int64) for n in STATS[1:]))
+        words, *stats = _merged(words, column("seen"), *map(column, STATS[1:]))
         store.put(folder, f"words-{rows['shard'][0].as_py()}", [words, *(x.astype(np.uint32) if x.max(initial=0) < 2**32 else x for x in stats)])
         before = stats[-1]
         return pa.table({"wrote": rows["shard"][:1], "k1": [int((before == 1).sum())], **{f"k{k}": [int((before == k).sum())] for k in (2, 3, 4)}, "more": [int((before >= 3).sum())], "total": [int(before.sum())]})
@@ -486,5 +497,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_documents(docs: DataFrame, parts: int = 7, part: int = 2, order: int = 3) -> DataFrame:
     """Train on the documents that are not held out, score all."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), parts, part).alias("held_out"), "text")
     return score(rows, train(rows.where("not held_out").select("text"), order))
