@@ -66,6 +66,18 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch with whole texts.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows where they are larger: Spark counts rows, and a batch of whole texts is large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int):
     """Arrow batches of at most so many rows for what runs inside."""

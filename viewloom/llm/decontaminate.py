@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewloom.llm.common import text_batches
 from viewloom.llm.kernels import mix
 
 Q = 8
@@ -240,6 +241,7 @@ LEAKS = "doc_id long, item_id long, start long, end long, edits int"
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, item_id: str = "item_id") -> DataFrame:
     """One row per document and item it leaks: doc_id, item_id, start and end (in characters) of the closest stretch, edits."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
 
     def scan(items: list[tuple[int, str]]) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from viewloom.llm import kernels
-from viewloom.llm.common import arrow_rows, compact, cut, hot_keys, lookup, semi_join, sweep
+from viewloom.llm.common import arrow_rows, compact, cut, hot_keys, lookup, semi_join, sweep, text_batches
 from viewloom.llm.components import connected
 
 BANDS, ROWS = 25, 4
@@ -411,6 +411,7 @@ def _met(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFram
 
 def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id, class_id."""
+    text_batches(docs.sparkSession)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
     sketches = compact(_sketches(keyed, words))
     nodes = compact(sketches.where("signature is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.min("key").alias("key")))

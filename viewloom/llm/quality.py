@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from viewloom.llm import hashed
-from viewloom.llm.common import bounded_sample
+from viewloom.llm.common import bounded_sample, text_batches
 
 SAMPLE_ROWS = 6000
 KEEP_FROM = 0.4
@@ -193,6 +193,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, fl
 
 def quality_of(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Column:
     """A column for the probability that `text` is good, by a scorer fitted on `docs`."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))
 
     @F.pandas_udf(DoubleType())
