@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.llm import decontaminate, mixing, near_dedup, quality, sharding
-from viewloom.llm.common import cut, scratch_folder, semi_join, table
+from viewloom.llm.common import cut, hot_keys, lookup, scratch_folder, semi_join, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,8 +36,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     classes = classes.groupBy(F.col("doc_id").alias("row_key"), "class_id").agg(F.count(F.lit(1)).alias("n"))
     placed = cut(classes.join(docs.select("row_key", "doc_id").distinct(), "row_key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
-    firsts = placed.groupBy("class_id").agg(first.alias("first")).select("class_id", F.col("first.row_key").alias("kept"))
-    placed = placed.join(firsts, "class_id")
+    firsts = placed.groupBy("class_id").agg(first.alias("first"), F.count(F.lit(1)).alias("size"))
+    large = hot_keys(firsts.where("class_id is not null").select("class_id", "size"))
+    placed = lookup(placed, firsts.select("class_id", F.col("first.row_key").alias("kept")), "class_id", large)
     left = semi_join(docs, cut(placed.where("row_key <> kept").select("row_key")), "row_key", "left_anti")
     again = cut(placed.where("row_key = kept and n > 1").select("row_key", F.lit(1).alias("again")))
     if again.isEmpty():
