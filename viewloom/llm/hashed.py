@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 
 from viewloom.llm import kernels
 
