@@ -174,3 +174,45 @@ def test_linf_prox_against_sorting(spark):
         cuts = (np.cumsum(u) - 1) / np.arange(1, 7)
         want = None if u.sum() <= 1 else cuts[np.flatnonzero(u > cuts).max()]
         assert r.cut == want or abs(r.cut - want) < 1e-9
+
+
+def test_total_variation_derivative_minimises_its_objective():
+    from viewloom.operators import linear as M
+
+    rng = np.random.default_rng(2)
+    assert np.allclose(M.tv_derivative(2.0 * np.arange(60), 1.0, 0.1, 30)[5:-5], 2.0, atol=0.1)
+    kink = M.tv_derivative(np.abs(np.arange(80) - 40.0) + rng.normal(0, 0.05, 80), 1.0, 0.5, 60)
+    assert np.allclose(kink[5:33], -1, atol=0.15) and np.allclose(kink[47:75], 1, atol=0.15)
+    x = np.cumsum(rng.normal(size=40))
+    u = M.tv_derivative(x, 1.0, 0.3, 200)
+    a = np.tril(np.ones((40, 40))) - 0.5 * np.eye(40)
+    loss = lambda v: ((a @ v - (x - x[0])) ** 2).sum() / 2 + 0.3 * np.sqrt(np.diff(v) ** 2 + 1e-6).sum()
+    assert all(loss(u) <= loss(u + h * np.eye(40)[k]) + 1e-6 for k in range(40) for h in (-0.02, 0.02))
+
+
+def test_joint_sparse_regression_minimises_its_objective(spark, vectors):
+    from viewloom.operators import linear as M
+
+    x = vectors[0]
+    m = M.Moments(len(x), x.mean(0), np.cov(x.T, bias=True))
+    inputs, outputs, lam = list(range(12)), [40, 41], 0.01
+    w = M.l21_regression(m, inputs, outputs, lam, rounds=2000, tol=1e-12)
+    cxx, cxy = m.cov[:12, :12], m.cov[np.ix_(inputs, outputs)]
+    loss = lambda v: np.trace(v.T @ cxx @ v) / 2 - np.trace(v.T @ cxy) + lam * np.sqrt((v**2).sum(1)).sum()
+    for i in range(12):
+        for j in range(2):
+            for h in (-1e-3, 1e-3):
+                moved = w.copy()
+                moved[i, j] += h
+                assert loss(w) <= loss(moved) + 1e-6
+    got = QUERIES["l21_regression"](spark, SMALL).collect()
+    assert len(got) == 48 and all(r.norm >= 0 for r in got)
+
+
+def test_rank_deficient_and_shifted_moments(spark):
+    from viewloom.operators import linear as M
+
+    rows = spark.createDataFrame([([1e9 + i, 1e9 - i],) for i in range(50)] + [(None,)], "v array<double>")
+    m = M.moments(rows, "v")
+    assert m.n == 50 and np.allclose(m.cov, np.array([[1, -1], [-1, 1]]) * np.var(np.arange(50)), rtol=1e-9)
+    assert M.moments(rows.where("v is null"), "v").n == 0
