@@ -332,6 +332,67 @@ def test_near_duplicates_odd_rows(odd, none):
     assert near_dedup.near_duplicate_classes(none).count() == 0
 
 
+def weighted_links(rows, words=5, least=0.8):
+    """Pairs of different shingle counts at `least` weighted Jaccard or more, by an inverted index."""
+    bags, owners = [], {}
+    for _, text in rows:
+        own = words_of(text)
+        bag = collections.Counter(tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))) if own else collections.Counter()
+        bags.append(bag)
+    distinct = {frozenset(b.items()): b for b in bags if b}
+    bags, found = list(distinct.values()), set()
+    for k, b in enumerate(bags):
+        for s in b:
+            owners.setdefault(s, []).append(k)
+    for k, b in enumerate(bags):
+        shared = collections.Counter()
+        for s, n in b.items():
+            for o in owners[s]:
+                if o < k:
+                    shared[o] += min(n, bags[o][s])
+        for o, both in shared.items():
+            if both >= least * (sum(b.values()) + sum(bags[o].values()) - both):
+                found.add((frozenset(bags[o].items()), frozenset(b.items())))
+    return found
+
+
+def test_recall_of_links_on_the_given_table(spark):
+    """Every link of the exact search should lie within a class; the chance to miss one is 2e-6."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    classes = {}
+    for k, text in rows:
+        own = words_of(text)
+        bag = frozenset(collections.Counter(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))).items()) if own else frozenset()
+        classes.setdefault(bag, got[k])
+    links = weighted_links(rows)
+    met = sum(classes[a] == classes[b] for a, b in links)
+    assert links and met / len(links) >= 0.9
+    up = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[top(a)] = top(b)
+    assert len(set(got.values())) == len({top(b) for b in classes})
+
+
+def test_classes_are_named_by_rank(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, None), (2, words + " x", 9), (3, words, 4), (4, "alone", None), (None, words + " y", 5)]
+    got = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string, rank long"), rank="rank").collect()
+    assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 3), (1, 3), (2, 3), (3, 3), (4, 4)]
+
+
+def test_trees_are_climbed(spark):
+    parents = [(i, i + 1) for i in range(20)] + [(30, 31), (32, 31)]
+    got = {r.node: r.component for r in components.climbed(spark.createDataFrame(parents, "node long, component long")).collect()}
+    assert got == {**{i: 20 for i in range(20)}, 30: 31, 32: 31}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng, errors = np.random.default_rng(5), []
     for _ in range(50):
@@ -698,25 +759,36 @@ def plain_hilbert(point, bits):
     return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
 
 
-def test_curve_places_by_brute_force(spark):
+@pytest.mark.parametrize("bits", [3, 6, 8])
+def test_curve_places_by_brute_force(spark, bits):
+    bins_of = 1 << bits
     rng = random.Random(4)
     rows = [(i, "w" * rng.randint(0, 400), rng.choice([f"https://{c}.org" for c in "abcdefg"] + [None, "", "https://a.org/" + "x" * 300])) for i in range(400)]
-    got = {r.doc_id: r for r in sharding.hilbert_shards(frame(spark, rows), dims=("source", "size"), bits=3).collect()}
+    got = {r.doc_id: r for r in sharding.hilbert_shards(frame(spark, rows), dims=("source", "size"), bits=bits).collect()}
     known = sorted((s for _, _, s in rows if s is not None), key=str.encode)
     first = {}
     for k, s in enumerate(known):
-        first.setdefault(s, k * 8 // len(known))  # the bin in which its first row lies
+        first.setdefault(s, k * bins_of // len(known))  # the bin in which its first row lies
     bins = {s: sorted(set(first.values()) | {0}).index(b) for s, b in first.items()}
     sizes = sorted(len(t) + 16 for _, t, _ in rows)
-    cuts = sorted({sizes[math.ceil(len(sizes) * k / 8) - 1] for k in range(1, 8)})
+    cuts = sorted({sizes[math.ceil(len(sizes) * k / bins_of) - 1] for k in range(1, bins_of)})
     for i, t, s in rows:
         cell = (0 if s is None else bins[s], sum(c < len(t) + 16 for c in cuts))
-        assert got[i].curve == plain_hilbert(cell, 3)
+        assert got[i].curve == plain_hilbert(cell, bits)
     order = sorted(rows, key=lambda r: (got[r[0]].curve, r[0]))
     assert [got[r[0]].shard for r in order] == [k * 40 // 400 for k in range(400)]
     assert len({bins[s] for s in bins if len(s) == 13}) > 4  # shared beginnings do not hide the rest
 
 
+def test_curve_is_one_to_one_beyond_six_bits(spark):
+    cells = [(x, y) for x in range(0, 256, 4) for y in range(0, 256, 4)]
+    rows = spark.createDataFrame(cells, "x int, y int").select(sharding._hilbert(F.struct("x", "y"), 8).alias("place"), "x", "y")
+    got = {(r.x, r.y): r.place for r in rows.collect()}
+    assert got == {c: plain_hilbert(c, 8) for c in cells}
+    with pytest.raises(ValueError):
+        sharding.hilbert_order(rows, ["x", "y"], 32)
+
+
 def test_files_along_the_curve_prune(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs = docs.withColumn("size", F.lit("own")).withColumn("curve", F.lit(-5))
@@ -873,3 +945,41 @@ def test_lookup_deals_hot_keys(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert max(r["count"] for r in spread) < 10_000
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_settings_stay(spark, name):
+    """An operator leaves the session's settings as they were."""
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    catalog.queries()[name](spark, SMALL).write.format("noop").mode("overwrite").save()
+    assert {r.key: r.value for r in spark.sql("SET").collect()} == before
+
+
+def test_parts_of_a_batch(monkeypatch):
+    monkeypatch.setattr(kernels, "TEXT_ROWS", 3)
+    monkeypatch.setattr(kernels, "TEXT_BYTES", 10)
+    texts = ["abcd", "", None, "x" * 50, "ab", "cd", "ef", "gh"]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], ["k", "t"])
+    got = [p.column(1).to_pylist() for p in kernels.parts([batch.slice(0, 0), batch], 1)]
+    assert sum(got, []) == texts and all(len(g) <= 3 for g in got) and all(len(g) == 1 or sum(len(t or "") for t in g) <= 10 for g in got)
+
+
+def test_a_block_with_wide_keys_is_split():
+    """Where a key of all pieces would not fit, halves of the pieces are counted."""
+    items = [(i, "".join(random.Random(i).choices("abcdefghij ", k=40))) for i in range(5)]
+    block = decontaminate.Block(items, 0.1)
+    texts = [f"before {t} after" for _, t in items] * 3
+    plain = list(decontaminate._scan(block, texts))
+    found = block.candidates(*_pieces(block, texts))
+    halved = []
+    codes, owners, firsts = _pieces(block, texts)
+    for p, i, c in block.candidates(codes, owners + (1 << 60), firsts):
+        halved.append((p - (1 << 60), i, c))
+    assert sorted(halved) == sorted(found) and len(plain) == 15
+
+
+def _pieces(block, texts):
+    gap = np.full(decontaminate.Q, 0xFFFFFFF0, np.uint32)
+    codes = [decontaminate.folded(t) for t in texts]
+    firsts = np.concatenate(([0], np.cumsum([len(c) + decontaminate.Q for c in codes])))[:-1]
+    return np.concatenate([x for c in codes for x in (c, gap)]), np.arange(len(codes)), firsts

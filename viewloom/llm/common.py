@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and \x09-\x0D, as a Java and RE2 character class.
@@ -54,28 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
 COMPACT_ROWS = 100_000
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """cut(), then as many partitions as the counted rows need: every task of the next shuffle leaves files, however few rows it has."""
+def compacted(df: DataFrame, *sums: Column) -> tuple[DataFrame, Row]:
+    """cut(), then as many partitions as the rows need: every task of the next shuffle leaves files, however few rows it has. Also `n`, the rows, and `sums` of them."""
     done = cut(df)
-    return done.coalesce(max(8, -(-done.count() // COMPACT_ROWS)))
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are gone: it does so only when the driver collects garbage. Checkpoints: see forget()."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+    found = done.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    return done.coalesce(max(8, -(-found.n // COMPACT_ROWS))), found
 
-#: Rows of an Arrow batch with whole texts.
-TEXT_ROWS = 1000
 
-
-def text_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to TEXT_ROWS rows where they are larger: Spark counts rows, and a batch of whole texts is large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+def compact(df: DataFrame) -> DataFrame:
+    return compacted(df)[0]
 
 
 @contextmanager
@@ -179,10 +165,13 @@ def lookup(rows: DataFrame, keys: DataFrame, on: str, hot: DataFrame | None, how
     return dealt.drop("salts").join(again.drop("salts"), [on, "salt"], how).drop("salt")
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the checkpoint files under a frame made by cut() or compact() that nothing reads any more; Spark keeps them otherwise."""
-    context = df.sparkSession.sparkContext
-    at = df._jdf.queryExecution().analyzed().collectLeaves().head().rdd().getCheckpointFile()
-    if at.isDefined():
-        path = context._jvm.org.apache.hadoop.fs.Path(at.get())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*frames: DataFrame | None) -> None:
+    """Delete the checkpoint files under frames made by cut() or compact() that nothing reads any more; Spark keeps them otherwise."""
+    for df in frames:
+        if df is None:
+            continue
+        context = df.sparkSession.sparkContext
+        at = df._jdf.queryExecution().analyzed().collectLeaves().head().rdd().getCheckpointFile()
+        if at.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import text_batches
+from viewloom.llm import kernels
 from viewloom.llm.kernels import mix
 
 Q = 8
@@ -99,7 +99,13 @@ class Block:
         low = int((int(np.diff(firsts, append=len(codes)).max()) + self.longest) // int(self.cell.min()) + 2).bit_length()
         middle = len(self.codes).bit_length()
         if low + middle + int(owners.max()).bit_length() > 62:
-            raise OverflowError("the items of a block are too many for their longest")
+            if len(firsts) == 1:
+                raise OverflowError(f"a text of {len(codes)} characters is too long for {len(self.codes)} items of up to {self.longest}")
+            half = len(firsts) // 2  # fewer pieces need fewer bits
+            border, rest = int(firsts[half]), firsts[half:] - firsts[half]
+            found = self.candidates(codes[:border], np.arange(half), firsts[:half])
+            found += [(p + half, i, c) for p, i, c in self.candidates(codes[border:], np.arange(len(rest)), rest)]
+            return [(int(owners[p]), i, c) for p, i, c in found]
         ends = np.cumsum(sizes)
         cut = 0
         while cut < len(at):
@@ -241,7 +247,6 @@ LEAKS = "doc_id long, item_id long, start long, end long, edits int"
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, item_id: str = "item_id") -> DataFrame:
     """One row per document and item it leaks: doc_id, item_id, start and end (in characters) of the closest stretch, edits."""
     spark = docs.sparkSession
-    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
 
     def scan(items: list[tuple[int, str]]) -> DataFrame:
@@ -249,22 +254,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, it
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = Block(held.value, edit_rate)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    ids, found = part.column(0).to_pylist(), list(_scan(block, part.column(1).to_pylist()))
-                    if found:
-                        n, i, start, end, edits = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([ids[k] for k in n], pa.int64()),
-                                pa.array(block.ids[list(i)], pa.int64()),
-                                pa.array(start, pa.int64()),
-                                pa.array(end, pa.int64()),
-                                pa.array(edits, pa.int32()),
-                            ],
-                            names=["doc_id", "item_id", "start", "end", "edits"],
-                        )
+            for part in kernels.parts(batches, 1):
+                ids, found = part.column(0).to_pylist(), list(_scan(block, part.column(1).to_pylist()))
+                if found:
+                    n, i, start, end, edits = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[k] for k in n], pa.int64()),
+                            pa.array(block.ids[list(i)], pa.int64()),
+                            pa.array(start, pa.int64()),
+                            pa.array(end, pa.int64()),
+                            pa.array(edits, pa.int32()),
+                        ],
+                        names=["doc_id", "item_id", "start", "end", "edits"],
+                    )
 
         return rows.mapInArrow(run, LEAKS)
 

@@ -71,6 +71,22 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
+#: Rows and bytes of text of a piece of an Arrow batch that is worked on at once.
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, as Spark counts rows only and a batch of whole texts is large; `text` is the number of the column with texts."""
+    for batch in batches:
+        _, offsets = texts_of(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(offsets, offsets[at] + TEXT_BYTES, "right")) - 1
+            end = max(at + 1, min(at + TEXT_ROWS, end))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _cut(data: np.ndarray, start: int, end: int) -> int:
     """Where to end a window: at white space, if there is any beyond its size."""
     at = start + WINDOW

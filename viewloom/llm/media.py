@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from viewloom.llm.common import text_batches
 from viewloom.llm.tiff import TiffError, read_tiff, write_tiff
 
 WIDE, SAMPLES = 64, 3
@@ -60,7 +59,6 @@ def text_to_tiff(text: str | None) -> bytes:
 
 def texts_as_tiff(docs: DataFrame) -> DataFrame:
     """doc_id and media, the text as a TIFF file. A null text counts as empty."""
-    text_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

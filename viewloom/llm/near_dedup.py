@@ -7,13 +7,15 @@ count. A coordinate of the signature keeps its earliest dart, so two texts agree
 a probability equal to their similarity.
 
 Texts with the same shingles and counts share a node. Nodes meet in bands of ROWS coordinates. In a band's bucket the nodes
-are first compared with a leader only; what is linked becomes one component. This is done twice, the second
-time with one node per component and bucket. In the last round all nodes of a bucket whose components differ are compared
+are first compared with a leader only; what is linked becomes one tree. This is done twice, the second
+time with one node per tree and bucket. In the last round all nodes of a bucket whose components differ are compared
 (components only save what is linked already), crowded buckets in salted blocks. Candidates with nearly agreeing signatures are verified exactly on their shingles. Two texts
 of similarity 0.8 share no band with a probability of 2e-6.
 
+A family of n texts that all lie just below the similarity costs n * n comparisons of signatures in every band they share, in blocks of CROWDED.
+
 Null texts and texts without words are copies of one another. Repeated rows are copies. A null doc_id gets the class of its
-text; a class id is the smallest doc_id of the class. Empty tables give empty results.
+text; a class id is the smallest doc_id of the class (null where none has one). Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from viewloom.llm import kernels
-from viewloom.llm.common import arrow_rows, compact, cut, hot_keys, lookup, semi_join, sweep, text_batches
-from viewloom.llm.components import connected
+from viewloom.llm.common import arrow_rows, compact, cut, forget, hot_keys, lookup, semi_join
+from viewloom.llm.components import climbed, connected
 
 BANDS, ROWS = 25, 4
 COORDINATES = BANDS * ROWS
 #: A bucket of more nodes is compared in blocks of about this size in the last round.
-CROWDED = 1024
+CROWDED = 4096
 #: Nodes of either side in a piece of exact work, whose shingle sets a task holds at once.
 PIECE = 256
 #: Four standard errors below a similarity of 0.8: candidates whose signatures agree less are not verified.
@@ -140,28 +142,29 @@ def _numbered(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """key, node, signature."""
+    """key, rank, at, node, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.parts(batches, 3):
             nodes, signed = [b"\0" * 16] * batch.num_rows, [None] * batch.num_rows
-            for where, hashes in _blocks(batch.column(1)):
+            for where, hashes in _blocks(batch.column(3)):
                 owners, elements, weights = elements_of(where - where[0], hashes, words)
                 texts, own = np.unique(owners, return_inverse=True)
                 names = node_names(own, elements, weights, len(texts))
                 found = signatures(elements, weights, own, len(texts))
                 for k, name, sketch in zip(texts + where[0], names, found, strict=True):
                     nodes[k], signed[k] = name.tobytes(), sketch.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(signed, pa.binary())], names=["key", "node", "signature"])
+            columns = [*batch.columns[:3], pa.array(nodes, pa.binary()), pa.array(signed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "rank", "at", "node", "signature"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, node binary, signature binary")
+    return docs.select("key", "rank", "at", "text").mapInArrow(run, "key long, rank long, at long, node binary, signature binary")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """node, elements: of every row of `docs` (text) with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.parts(batches, 0):
             found = []
             for where, hashes in _blocks(batch.column(0)):
                 owners, elements, weights = elements_of(where - where[0], hashes, words)
@@ -211,20 +214,22 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 def _buckets(bands: DataFrame) -> DataFrame:
     """bucket, node, degree of the buckets with two nodes or more; the degree of a node is the number of nodes in all its buckets."""
-    sizes = cut(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = lookup(bands, sizes, "bucket", hot_keys(sizes.withColumnRenamed("n", "size")))
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(bands.join(sizes, "bucket"))
     degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    return shared.select("bucket", "node").join(degrees, "node").select("bucket", "node", "degree")
+    found = compact(shared.select("bucket", "node").join(degrees, "node").select("bucket", "node", "degree"))
+    forget(shared)
+    return found
 
 
 def _led(grouped: DataFrame) -> DataFrame:
     """For every node, one pair (a, b): of the leaders of its buckets (the nodes of the highest degree) the one that leads most of them.
 
-    What many texts are copies of has the highest degree, so a group mostly falls together at once.
+    What many texts are copies of has the highest degree, so a group mostly falls together at once. A leader is above its nodes by
+    degree and name, so the pairs are trees.
     """
     leaders = grouped.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    leaders = cut(leaders.select("bucket", F.col("b.node").alias("b"), "m"))
-    led = lookup(grouped, leaders.drop("m"), "bucket", hot_keys(leaders.select("bucket", F.col("m").alias("size")))).where("node <> b")
+    led = grouped.join(leaders.select("bucket", F.col("b.node").alias("b")), "bucket").where("node <> b")
     shared = led.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     return shared.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
@@ -237,31 +242,47 @@ def _collapsed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sets_of(used: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node, elements: the shingle sets of the nodes in `used`."""
-    used = compact(nodes.join(used, "node", "left_semi").select("node", "key"))
-    sets = _shingle_sets(semi_join(docs, used.select("key"), "key"), words).join(used, "node", "left_semi")
-    return cut(sets.dropDuplicates(["node"]))
-
-
-def _counted(pairs: DataFrame) -> DataFrame:
-    """b, size: the number of pairs of each b."""
-    return pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    """node, elements: the shingle sets of the nodes in `used`, from the row of `docs` that each node knows by a hash of id and text."""
+    used = cut(nodes.join(used, "node", "left_semi").select("node", "at"))
+    sets = _shingle_sets(semi_join(docs, used.select("at"), "at"), words).join(used, "node", "left_semi")
+    found = cut(sets.dropDuplicates(["node"]))
+    forget(used)
+    return found
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The links (a, b) among candidate pairs: those whose shingles are similar enough, looked at where the signatures nearly are."""
+    """The links (a, b) among candidate pairs: those whose shingles are similar enough, looked at where the signatures nearly are.
+
+    Many nodes have the same leader b; both joins by it go straight to a table, so that Spark can deal the rows of a hot b over tasks.
+    """
     signed = nodes.select("node", "signature")
-    pairs = compact(pairs)
     near = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-    # many nodes have the same leader b
-    near = lookup(near, signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b", hot_keys(_counted(pairs)), spread=["a"])
+    near = near.join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     near = compact(near.where(_agreement("sa", "sb") >= least - SLACK).select("a", "b"))
-    used = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(used, nodes, docs, words)
+    sets = _sets_of(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(), nodes, docs, words)
     full = near.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
-    full = lookup(full, sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b", hot_keys(_counted(near)), spread=["a"])
+    full = full.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     with arrow_rows(docs.sparkSession, 256):  # shingle sets of long texts are large
-        return compact(full.where(_jaccard("ea", "eb") >= least).select("a", "b"))
+        found = compact(full.where(_jaccard("ea", "eb") >= least).select("a", "b"))
+    forget(near, sets)
+    return found
+
+
+def _lifted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between different components, as (a, b) of their roots."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("component").alias("root"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    return links.where("a <> b").select("a", "b")
+
+
+def _hooked(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """`labels` after linked roots are hooked to one another: each to the greatest linked root above it. Links beyond those stay open."""
+    up = climbed(_lifted(links, labels).groupBy(F.least("a", "b").alias("node")).agg(F.max(F.greatest("a", "b")).alias("component")))
+    above = up.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+    found = compact(labels.join(above, "component", "left").select("node", F.coalesce("higher", "component").alias("component")).union(up))
+    forget(up, labels)
+    return found
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -272,8 +293,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     """
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("components"))
-    sizes = cut(sizes.where("components > 1").select("bucket", "total", F.when(F.col("total") > CROWDED, F.col("top.component")).alias("largest"), "top.n"))
-    placed = lookup(rows, sizes, "bucket", hot_keys(sizes.select("bucket", F.col("total").alias("size")))).withColumn("large", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)))
+    sizes = sizes.where("components > 1").select("bucket", "total", F.when(F.col("total") > CROWDED, F.col("top.component")).alias("largest"), "top.n")
+    placed = rows.join(sizes, "bucket").withColumn("large", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)))
     placed = placed.withColumn("m", F.when(F.col("largest").isNull(), 0).otherwise(F.ceil(F.col("n") / CROWDED)))
     placed = placed.withColumn("k", F.when(F.col("largest").isNull(), 1).otherwise(F.ceil((F.col("total") - F.col("n")) / CROWDED)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("large"), F.col("m")).otherwise(F.col("k"))))
@@ -400,35 +421,41 @@ def _exact_links(rows: DataFrame, least: float) -> DataFrame:
 
 def _met(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The links (a, b) between different components among all nodes that share a bucket."""
-    labelled = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    rows = _dealt(compact(labelled)).join(nodes.select("node", "signature"), "node")
+    labelled = compact(buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+    rows = _dealt(labelled).join(nodes.select("node", "signature"), "node")
     band = F.array_position(F.array(*_band_keys()), F.col("bucket")).cast("int") - 1
     work = compact(_candidates(rows.withColumn("band", band), least - SLACK))
-    full = work.join(_sets_of(work.select("node").distinct(), nodes, docs, words), "node")
+    sets = _sets_of(work.select("node").distinct(), nodes, docs, words)
     with arrow_rows(docs.sparkSession, 256):  # shingle sets of long texts are large
-        return compact(_exact_links(full, least))
-
-
-def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, class_id."""
-    text_batches(docs.sparkSession)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
-    sketches = compact(_sketches(keyed, words))
-    nodes = compact(sketches.where("signature is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.min("key").alias("key")))
-    buckets = compact(_buckets(_bands(nodes)))
-    links = labels = None
-    for last in (False, False, True):
-        sweep(docs.sparkSession)
-        if last:
-            found = _met(buckets, labels, nodes, keyed, words, least)
-        else:
-            led = _led(buckets if labels is None else _collapsed(buckets, labels))
-            found = _verified(led, nodes, keyed, words, least)
-        links = found if links is None else links.union(found)
-        labels = connected(links)
-    each = sketches.groupBy("node").agg(F.min(F.nullif("key", F.lit(NO_ID))).alias("least"), F.count(F.lit(1)).alias("copies"))
-    each = compact(each.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    first = each.groupBy("component").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("size"))
-    classes = lookup(each.select("node", "component", "copies"), first.drop("size"), "component", hot_keys(first.drop("class_id")))
+        found = compact(_exact_links(work.join(sets, "node"), least))
+    forget(labelled, work, sets)
+    return found
+
+
+def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.8, rank: str | None = None) -> DataFrame:
+    """One row per document: doc_id, class_id. `rank` names a column whose least value (nulls last, then by id) says whose id a class has."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), (F.col(rank) if rank else F.lit(0)).cast("long").alias("rank"), "text")
+    keyed = keyed.withColumn("at", F.xxhash64("key", "text"))
+    sketches = cut(_sketches(keyed, words))
+    nodes = compact(sketches.where("signature is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.min("at").alias("at")))
+    buckets = _buckets(_bands(nodes))
+    first = _verified(_led(buckets), nodes, keyed, words, least)
+    labels = climbed(first.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    second = _verified(_led(_collapsed(buckets, labels)), nodes, keyed, words, least)
+    labels = _hooked(second, labels)
+    third = _met(buckets, labels, nodes, keyed, words, least)
+    top = connected(_lifted(second.union(third), labels))
+    forget(buckets, nodes, first, second, third)
+
+    name = F.struct(F.col("rank").isNull(), "rank", (F.col("key") == NO_ID).alias("nameless"), "key")
+    each = sketches.groupBy("node").agg(F.min(name).alias("first"), F.count(F.lit(1)).alias("copies"))
+    each = each.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = each.join(top.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left")
+    each = compact(each.select("node", "first", "copies", F.coalesce("higher", "component").alias("component")))
+    forget(labels, top)
+    best = each.groupBy("component").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("size"))
+    best = best.select("component", F.col("best.key").alias("class_id"), "size")
+    classes = lookup(each.select("node", "component", "copies"), best.drop("size"), "component", hot_keys(best.drop("class_id")))
     copied = hot_keys(each.select("node", F.col("copies").alias("size")))
-    return lookup(sketches.select("key", "node"), classes.select("node", "class_id"), "node", copied).select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "class_id")
+    found = lookup(sketches.select("key", "node"), classes.select("node", "class_id"), "node", copied)
+    return found.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"))

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from viewloom.llm import hashed
-from viewloom.llm.common import bounded_sample, text_batches
+from viewloom.llm import hashed, kernels
+from viewloom.llm.common import bounded_sample
 
 SAMPLE_ROWS = 6000
 KEEP_FROM = 0.4
@@ -119,11 +119,16 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: in
     return posterior, rates, share
 
 
+def _text_parts(text: pd.Series) -> Iterator[pa.Array]:
+    """The texts of a batch in pieces."""
+    for at in range(0, len(text), kernels.TEXT_ROWS):
+        yield from (p.column(0) for p in kernels.parts([pa.record_batch([pa.array(text[at : at + kernels.TEXT_ROWS], pa.string())], ["text"])], 0))
+
+
 @F.pandas_udf(StringType())
 def _pattern(text: pd.Series) -> pd.Series:
-    found = votes(measures(pa.array(text, pa.string())))
-    letters = np.array(["-", "b", "g"])[found + 1]
-    return pd.Series(["".join(r) for r in letters])
+    letters = np.array(["-", "b", "g"])
+    return pd.Series(["".join(r) for part in _text_parts(text) for r in letters[votes(measures(part)) + 1]], dtype=object)
 
 
 def label_model(docs: DataFrame) -> dict[str, float]:
@@ -158,7 +163,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, fl
     drawn = bounded_sample(docs.select("doc_id", "text"), ["doc_id", "text"], sample_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.parts(batches, 1):
             letters = np.array(["-", "b", "g"])[votes(measures(batch.column(1))) + 1]
             target = [posterior["".join(r)] for r in letters]
             rows = sorted(_features(batch.column(1)).items())
@@ -193,20 +198,21 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, fl
 
 def quality_of(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Column:
     """A column for the probability that `text` is good, by a scorer fitted on `docs`."""
-    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))
 
     @F.pandas_udf(DoubleType())
     def score(text: pd.Series) -> pd.Series:
-        n = len(text)
         if held.value is None:
-            return pd.Series(np.zeros(n))
-        weights, bias = held.value
-        total, words = np.zeros(n), np.zeros(n)
-        for where, ids in hashed.shape_features(pa.array(text, pa.string())):
-            total += np.bincount(where, weights[ids].sum(axis=0), minlength=n)
-            words += np.bincount(where, minlength=n)
-        return pd.Series(np.where(words > 0, hashed._sigmoid(total / np.maximum(words, 1) + bias), 0.0))
+            return pd.Series(np.zeros(len(text)))
+        (weights, bias), found = held.value, [np.zeros(0)]
+        for part in _text_parts(text):
+            n = len(part)
+            total, words = np.zeros(n), np.zeros(n)
+            for where, ids in hashed.shape_features(part):
+                total += np.bincount(where, weights[ids].sum(axis=0), minlength=n)
+                words += np.bincount(where, minlength=n)
+            found.append(np.where(words > 0, hashed._sigmoid(total / np.maximum(words, 1) + bias), 0.0))
+        return pd.Series(np.concatenate(found))
 
     return score("text")
 

@@ -56,9 +56,12 @@ def hilbert_index(coords: np.ndarray, bits: int = BITS) -> np.ndarray:
     return place
 
 
-@F.pandas_udf(LongType())
-def _hilbert(cells: pd.DataFrame) -> pd.Series:
-    return pd.Series(hilbert_index(cells.to_numpy()))
+def _hilbert(cells: Column, bits: int) -> Column:
+    @F.pandas_udf(LongType())
+    def place(cells: pd.DataFrame) -> pd.Series:
+        return pd.Series(hilbert_index(cells.to_numpy(), bits))
+
+    return place(cells)
 
 
 def _string_borders(values: DataFrame, name: str, bins: int) -> list[str]:
@@ -76,7 +79,9 @@ def _string_borders(values: DataFrame, name: str, bins: int) -> list[str]:
 
 
 def hilbert_order(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """`rows` with `curve`, the place of the row's cell."""
+    """`rows` with `curve`, the place of the row's cell. Each dimension has `bits` bits; a place has 63 at most."""
+    if not 1 <= bits or bits * len(dims) > 63:
+        raise ValueError(f"{len(dims)} dimensions of {bits} bits do not fit a place of 63 bits")
     kinds = dict(rows.dtypes)
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     numbers = [d for d in dims if kinds[d] != "string"]
@@ -92,7 +97,7 @@ def hilbert_order(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFra
         place = F.size(F.filter(F.array(*map(F.lit, borders)), passed)) if borders else F.lit(0)
         return F.when(value.isNull(), F.lit(0)).otherwise(place).cast("int").alias(f"bin_{d}")
 
-    return rows.withColumn("curve", _hilbert(F.struct(*map(coordinate, dims))))
+    return rows.withColumn("curve", _hilbert(F.struct(*map(coordinate, dims)), bits))
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = BITS) -> DataFrame:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm import hashed
-from viewloom.llm.common import bounded_sample, cut, text_batches
+from viewloom.llm import hashed, kernels
+from viewloom.llm.common import bounded_sample, cut
 
 MARKER_ODDS = 30.0
 GRADES = 4
@@ -61,7 +61,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     """Weights and thresholds, or None without both classes."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.parts(batches, 1):
             doc, toxic, own = batch.column(0).to_pylist(), batch.column(2).to_pylist(), {}
             for where, ids, counts in hashed.stem_features(batch.column(1)):
                 cuts = np.flatnonzero(np.diff(where)) + 1
@@ -105,12 +105,11 @@ def severity(column: pa.Array, weights: np.ndarray, cuts: np.ndarray) -> np.ndar
 
 def score_severity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, toxic_from: float = 0.5) -> DataFrame:
     """One row per document: doc_id, expected_severity, severity (the nearest grade), toxic."""
-    text_batches(docs.sparkSession)
     model = fit(docs, labels, sample_rows)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.parts(batches, 1):
             found = severity(batch.column(1), *held.value) if held.value else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "expected_severity"])
 
