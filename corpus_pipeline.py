@@ -32,14 +32,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest doc_id (nulls last); of repeated rows, one."""
     docs = keyed(docs)
-    classes = near_dedup.near_duplicate_classes(docs.select(F.col("row_key").alias("doc_id"), "text"))
-    classes = classes.groupBy(F.col("doc_id").alias("row_key"), "class_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = cut(classes.join(docs.select("row_key", "doc_id").distinct(), "row_key"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
-    firsts = placed.groupBy("class_id").agg(first.alias("first")).select("class_id", F.col("first.row_key").alias("kept"))
-    placed = placed.join(firsts, "class_id")
-    left = semi_join(docs, cut(placed.where("row_key <> kept").select("row_key")), "row_key", "left_anti")
-    again = cut(placed.where("row_key = kept and n > 1").select("row_key", F.lit(1).alias("again")))
+    classes = near_dedup.near_duplicate_classes(docs.select(F.col("row_key").alias("doc_id"), "text", F.col("doc_id").alias("rank")), rank="rank")
+    rows = cut(classes.groupBy(F.col("doc_id").alias("row_key"), F.col("class_id").alias("kept")).agg(F.count(F.lit(1)).alias("n")))
+    left = semi_join(docs, rows.where("row_key <> kept").select("row_key"), "row_key", "left_anti")
+    again = rows.where("row_key = kept and n > 1").select("row_key", F.lit(1).alias("again"))
     if again.isEmpty():
         return left.select(*COLUMNS)
     marked = semi_join(left, again, "row_key", "left")
