@@ -108,7 +108,8 @@ def robust_minmax_onesided(spark, d):
 
 @query(
     f"""WITH {SERIES}, w AS (SELECT *, (rn - 1) // 10 AS win FROM series),
-c AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id, win) AS v FROM w)
+m AS (SELECT user_id, win, list(value ORDER BY rn) AS l FROM w GROUP BY 1, 2),
+c AS (SELECT w.*, value - list_sum(l) / len(l) AS v FROM w JOIN m USING (user_id, win))
 SELECT user_id, rn, win, round(v / nullif(max(abs(v)) OVER (PARTITION BY user_id, win), 0), 6) AS scaled FROM c"""
 )
 def mean_scale_window(spark, d):
@@ -116,7 +117,9 @@ def mean_scale_window(spark, d):
 
     rows = event_series(spark, d).withColumn("win", F.expr("(rn - 1) div 10"))
     own = Window.partitionBy("user_id", "win")
-    centred = rows.withColumn("v", F.col("value") - F.avg("value").over(own))
+    # summed in the order of the rows: a sum in order of arrival may differ in its last bit, and with it a rounded tie
+    whole = own.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    centred = rows.withColumn("v", F.col("value") - F.avg("value").over(whole))
     top = F.max(F.abs("v")).over(own)
     return centred.select("user_id", "rn", "win", F.round(F.col("v") / F.nullif(top, F.lit(0.0)), 6).alias("scaled"))
 
