@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewloom.llm import chat, decontaminate, language_model, line_dedup, media, mixing, near_dedup, quality, sharding, toxicity
+from viewloom.llm import chat, decontaminate, language_model, lexical, line_dedup, media, mixing, near_dedup, packing, quality, sharding, toxicity, vector_codes
 from viewloom.llm.common import table
 
 
@@ -63,10 +63,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_site_lines(table(spark, sf_dir, "pages"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_language_model, op2_mixing, op3_near_dedup, op4_tiff, op5_toxicity, op6_quality, op7_chat, op8_sharding, op9_decontaminate)
-    return {f.__name__: f for f in (*found, op10_line_dedup)}
+    return {f.__name__: f for f in (*found, op10_line_dedup, op11_packing, op12_vector_codes, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(**MIX), "op10_line_dedup": line_dedup.oracle()}
+    found = {"op2_mixing": mixing.oracle(**MIX), "op10_line_dedup": line_dedup.oracle()}
+    return found | {"op12_vector_codes": vector_codes.oracle(), "op13_lexical_search": lexical.oracle()}

@@ -40,17 +40,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes."""
+def word_spans(data: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes; `gap` says of each byte whether it lies between words."""
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = gap[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
     return edges[::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words in bytes."""
-    starts, ends = word_spans(data)
+    starts, ends = word_spans(data, gap)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
     sizes = ends - starts
@@ -115,24 +115,24 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
             i = j
 
 
-def batch_words(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text numbers, word hashes) of the words of a column, in order, window by window."""
+def batch_words(column: pa.Array | pa.ChunkedArray, gap: np.ndarray = _SPACE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text numbers, word hashes) of the words of a column, in order, window by window. White space must be a `gap`, as windows end there."""
     data, offsets = texts_of(column)
     for first, last, start, stop in windows(data, offsets):
         part = data[start:stop]
         if last - first > 1 and len(part):
             # texts touch without white space between them: words that cross a border are cut there
-            hashes, where = _split_words(part, offsets[first : last + 1] - start)
+            hashes, where = _split_words(part, offsets[first : last + 1] - start, gap)
             yield where + first, hashes
         else:
-            hashes, _, _ = word_hashes(part)
+            hashes, _, _ = word_hashes(part, gap)
             yield np.full(len(hashes), first, np.int64), hashes
 
 
-def _split_words(part: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _split_words(part: np.ndarray, borders: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     inner = borders[1:-1]
     padded = np.insert(part, inner, 32)
-    hashes, starts, _ = word_hashes(padded)
+    hashes, starts, _ = word_hashes(padded, gap)
     return hashes, np.searchsorted(inner + np.arange(len(inner)), starts, "left")
 
 
