@@ -50,9 +50,17 @@ def _segments(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _bound(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
     """At most the squared distance; the last axis of the segments is summed."""
-    means = (own[0] - other[0]) ** 2 / size
-    rests = np.maximum(0.0, np.abs(own[1] - other[1]) - 1e-13 * (own[1] + other[1])) ** 2
-    return (means + rests).sum(axis=-1) * (1 - 1e-12)
+    if single := own[0].shape[-1] == 1:
+        own, other = tuple(s[..., 0] for s in own), tuple(s[..., 0] for s in other)
+    means, rests = own[0] - other[0], np.abs(own[1] - other[1])
+    rests -= 1e-13 * (own[1] + other[1])
+    np.maximum(rests, 0.0, out=rests)
+    rests *= rests
+    means *= means
+    means *= (1 - 1e-12) / size
+    rests *= 1 - 1e-12
+    means += rests
+    return means if single else means.sum(axis=-1)
 
 
 class Codebook:
