@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm import kernels
-from viewloom.llm.common import scratch_folder
+from viewloom.llm.common import arrow_rows, scratch_folder
 
 #: Characters of items in a block.
 BLOCK_CHARS = 1 << 20
@@ -140,7 +140,8 @@ def _blocks(docs: DataFrame, items: Items) -> DataFrame:
             yield gather.block()
 
     folder = scratch_folder(docs.sparkSession, "postings")
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOCK_DDL).write.parquet(f"{folder}/blocks")
+    with arrow_rows(docs.sparkSession, kernels.TEXT_ROWS):
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOCK_DDL).write.parquet(f"{folder}/blocks")
     return docs.sparkSession.read.schema(_BLOCK_DDL).parquet(f"{folder}/blocks")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from viewloom.llm import hashed, kernels
-from viewloom.llm.common import bounded_sample
+from viewloom.llm.common import arrow_rows, bounded_sample
 
 SAMPLE_ROWS = 6000
 KEEP_FROM = 0.4
@@ -119,16 +119,15 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: in
     return posterior, rates, share
 
 
-def _text_parts(text: pd.Series) -> Iterator[pa.Array]:
+def _text_parts(text: pa.Array) -> Iterator[pa.Array]:
     """The texts of a batch in pieces."""
-    for at in range(0, len(text), kernels.TEXT_ROWS):
-        yield from (p.column(0) for p in kernels.parts([pa.record_batch([pa.array(text[at : at + kernels.TEXT_ROWS], pa.string())], ["text"])], 0))
+    return (p.column(0) for p in kernels.parts([pa.record_batch([text], ["text"])], 0))
 
 
-@F.pandas_udf(StringType())
-def _pattern(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _pattern(text: pa.Array) -> pa.Array:
     letters = np.array(["-", "b", "g"])
-    return pd.Series(["".join(r) for part in _text_parts(text) for r in letters[votes(measures(part)) + 1]], dtype=object)
+    return pa.array(["".join(r) for part in _text_parts(text) for r in letters[votes(measures(part)) + 1]], pa.string())
 
 
 def label_model(docs: DataFrame) -> dict[str, float]:
@@ -198,12 +197,13 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, fl
 
 def quality_of(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Column:
     """A column for the probability that `text` is good, by a scorer fitted on `docs`."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))
+    with arrow_rows(docs.sparkSession, kernels.TEXT_ROWS):
+        held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))
 
-    @F.pandas_udf(DoubleType())
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf(DoubleType())
+    def score(text: pa.Array) -> pa.Array:
         if held.value is None:
-            return pd.Series(np.zeros(len(text)))
+            return pa.array(np.zeros(len(text)))
         (weights, bias), found = held.value, [np.zeros(0)]
         for part in _text_parts(text):
             n = len(part)
@@ -212,7 +212,7 @@ def quality_of(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Column:
                 total += np.bincount(where, weights[ids].sum(axis=0), minlength=n)
                 words += np.bincount(where, minlength=n)
             found.append(np.where(words > 0, hashed._sigmoid(total / np.maximum(words, 1) + bias), 0.0))
-        return pd.Series(np.concatenate(found))
+        return pa.array(np.concatenate(found))
 
     return score("text")
 

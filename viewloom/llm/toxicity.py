@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm import hashed, kernels
-from viewloom.llm.common import bounded_sample, cut
+from viewloom.llm.common import arrow_rows, bounded_sample, cut
 
 MARKER_ODDS = 30.0
 GRADES = 4
@@ -105,7 +105,8 @@ def severity(column: pa.Array, weights: np.ndarray, cuts: np.ndarray) -> np.ndar
 
 def score_severity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, toxic_from: float = 0.5) -> DataFrame:
     """One row per document: doc_id, expected_severity, severity (the nearest grade), toxic."""
-    model = fit(docs, labels, sample_rows)
+    with arrow_rows(docs.sparkSession, kernels.TEXT_ROWS):
+        model = fit(docs, labels, sample_rows)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
