@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from viewloom.llm import catalog, chat, components, decontaminate, kernels, language_model, line_dedup, media, mixing, near_dedup, quality, sharding, template, tiff, toxicity
+from viewloom.llm import catalog, chat, components, decontaminate, kernels, language_model, line_dedup, media, mixing, near_dedup, quality, sharding, store, template, tiff, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, node string"
@@ -983,3 +983,58 @@ def _pieces(block, texts):
     codes = [decontaminate.folded(t) for t in texts]
     firsts = np.concatenate(([0], np.cumsum([len(c) + decontaminate.Q for c in codes])))[:-1]
     return np.concatenate([x for c in codes for x in (c, gap)]), np.arange(len(codes)), firsts
+
+
+def test_files_are_opened_once_a_worker(spark, monkeypatch):
+    """File opens grow with the shards, not with chunks times shards."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
+    model, opened, real = language_model.train(docs, 2), collections.Counter(), store._raw
+    monkeypatch.setattr(store, "_raw", lambda folder, name: (opened.update([name]), real(folder, name))[1])
+    texts = [r.text for r in docs.collect()]
+    plain = []
+    for at in range(0, 200, 20):
+        for _, older, histories, tokens in language_model._streams(pa.array(texts[at : at + 20])):
+            plain.append(model.log10(older, histories, tokens)[0])
+    assert 0 < len(opened) <= 2 * model.shards and set(opened.values()) == {1}
+    monkeypatch.setattr(store, "KEPT_FILES", 1)
+    store._kept.clear()
+    again = [model.log10(o, h, t)[0] for at in range(0, 200, 20) for _, o, h, t in language_model._streams(pa.array(texts[at : at + 20]))]
+    assert all(np.array_equal(a, b) for a, b in zip(plain, again, strict=True))
+
+
+def test_a_store_that_is_not_mounted(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(store, "_local", lambda folder: None)
+
+    class Remote:
+        @staticmethod
+        def from_uri(folder):
+            return fs.LocalFileSystem(), folder.partition("://")[2]
+
+    monkeypatch.setattr(fs, "FileSystem", Remote)
+    arrays = [np.arange(5, dtype=np.uint64), np.array([1, -2], np.int64), np.array([7], np.uint32), np.array([1, 2, 3], np.uint8)]
+    store.put(f"far://{tmp_path}/x", "a", arrays)
+    for kept in (1 << 20, 0):
+        monkeypatch.setattr(store, "KEPT_BYTES", kept)
+        store._kept.clear()
+        for _ in range(2):
+            assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(arrays, store.view(f"far://{tmp_path}/x", "a"), strict=True))
+        assert len(store._kept) == (1 if kept else 0)
+
+
+def test_draw_keeps_foreign_columns(spark):
+    """Columns whose names the operator uses inside come out as they went in."""
+    docs = spark.createDataFrame([(1, "a b c", "x", 99, 7, "p", "o"), (2, "d", "y", 98, 8, "q", "u")], "doc_id long, text string, source string, n_words long, passes int, src string, last string")
+    plan = mixing.mixing_plan(docs, epochs=2.0, max_repeats=9.0)
+    got = mixing.draw(docs.withColumn("weight", F.lit("w")), plan).collect()
+    assert {(r.doc_id, r.n_words, r.passes, r.src, r.last) for r in got} == {(1, 3, 7, "p", "o"), (2, 1, 8, "q", "u")}
+    assert all(isinstance(r.weight, float) for r in got) and got[0].asDict().keys() >= {"text", "source", "block", "order_key"}
+
+
+def test_a_page_has_a_bound(monkeypatch):
+    file = tiff.write_tiff([np.zeros((40, 64, 3), np.uint8)], "deflate")
+    assert len(list(tiff.read_tiff(file))) == 1
+    monkeypatch.setattr(tiff, "MOST_BYTES", 40 * 64 * 3 - 1)
+    with pytest.raises(tiff.TiffError, match="more than"):
+        list(tiff.read_tiff(file))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm import kernels, store
-from viewloom.llm.common import cut, pieces, scratch_folder
+from viewloom.llm.common import arrow_rows, cut, pieces, scratch_folder
 
 START = np.uint64(0x243F6A8885A308D3)
 CHUNK = 1 << 21
@@ -143,10 +143,10 @@ def _frequent(vocabulary: DataFrame, above: float) -> np.ndarray:
         for batch in batches:
             for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = np.frombuffer(words, np.uint64)[np.frombuffer(counts, np.int64) > above]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["word"])
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()] if len(found) else [], pa.binary())], names=["words"])
 
-    rows = vocabulary.select("words", "counts").mapInArrow(pick, "word long").collect()
-    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
+    rows = vocabulary.select("words", "counts").mapInArrow(pick, "words binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.words, np.uint64) for r in rows)]))
 
 
 def _is_hot(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -498,4 +498,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, parts: int = 7, part: int = 2, order: int = 3) -> DataFrame:
     """Train on the documents that are not held out, score all."""
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), parts, part).alias("held_out"), "text")
-    return score(rows, train(rows.where("not held_out").select("text"), order))
+    with arrow_rows(docs.sparkSession, kernels.TEXT_ROWS):
+        model = train(rows.where("not held_out").select("text"), order)
+    return score(rows, model)

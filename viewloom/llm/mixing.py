@@ -37,7 +37,7 @@ def _shuffled(seed: int, block: Column) -> Column:
 
 
 def _words(docs: DataFrame) -> Column:
-    return F.col("n_words") if "n_words" in docs.columns else n_words(F.col("text"))
+    return n_words(F.col("text")) if "text" in docs.columns else F.col("n_words")
 
 
 def exponent(sources: DataFrame, total: int, least: int, count: int, budget: int, entropy: float, max_repeats: float) -> float:
@@ -90,7 +90,7 @@ def mixing_plan(
     """
     n_buckets = n_buckets or pieces(docs, 4 << 20, 64)
     rows = docs.select("doc_id", "source", _source().alias("src"), _words(docs).alias("words"))
-    rows = rows if "n_words" in docs.columns else cut(rows)
+    rows = cut(rows) if "text" in docs.columns else rows
     sources = cut(rows.groupBy("src").agg(F.first("source").alias("source"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("docs")))
     drawn = sources.where("words > 0")
     total, least, count = drawn.agg(F.sum("words"), F.min("words"), F.count(F.lit(1))).first()
@@ -116,14 +116,19 @@ def mixing_plan(
 
 
 def draw(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of `docs` as often as the plan says, with n_words, weight, block (the pass) and order_key; sort by these two."""
+    """The rows of `docs` as often as the plan says, with n_words, weight, block (the pass) and order_key; sort by these two.
+
+    Columns of `docs` with these four names give way to them (n_words is the word count where there is no text); all others stay, whatever their names.
+    """
     decided = cut(plan.select("src", "weight", "passes", "last"))
-    rows = docs.withColumn("n_words", _words(docs)).withColumn("src", _source())
+    rows = docs.select("doc_id", F.struct("*").alias("row"), _words(docs).alias("n_words"), _source().alias("src"))
     rows = semi_join(rows, decided, "src", "inner")
     more = F.coalesce(_shuffled(seed, F.col("passes")) <= F.col("last"), F.lit(False)).cast("long")
     rows = rows.withColumn("times", F.col("passes") + more).where("times > 0")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    return rows.withColumn("order_key", _shuffled(seed, F.col("block"))).drop("src", "passes", "last", "times")
+    rows = rows.withColumn("order_key", _shuffled(seed, F.col("block")))
+    own = ("n_words", "weight", "block", "order_key")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in own), *own)
 
 
 def mix_sources(docs: DataFrame, entropy: float = 0.97, max_repeats: float = 4.0, budget: int | None = None, seed: int = 17, epochs: float = 1.0) -> DataFrame:

@@ -6,7 +6,6 @@ A folder is a full URI (common.scratch_folder gives one), so that tasks on every
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -48,20 +47,40 @@ def put(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     remote.move(draft, f"{path}/{name}")
 
 
+#: A worker keeps so many mapped files open, and so many bytes of files of a store that is not mounted.
+KEPT_FILES, KEPT_BYTES = 1024, 128 << 20
+_kept: dict[str, list[np.ndarray]] = {}
+_state = {"folder": "", "bytes": 0}
+
+
 def view(folder: str, name: str) -> list[np.ndarray]:
-    """The arrays of a file, memory-mapped; a missing file is an error. Files of an unmounted store are copied to an unnamed local file first."""
-    path = _local(folder)
-    if path is not None:
-        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
-    else:
-        from pyarrow import fs
-
-        remote, at = fs.FileSystem.from_uri(folder)
-        with tempfile.TemporaryFile() as f, remote.open_input_stream(f"{at}/{name}") as source:
-            while block := source.read(1 << 24):
-                f.write(block)
-            f.flush()
-            raw = np.memmap(f, np.uint8, "r")
+    """The arrays of a file, memory-mapped, or read where the store is not mounted; a missing file is an error.
+
+    The first files that a worker meets in a folder stay with it within a bound, so that chunks that go through all files in order find them again.
+    """
+    if _state["folder"] != folder:
+        _kept.clear()
+        _state.update(folder=folder, bytes=0)
+    if name not in _kept:
+        raw, mapped = _raw(folder, name)
+        if len(_kept) >= KEPT_FILES or not mapped and _state["bytes"] + len(raw) > KEPT_BYTES:
+            return _arrays(raw)
+        _state["bytes"] += 0 if mapped else len(raw)
+        _kept[name] = _arrays(raw)
+    return _kept[name]
+
+
+def _raw(folder: str, name: str) -> tuple[np.ndarray, bool]:
+    if (path := _local(folder)) is not None:
+        return np.memmap(f"{path}/{name}", np.uint8, "r"), True
+    from pyarrow import fs
+
+    remote, at = fs.FileSystem.from_uri(folder)
+    with remote.open_input_file(f"{at}/{name}") as source:
+        return np.frombuffer(source.read_buffer(), np.uint8), False
+
+
+def _arrays(raw: np.ndarray) -> list[np.ndarray]:
     count = int(raw[:8].view(np.int64)[0])
     head = raw[8 : 8 + 16 * count].view(np.int64)
     at, found = 8 + 16 * count, []

@@ -226,6 +226,10 @@ class Page:
     description: str
 
 
+#: A page may have so many bytes of pixels at most; larger ones are an error, as a task holds a page.
+MOST_BYTES = 1 << 30
+
+
 def read_tiff(data: bytes) -> Iterator[Page]:
     """The pages of a file, one at a time. TiffError says what is not valid or not supported."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -282,6 +286,8 @@ def _page(data: bytes, order: str, fields: dict, number: int) -> Page:
         raise TiffError(f"page {number}: {len(offsets)} blocks are there, {planes * across * down} are needed")
     held = sum(max(0, min(count, len(data) - offset)) for offset, count in zip(offsets, counts, strict=True))
     claimed = height * width * samples * dtype.itemsize
+    if claimed > MOST_BYTES:
+        raise TiffError(f"page {number}: {claimed} bytes of pixels are claimed, more than {MOST_BYTES}")
     if claimed > held * EXPANSION[NAMES[scheme]] or (tiled and block_w * block_h > 4 * max(width, 64) * max(height, 64)):
         raise TiffError(f"page {number}: {claimed} bytes of pixels are claimed, its blocks have {held}")
     pixels = np.zeros((height, width, samples), dtype)
