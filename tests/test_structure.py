@@ -160,3 +160,34 @@ def test_streamed_state_equals_the_batch_after_a_restart(spark, tmp_path):
         by_user[r.user_id] = number + (own != level), own
         runs[r.event_id] = by_user[r.user_id][0]
     assert {r.id: int(r.run) for r in found["run"]} == runs
+
+
+# --- bases fitted on windows, running sums ---------------------------------------------------------------------------
+
+
+def test_the_window_basis_is_fitted_on_the_other_users(spark):
+    from viewloom.plans import latent
+
+    rows = latent._window_features(spark, SMALL).collect()
+    x = np.array([r.v for r in rows if r.user_id % 3 == 0])
+    vectors = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:4].T
+    got = {(r.user_id, r.win, r.k): r.code for r in latent.fitted_window_basis(spark, SMALL).collect()}
+    own = [r for r in rows if r.user_id % 3]
+    assert len(got) == 4 * len(own)
+    for r in own:
+        plain = (np.array(r.v) - x.mean(0)) @ vectors
+        assert np.allclose([abs(got[r.user_id, r.win, k]) for k in range(4)], np.abs(plain), atol=1e-4)
+
+
+def test_running_sums_of_hot_and_missing_keys(spark):
+    from viewloom.operators import views
+
+    rng = np.random.default_rng(7)
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"k{k % 5}", int(rng.integers(0, 10**6)), int(rng.integers(1, 9))) for k in range(900)]
+    got = views.running_sums(spark.createDataFrame(rows, "key string, at long, n long"), ["key"], ["at"], F.col("n")).collect()
+    for key in {k for k, _, _ in rows}:
+        own = sorted((a, n) for k, a, n in rows if k == key)
+        upto = np.cumsum([n for _, n in own]).tolist()
+        assert sorted((r.at, r._upto) for r in got if r.key == key) == [(a, u) for (a, _), u in zip(own, upto)]
+        assert {r._total for r in got if r.key == key} == {upto[-1]}
+    assert views.running_sums(spark.createDataFrame([], "key string, at long, n long"), ["key"], ["at"]).count() == 0

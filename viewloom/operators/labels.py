@@ -100,6 +100,12 @@ def runs(series: DataFrame, keys: list[str], value: str, rn: str = "rn") -> Data
     return found.select(*keys, value, F.lead(value).over(order).alias("next"), F.col(rn).alias("start"), F.lead(rn).over(order).alias("stop"))
 
 
+def nearby_pairs(rows: DataFrame, keys: list[str], reach: int, rn: str = "rn") -> DataFrame:
+    """keys, left_rn, right_rn: the pairs of a key's rows at most `reach` rows apart, the span that the caller asks for; partners come by ranges of rows."""
+    left = rows.select(*keys, F.col(rn).alias("left_rn")).withColumn("right_rn", F.explode(F.sequence(F.col("left_rn") + 1, F.col("left_rn") + reach)))
+    return left.join(rows.select(*keys, F.col(rn).alias("right_rn")), [*keys, "right_rn"]).select(*keys, "left_rn", "right_rn")
+
+
 def phase_of(current: Column, following: Column, patterns: dict[str, tuple[str | None, str | None]]) -> Column:
     """The first phase whose (value, next value) pattern fits; None in a pattern fits all."""
     found = F.lit(None).cast("string")

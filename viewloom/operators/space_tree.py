@@ -24,7 +24,7 @@ from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viewloom.sources.tables import shared_folder
+from viewloom.sources.tables import written
 
 #: Sampled vectors of a node, the depth of a node's splits in a round, and how many trees are broadcast at most.
 SAMPLE, DEPTH, TREES = 4096, 8, 1024
@@ -47,12 +47,6 @@ def _few_rows(spark: SparkSession, most: int = 8):
         spark.conf.set(key, before)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 # --- the tree -----------------------------------------------------------------------------------------------------
 
 
@@ -92,7 +86,7 @@ def _placed(points: DataFrame, leaf_rows: int) -> DataFrame:
     schema = placed.schema
     for turn in range(20):
         large = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows)
-        large = _kept(large, "nodes")
+        large = written(large, "nodes")
         count = large.count()
         if not count:
             break
@@ -107,7 +101,7 @@ def _placed(points: DataFrame, leaf_rows: int) -> DataFrame:
                     frame = frame.assign(leaf=(frame["leaf"].to_numpy() << (DEPTH + 1)) + (1 << int(d)) + leaf_of(x, *splits(x, int(d))))
                 return frame.drop(columns="depth")
 
-            placed = _kept(rows.groupBy("leaf").applyInPandas(split, schema).select(*schema.names), "placed")
+            placed = written(rows.groupBy("leaf").applyInPandas(split, schema).select(*schema.names), "placed")
             continue
         share = F.lit(float(SAMPLE)) / F.col("n")
         picked = placed.join(F.broadcast(large.withColumn("depth", depth)), "leaf")
@@ -130,7 +124,7 @@ def _placed(points: DataFrame, leaf_rows: int) -> DataFrame:
                     out[at] = (int(name) << (DEPTH + 1)) + len(tree[0]) + 1 + leaf_of(np.stack(v.to_numpy()[at]), *tree)
             return pd.Series(out)
 
-        placed = _kept(placed.withColumn("leaf", place("leaf", "v")), "placed")
+        placed = written(placed.withColumn("leaf", place("leaf", "v")), "placed")
     return placed
 
 
@@ -182,7 +176,7 @@ def _leaves(placed: DataFrame, k: int, counted: Accumulator | None) -> DataFrame
         blobs = ids, x, near, dists, np.full((n, FIRST), -1, np.int64), x.min(axis=0), x.max(axis=0)
         return pa.table([table["leaf"][:1], pa.array([n], pa.int32()), *(pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs)], names=[c.split()[0] for c in _LEAF.split(", ")])
 
-    return _kept(placed.select("leaf", "v", "ids").groupBy("leaf").applyInArrow(whole, _LEAF), "leaves")
+    return written(placed.select("leaf", "v", "ids").groupBy("leaf").applyInArrow(whole, _LEAF), "leaves")
 
 
 class _Row:
@@ -244,7 +238,7 @@ def _visits(leaves: DataFrame, k: int, first: bool) -> DataFrame:
 
         lean = leaves.select("leaf", "n", "ids", "vectors", "near_ids", "near_dists", "seen")
         with _few_rows(spark):
-            parts.append(_kept(lean.mapInArrow(plan, "leaf long, source long, rows binary, looking binary"), "visits"))
+            parts.append(written(lean.mapInArrow(plan, "leaf long, source long, rows binary, looking binary"), "visits"))
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
@@ -283,8 +277,8 @@ def _round(leaves: DataFrame, k: int, first: bool, counted: Accumulator | None)
 
     with _few_rows(spark):
         pairs = visits.join(leaves.select("leaf", "n", "ids", "vectors"), "leaf")
-        found = _kept(pairs.mapInArrow(look, "leaf long, other long, rows binary, got_ids binary, got_dists binary"), "found")
-        return _kept(leaves.groupBy("leaf").cogroup(found.groupBy("leaf")).applyInArrow(lambda a, b: merge(a, b) if a.num_rows else a, _LEAF), "leaves")
+        found = written(pairs.mapInArrow(look, "leaf long, other long, rows binary, got_ids binary, got_dists binary"), "found")
+        return written(leaves.groupBy("leaf").cogroup(found.groupBy("leaf")).applyInArrow(lambda a, b: merge(a, b) if a.num_rows else a, _LEAF), "leaves")
 
 
 def all_knn(rows: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 1024, counted: Accumulator | None = None) -> DataFrame:
@@ -298,7 +292,7 @@ def all_knn(rows: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 102
     lean = lean.where(F.size("v") == width.width)
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     points = lean.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
-    points = _kept(points.select("id", "v", "ids"), "points")
+    points = written(points.select("id", "v", "ids"), "points")
     leaves = _leaves(_placed(points, leaf_rows), k + 1, counted)
     if leaves.count() > 1:
         for first in (True, False):
@@ -312,7 +306,7 @@ def all_knn(rows: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 102
 
     lists = leaves.select("leaf", "n", "ids", "vectors", "near_ids", "near_dists", "seen")
     with _few_rows(spark):
-        lists = _kept(lists.mapInArrow(out, "id long, ids array<long>, dists array<double>"), "lists")
+        lists = written(lists.mapInArrow(out, "id long, ids array<long>, dists array<double>"), "lists")
     named = lean.select("id", "v").join(points.select(F.col("id").alias("first"), "v"), "v").select("id", "first")
     near = named.join(lists.withColumnRenamed("id", "first"), "first").select("id", F.arrays_zip("ids", "dists").alias("near"))
     real = lambda e: (e["ids"] != F.col("id")) & (e["dists"] < F.lit(float("inf")))

@@ -15,13 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.operators.linear import Moments
-from viewloom.sources.tables import shared_folder
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    folder = shared_folder(df.sparkSession, "spectral")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+from viewloom.sources.tables import written
 
 
 def neighbour_graph(near: DataFrame, gamma: float) -> DataFrame:
@@ -41,8 +35,8 @@ def laplacian_embedding(edges: DataFrame, width: int, rounds: int = 12, degree:
 
     `edges` has i, j, w both ways. Of a graph in several parts, the vectors that are constant on each part come first, with eigenvalue 0.
     """
-    edges = _kept(edges.where("i <> j and w > 0").select("i", "j", "w"))
-    degrees = _kept(edges.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("deg")))
+    edges = written(edges.where("i <> j and w > 0").select("i", "j", "w"))
+    degrees = written(edges.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("deg")))
     count, top = degrees.agg(F.count(F.lit(1)), F.max("deg")).first()
     size = min(width + spare, max(count - 1, 1))
     names = [f"x{c}" for c in range(size)]
@@ -60,11 +54,11 @@ def laplacian_embedding(edges: DataFrame, width: int, rounds: int = 12, degree:
         return np.array(row, float).reshape(len(a), len(b))
 
     start = [(F.pmod(F.xxhash64("node", F.lit(seed + c)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(n) for c, n in enumerate(names)]
-    rows, values, cut = _kept(degrees.select("node", "deg", *start)), np.zeros(size), None
+    rows, values, cut = written(degrees.select("node", "deg", *start)), np.zeros(size), None
     for turn in range(rounds + 1):
         means = rows.agg(*(F.avg(n) for n in names)).first()
         rows = rows.select("node", "deg", *((F.col(n) - float(v)).alias(n) for n, v in zip(names, means, strict=True)))
-        image = _kept(multiplied(rows, names, "y"))
+        image = written(multiplied(rows, names, "y"))
         images = [f"y{c}" for c in range(size)]
         # orthonormal, then rotated to the eigenvectors within the subspace
         norm, turnm = np.linalg.eigh(sums(image, names, names))
@@ -72,7 +66,7 @@ def laplacian_embedding(edges: DataFrame, width: int, rounds: int = 12, degree:
         inner = base.T @ sums(image, names, images) @ base
         new, rotation = np.linalg.eigh((inner + inner.T) / 2)
         whole = base @ rotation
-        rows = _kept(image.select("node", "deg", *_mixed(names, whole, "x")))
+        rows = written(image.select("node", "deg", *_mixed(names, whole, "x")))
         settled = np.abs(new[:width] - values[:width]).max() <= tol * max(top, 1e-300)
         values = new
         if turn == rounds or settled and turn > 1:
@@ -87,7 +81,7 @@ def laplacian_embedding(edges: DataFrame, width: int, rounds: int = 12, degree:
             fresh = [((F.col(f"y{c}") - middle * F.col(n)) * (scale / half) - (F.col(before[c]) if before else 0)).alias(f"n{c}") for c, n in enumerate(now)]
             rows = rows.select("node", "deg", *(F.col(n).alias(f"p{c}") for c, n in enumerate(now)), *fresh)
             # a step reads its input twice, so it is a table
-            rows = _kept(rows.select("node", "deg", *(F.col(f"p{c}").alias(f"b{c}") for c in range(size)), *(F.col(f"n{c}").alias(n) for c, n in enumerate(names))))
+            rows = written(rows.select("node", "deg", *(F.col(f"p{c}").alias(f"b{c}") for c in range(size)), *(F.col(f"n{c}").alias(n) for c, n in enumerate(names))))
             now, before = names, [f"b{c}" for c in range(size)]
         rows = rows.select("node", "deg", *names)
     return rows.select("node", *names[:width]), values[:width]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viewloom.operators.views import running_sums
+
 
 def with_totals(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """`rows` with aggregates per key (or over all rows without keys: one row, so its broadcast is bounded)."""
@@ -109,15 +111,14 @@ def conditional_mutual_information(rows: DataFrame, a: list[str], b: list[str],
 def joint_states(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The distinct joint states with their counts, numbered from 1 with the last column slowest."""
     counts = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("state", F.row_number().over(Window.orderBy(*reversed(columns))))
+    return running_sums(counts, [], list(reversed(columns))).withColumnRenamed("_upto", "state").drop("_total")
 
 
 def marginal(rows: DataFrame, column: str) -> DataFrame:
-    """State, count, probability and cumulative probability; windows run over the distinct states only."""
+    """State, count, probability and cumulative probability."""
     counts = rows.groupBy(F.col(column).alias("state")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_n"))
-    order = Window.orderBy("state")
-    return counts.join(F.broadcast(total), how="cross").select("state", "n", (F.col("n") / F.col("_n")).alias("p"), (F.sum("n").over(order) / F.col("_n")).alias("cdf"))
+    found = running_sums(counts, [], ["state"], F.col("n"))
+    return found.select("state", "n", (F.col("n") / F.col("_total")).alias("p"), (F.col("_upto") / F.col("_total")).alias("cdf"))
 
 
 def modal_value(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -83,8 +83,26 @@ def ranks(rows: DataFrame, order: list[str], each: int = 1_000_000) -> DataFrame
     return dealt.join(F.broadcast(starts), "_b").withColumn("rank", F.col("_s") + F.row_number().over(inside) - 1).drop("_b", "_s")
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: list[Column | str], weight: Column | None = None) -> DataFrame:
+    """`rows` with _upto, the sum of `weight` (1 without) up to the row in the order inside its key, and _total, that of the key.
+
+    Rows are dealt over ranges of key and order and written once; sums inside a range then only need what the ranges before it hold, so neither a
+    hot key nor rows without a key meet in one task. Rows that are equal in the order come in any order.
+    """
+    from viewloom.sources.tables import written
+
+    names, orders = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    lean = rows.withColumns({n: F.struct(k) for n, k in zip(names, keys, strict=True)} | {n: F.col(o) if isinstance(o, str) else o for n, o in zip(orders, order, strict=True)})
+    lean = lean.withColumn("_w", F.lit(1).cast("long") if weight is None else weight)
+    placed = written(lean.repartitionByRange(*names, *orders).withColumn("_p", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy(*names, "_p").agg(F.sum("_w").alias("_s"))
+    before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*names, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy(*names)).alias("_total"))
+    inside = Window.partitionBy(*names, "_p").orderBy(*orders).rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("_in", F.sum("_w").over(inside)).join(starts, [*names, "_p"])
+    return found.select(*rows.columns, (F.col("_before") + F.col("_in")).alias("_upto"), "_total")
+
+
 def stratified_head(rows: DataFrame, label: str, order: list[Column], fraction: float) -> DataFrame:
     """Per label the first bround(fraction * n) rows in the given order (half to even)."""
-    own = Window.partitionBy(label)
-    found = rows.withColumn("_r", F.row_number().over(own.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(own))
-    return found.where(F.col("_r") <= F.bround(F.col("_n") * fraction)).drop("_r", "_n")
+    return running_sums(rows, [label], order).where(F.col("_upto") <= F.bround(F.col("_total") * fraction)).drop("_upto", "_total")

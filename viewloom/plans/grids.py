@@ -74,14 +74,15 @@ def sampled_views(spark, d):
 
 
 @query(
-    f"""WITH v AS ({_SUMS}), o AS (SELECT i, (i * 7) % 50 AS other FROM (SELECT unnest(range(0, 50)) AS i))
+    f"""WITH v AS ({_SUMS}), o AS (SELECT vec_id AS i, (vec_id * 7) % (SELECT max(vec_id) + 1 FROM embeddings) AS other FROM embeddings)
 SELECT o.i, mask, a.label, round(list_sum(list_transform(range(0, 4), lambda k: CASE WHEN (mask >> k) & 1 = 1 THEN a.s[k + 1] ELSE b.s[k + 1] END)), 6) AS total
 FROM o JOIN v a ON a.vec_id = o.i JOIN v b ON b.vec_id = o.other, (SELECT unnest([1, 3, 7])::INTEGER AS mask)"""
 )
 def gathered_by_permutation(spark, d):
-    """Rows of a stated list with some views of their own and the rest of the row that a permutation names: two joins by id."""
+    """Every row with some views of its own and the rest of the row that a permutation names: two joins by id."""
     sums = _view_sums(spark, d)
-    order = spark.range(50).select(F.col("id").alias("i"), (F.col("id") * 7 % 50).alias("other"))
+    last = table(spark, d, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    order = table(spark, d, "embeddings").join(F.broadcast(last), how="cross").select(F.col("vec_id").alias("i"), (F.col("vec_id") * 7 % F.col("n")).alias("other"))
     rows = order.join(sums.select(F.col("vec_id").alias("i"), "label", F.col("s").alias("own")), "i").join(sums.select(F.col("vec_id").alias("other"), F.col("s").alias("rest")), "other")
     rows = rows.withColumn("mask", F.explode(F.array(*map(F.lit, (1, 3, 7)))))
     part = lambda k: F.when(F.getbit(F.col("mask").cast("long"), F.lit(k)) == 1, F.col("own")[k]).otherwise(F.col("rest")[k])

@@ -14,7 +14,8 @@ from viewloom.functions import arrays as A
 from viewloom.operators import alignment, factor, functional, mixture, solvers, space_tree, spectral, synchrony
 from viewloom.operators import linear as M
 from viewloom.plans import SERIES, query
-from viewloom.sources.tables import event_series, table
+from viewloom.plans.subjects import random_feature_means
+from viewloom.sources.tables import event_series, kept, table
 
 VIEWS = [list(range(16 * k, 16 * k + 16)) for k in range(4)]
 GROUPS = [[4 * k + j for j in range(4)] for k in range(4)]
@@ -198,3 +199,23 @@ def function_regression(spark, d):
     other = rows.where("user_id % 5 = 0").withColumn("guess", functional.predicted(F.col("p"), model))
     rest = F.aggregate(F.zip_with("guess", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
     return other.select("user_id", F.round(F.sqrt(rest), 4).alias("error"))
+
+
+def _window_features(spark, d):
+    """user_id, win, v: the mean random features of each window as an array."""
+    pairs = F.array_sort(F.collect_list(F.struct("f", "feature")))  # sixteen features
+    return random_feature_means(spark, d).groupBy("user_id", "win").agg(F.transform(pairs, lambda x: x["feature"]).alias("v"))
+
+
+@query()
+def fitted_window_basis(spark, d):
+    """Windows of two thirds of the users on components fitted to the windows of the others: fitted, written, read again and applied."""
+    rows = _window_features(spark, d)
+    m = M.moments(rows.where("user_id % 3 = 0"), "v")
+    values, vectors = M.pca(m, most=4)
+    fitted = [(k, float(values[k]), m.mean.tolist(), vectors[:, k].tolist()) for k in range(len(values))]
+    basis = kept(spark.createDataFrame(fitted, "k int, variance double, mean array<double>, weights array<double>"), "window-basis", ["k"])
+    # at most four components
+    coded = rows.where("user_id % 3 <> 0").join(F.broadcast(basis), how="cross")
+    code = A.dot(F.zip_with("v", "mean", lambda x, y: x - y), F.col("weights"))
+    return coded.select("user_id", "win", F.col("k").cast("int").alias("k"), F.round(code, 5).alias("code"))

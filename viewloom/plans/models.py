@@ -16,7 +16,7 @@ from viewloom.operators import series as R
 from viewloom.operators import statistics as S
 from viewloom.plans import SERIES, query
 from viewloom.plans.timeseries import WINDOWS
-from viewloom.sources.tables import event_series, table
+from viewloom.sources.tables import event_series, table, written
 
 VIEWS = [list(range(16 * k, 16 * k + 16)) for k in range(4)]
 WINDOW = 16
@@ -120,6 +120,7 @@ def kmeans_mi_matrix(spark, d):
     for k in range(4):
         own = rows.withColumn("features", array_to_vector(F.slice("v", 16 * k + 1, 16)))
         rows = KMeans(k=8, seed=5, maxIter=10, predictionCol=f"c{k}").fit(own).transform(own).drop("features")
+    rows = written(rows.select("label", *(f"c{k}" for k in range(4))), "clusters")  # ten pairs read it
     names = ["label", *(f"c{k}" for k in range(4))]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     found = [S.mutual_information(rows, [a], [b]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round("bits", 6).alias("bits")) for a, b in pairs]
@@ -212,23 +213,3 @@ def dtw_match(spark, d):
 
     found = dealt.groupBy("user_id", "chunk").applyInPandas(match, "user_id long, end long, cost double")
     return found.groupBy("user_id").agg(F.min(F.struct("cost", "end")).alias("b")).select("user_id", F.col("b.end").alias("end"), F.round("b.cost", 6).alias("cost"))
-
-
-@query(
-    """WITH RECURSIVE s AS (SELECT id, 0 AS k, 1.0 + 0.01 * id AS x, 1.0::DOUBLE AS y, 1.0::DOUBLE AS z FROM (SELECT unnest(range(0, 8))::DOUBLE AS id)
-UNION ALL SELECT id, k + 1, x + 0.01 * (10 * (y - x)), y + 0.01 * (x * (28 - z) - y), z + 0.01 * (x * y - 2.6666666666666665::DOUBLE * z) FROM s WHERE k < 500)
-SELECT id::BIGINT AS series_id, k::BIGINT - 1 AS rn, round(k * 0.01, 6) AS t, round(x, 8) AS x, round(y, 8) AS y, round(z, 8) AS z FROM s WHERE k > 0"""
-)
-def lorenz_series(spark, d):
-    """Lorenz trajectories from eight starts, one per task row: a generator."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in f["id"]:
-                x, dt, out = np.array([1.0 + 0.01 * i, 1.0, 1.0]), 0.01, []
-                for k in range(500):
-                    x = x + dt * np.array([10 * (x[1] - x[0]), x[0] * (28 - x[2]) - x[1], x[0] * x[1] - 8 / 3 * x[2]])
-                    out.append((i, k, round((k + 1) * dt, 6), *np.round(x, 8)))
-                yield pd.DataFrame(out, columns=["series_id", "rn", "t", "x", "y", "z"])
-
-    return spark.range(8).mapInPandas(run, "series_id long, rn long, t double, x double, y double, z double")

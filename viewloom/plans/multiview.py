@@ -67,15 +67,6 @@ def subset_lattice_replicate(spark, d):
     return rows.select("vec_id", "mask", E.subset_size(F.col("mask")).alias("size"), F.round(parts, 6).alias("total"))
 
 
-@query(
-    "SELECT mask, xor(mask, 7) AS other, list_filter([0, 1, 2], lambda i: (xor(mask, 7) >> i) & 1 = 1) AS members FROM (SELECT unnest(range(1, 8))::INTEGER AS mask)"
-)
-def subset_complement(spark, d):
-    masks = V.replicate_subsets(spark.range(1), 3)
-    other = V.complement(F.col("mask"), 3)
-    return masks.select("mask", other.alias("other"), V.mask_members(other, 3).alias("members"))
-
-
 @query(
     "SELECT vec_id, CASE WHEN row_number() OVER (ORDER BY vec_id) - 1 < floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS part FROM embeddings"
 )

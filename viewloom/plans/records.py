@@ -241,21 +241,3 @@ def period_search(spark, d):
     score = phases.groupBy("user_id", "period").agg((F.sum(F.col("s") * F.col("s") / F.col("n")) / F.sum("n")).alias("q"))
     best = score.groupBy("user_id").agg(F.max(F.struct(F.round("q", 6).alias("q"), (-F.col("period")).alias("p"))).alias("b"))
     return best.select("user_id", (-F.col("b.p")).alias("period"), F.col("b.q").alias("score"))
-
-
-@query()
-def switching_linear_series(spark, d):
-    """Seeded switching linear systems, a generator: two rotations that take turns by a Markov chain."""
-
-    def run(frames):
-        for f in frames:
-            for i in f["id"]:
-                rng, x, mode, out = np.random.default_rng(int(i)), np.array([1.0, 0.0]), 0, []
-                for k in range(300):
-                    mode = mode if rng.random() < 0.95 else 1 - mode
-                    a = (0.1, 0.4)[mode]
-                    x = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]) @ x + rng.normal(0, 0.01, 2)
-                    out.append((i, k, mode, *x))
-                yield pd.DataFrame(out, columns=["series_id", "rn", "mode", "x", "y"])
-
-    return spark.range(6).mapInPandas(run, "series_id long, rn long, mode int, x double, y double")

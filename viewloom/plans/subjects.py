@@ -116,13 +116,6 @@ def centred_columns(spark, d):
     return rows.join(F.broadcast(means), "i").select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") - F.col("m"), 6).alias("centred"))
 
 
-@query("SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - 1.0::DOUBLE / 12 AS value FROM (SELECT unnest(range(0, 12)) AS i), (SELECT unnest(range(0, 12)) AS j)")
-def centring_matrix(spark, d):
-    n = 12
-    cells = spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), F.expr(f"id % {n}").alias("j"))
-    return cells.select("i", "j", (F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) - F.lit(1.0) / n).alias("value"))
-
-
 @query(f"WITH {SERIES} SELECT round(0.5 / var_pop(x), 9) AS bandwidth FROM (SELECT value - lag(value) OVER (PARTITION BY user_id, (rn - 1) // 8 ORDER BY rn) AS x FROM series)")
 def kernel_bandwidth(spark, d):
     """Half over the variance of the first differences inside windows of eight."""
@@ -321,7 +314,7 @@ def k_step_forecast(spark, d):
     now, found = series.groupBy("user_id").agg(F.max_by("value", "rn").alias("now")), []
     for step in range(1, 4):
         near = pairs.join(now, "user_id").withColumn("d2", F.pow(F.col("x") - F.col("now"), 2))
-        now = K.nadaraya_watson(near, ["user_id"], "y", "d2", GAMMA).withColumnRenamed("forecast", "now")
+        now = T.written(K.nadaraya_watson(near, ["user_id"], "y", "d2", GAMMA).withColumnRenamed("forecast", "now"), "steps")
         found.append(now.select("user_id", F.lit(step).alias("step"), F.round("now", 6).alias("forecast")))
     return found[0].union(found[1]).union(found[2])
 

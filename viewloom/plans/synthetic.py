@@ -1,7 +1,4 @@
-"""Generators, invertible transforms and their likelihoods, geometry, solvers and schedules as queries.
-
-Generators draw from additive recurrences of the row number, so every run and every engine makes the same rows.
-"""
+"""Invertible transforms and their likelihoods, geometry and solvers as queries over the embeddings and orders."""
 
 from __future__ import annotations
 
@@ -13,157 +10,6 @@ from viewloom.plans import query
 from viewloom.sources.tables import table
 
 E64 = "embedding::DOUBLE[]"
-POINTS = 400
-
-
-def _frac(x: str) -> str:
-    return f"(({x}) - floor({x}))"
-
-
-def _normal(k: str, i: str) -> str:
-    """A standard normal number of two integers, by Box and Muller from two recurrences; the same SQL for both engines."""
-    u = _frac(f"({k} + 1) * 0.6180339887498949 + ({i} + 1) * 0.7548776662466927 + ({k} + 1) * ({i} + 3) * 0.2451223337533073")
-    v = _frac(f"({k} + 1) * 0.5698402909980532 + ({i} + 1) * 0.8191725133961645 + ({k} + 2) * ({i} + 1) * 0.6710436067037893")
-    return f"(sqrt(-2 * ln(greatest({u}, 1e-12))) * cos(2 * pi() * {v}))"
-
-
-def _both(ddl: str, n: int):
-    """A query whose SQL text over rows `id` from 0 to n - 1 is the same in both engines."""
-    return query(f"SELECT {ddl} FROM (SELECT unnest(range(0, {n})) AS id)"), lambda spark: spark.range(n).selectExpr(*_split(ddl))
-
-
-def _split(ddl: str) -> list[str]:
-    parts, depth, at = [], 0, 0
-    for k, c in enumerate(ddl):
-        depth += (c in "([") - (c in ")]")
-        if c == "," and not depth:
-            parts.append(ddl[at:k])
-            at = k + 1
-    return [*parts, ddl[at:]]
-
-
-# --- generators ------------------------------------------------------------------------------------------------
-
-_T = f"CAST(20 AS DOUBLE) * id / {POINTS - 1}"
-_keep, _rows = _both(f"id, round({_T}, 6) AS t, round(1.5 * cos(2.0 * ({_T})) + 0.5 * sin(2.0 * ({_T})), 6) AS x, round(-3.0 * sin(2.0 * ({_T})) + cos(2.0 * ({_T})), 6) AS dx", POINTS)
-
-
-@_keep
-def harmonic_oscillator(spark, d, rows=_rows):
-    """x(0) = 1.5, x'(0) = 1 and frequency 2, in closed form."""
-    return rows(spark)
-
-
-_keep, _rows = _both(f"id, round(sin(1.0 * ({_T})), 6) AS slow, round(sin(2.0 * ({_T})), 6) AS fast", POINTS)
-
-
-@_keep
-def two_sinusoids(spark, d, rows=_rows):
-    return rows(spark)
-
-
-_PULSES = ((0.2, 1.0, 0.03), (0.35, 0.4, 0.05), (0.6, 0.8, 0.02))
-_AT = f"(CAST(id AS DOUBLE) / {POINTS})"
-_SHAPE = " + ".join(f"{a} * exp(-0.5 * ({_AT} - {m}) * ({_AT} - {m}) / {w * w!r})" for m, a, w in _PULSES)
-_keep, _rows = _both(f"id, round({_SHAPE}, 6) AS wave, CASE WHEN {_SHAPE} < 0.001 THEN 0.0 ELSE round({_SHAPE} - 0.075, 6) END AS biased, round({_SHAPE} + 0.05 * {_normal('id', '0')}, 6) AS noisy", POINTS)
-
-
-@_keep
-def pulse_waveform(spark, d, rows=_rows):
-    """A beat as a sum of Gaussian pulses; as it is, with a bias and a threshold, and with noise."""
-    return rows(spark)
-
-
-_keep, _rows = _both("id AS series_id, " + ", ".join(f"round({_normal('id', str(i))}, 6) AS x{i}" for i in range(3)), POINTS)
-
-
-@_keep
-def normal_points(spark, d, rows=_rows):
-    return rows(spark)
-
-
-_FEAT = [f"round({_normal('id', 'v')} * {_normal('(100 + 2 * v)', str(c))} + {_normal('id', '(v + 1)')} * {_normal('(101 + 2 * v)', str(c))}, 6)" for c in range(4)]
-
-
-@query(f"SELECT id AS row_id, v::INTEGER AS view_id, [{', '.join(_FEAT)}] AS feat FROM (SELECT unnest(range(0, {POINTS})) AS id), (SELECT unnest(range(0, 3)) AS v)")
-def redundant_views(spark, d):
-    """Three views of four latent variables, each of two of them, so that neighbours share one."""
-    rows = spark.range(POINTS).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
-    return rows.selectExpr("id AS row_id", "CAST(v AS INT) AS view_id", f"array({', '.join(_FEAT)}) AS feat")
-
-
-_SIDE = 24
-_X = f"(CAST(id % {_SIDE} AS DOUBLE) / {_SIDE - 1})"
-_Y = f"(CAST(floor(CAST(id AS DOUBLE) / {_SIDE}) AS DOUBLE) / {_SIDE - 1})"
-_keep, _rows = _both(
-    f"id, round({_X} - 0.5, 6) AS x, round({_Y} - 0.5, 6) AS y, round(0.5 * sin(4 * pi() * {_X}) + 0.5 * sin(4 * pi() * {_Y}), 6) AS z",
-    _SIDE * _SIDE,
-)
-
-
-@_keep
-def sinusoidal_mesh(spark, d, rows=_rows):
-    """A centred grid of two dimensions and the sum of two sines over it."""
-    return rows(spark)
-
-
-_P = [_normal("id", str(i)) for i in range(3)]
-_L2 = " + ".join(f"{p} * {p}" for p in _P)
-_keep, _rows = _both(
-    "id, " + ", ".join(f"round({p} / sqrt({_L2}), 6) AS s{i}" for i, p in enumerate(_P)) + ", " + ", ".join(f"round(least(greatest({p}, -1.0), 1.0), 6) AS c{i}" for i, p in enumerate(_P))
-    + f", round({_P[0]} / (abs({_P[0]}) + abs({_P[1]}) + abs({_P[2]})), 6) AS d0",
-    POINTS,
-)
-
-
-@_keep
-def shaped_points(spark, d, rows=_rows):
-    """Normal points brought to a sphere, into a cube, and (first coordinate) to a diamond."""
-    return rows(spark)
-
-
-_TURN = [(0.8, -0.6), (0.6, 0.8)]
-_VIEW = ", ".join(f"round({_TURN[r][0]} * {_P[[i for i in range(3) if i != v][0]]} + {_TURN[r][1]} * {_P[[i for i in range(3) if i != v][1]]}, 6) AS v{v}{r}" for v in range(3) for r in range(2))
-_keep, _rows = _both(f"id, {_VIEW}", POINTS)
-
-
-@_keep
-def lifted_views(spark, d, rows=_rows):
-    """Three views of points in space, each without one axis and turned."""
-    return rows(spark)
-
-
-_BIT = [f"CAST({_frac(f'(id + 1) * {g}')} < 0.5 AS INTEGER)" for g in (0.6180339887498949, 0.7548776662466927)]
-
-
-@query(
-    f"""WITH b AS (SELECT id, {_BIT[0]} AS a, {_BIT[1]} AS b FROM (SELECT unnest(range(0, {POINTS})) AS id))
-SELECT id // 100 AS series, id % 100 AS rn, a, b, sum(a + b) OVER (PARTITION BY id // 100 ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)::BIGINT AS target FROM b"""
-)
-def bit_counters(spark, d):
-    """Pairs of bits; the target is the number of ones in this row and the one before."""
-    from pyspark.sql import Window
-
-    rows = spark.range(POINTS).selectExpr("id", f"{_BIT[0]} AS a", f"{_BIT[1]} AS b", "id div 100 AS series", "id % 100 AS rn")
-    two = Window.partitionBy("series").orderBy("rn").rowsBetween(-1, 0)
-    return rows.select("series", "rn", "a", "b", F.sum(F.col("a") + F.col("b")).over(two).cast("long").alias("target"))
-
-
-_CLASS = f"CAST(floor(4 * {_frac('(id + 1) * 0.6180339887498949')}) AS INTEGER)"
-
-
-@query(f"SELECT id // 100 AS series, id % 100 AS rn, y, [y, y] AS x FROM (SELECT id, {_CLASS} AS y FROM (SELECT unnest(range(0, {POINTS})) AS id))")
-def repeated_classes(spark, d):
-    """A class per step, copied into every feature."""
-    rows = spark.range(POINTS).selectExpr("id div 100 AS series", "id % 100 AS rn", f"{_CLASS} AS y")
-    return rows.select("series", "rn", "y", F.array_repeat("y", 2).alias("x"))
-
-
-@query("SELECT i, j, CASE WHEN i = j + 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT unnest(range(0, 10)) AS i), (SELECT unnest(range(0, 4)) AS j)")
-def padded_identity(spark, d):
-    """A block column of ten rows with the identity of four from row three on."""
-    cells = spark.range(40).select(F.expr("id div 4").alias("i"), F.expr("id % 4").alias("j"))
-    return cells.select("i", "j", F.when(F.col("i") == F.col("j") + 3, 1.0).otherwise(0.0).alias("value"))
 
 
 @query(f"SELECT vec_id, round(list_sum(list_transform(e, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE x * exp(0.1 * e[i - 1]) END)), 6) AS total, round(0.1 * list_sum(list_filter(e, lambda x, i: i % 2 = 1)), 6) AS log_det FROM (SELECT vec_id, {E64} AS e FROM embeddings)")
@@ -176,19 +22,20 @@ def masked_scaling(spark, d):
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT id, 0 AS k, 1.0 + 0.01 * id AS x, 1.0::DOUBLE AS y, 1.0::DOUBLE AS z FROM (SELECT unnest(range(0, 8))::DOUBLE AS id)
-UNION ALL SELECT id, k + 1, x + 0.01 * (10 * (y - x)), y + 0.01 * (x * (28 - z) - y), z + 0.01 * (x * y - 8 / 3 * z) FROM s WHERE k < 100)
-SELECT id::BIGINT AS series_id, k AS step, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s WHERE k > 0"""
+    """WITH RECURSIVE s AS (SELECT vec_id, 0 AS k, 1 + e[1] AS x, 1 + e[2] AS y, 1 + e[3] AS z FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+UNION ALL SELECT vec_id, k + 1, x + 0.01::DOUBLE * (10 * (y - x)), y + 0.01::DOUBLE * (x * (28 - z) - y), z + 0.01::DOUBLE * (x * y - 2.6666666666666665::DOUBLE * z) FROM s WHERE k < 40)
+SELECT vec_id, k AS step, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s WHERE k > 0"""
 )
 def polynomial_roll_out(spark, d):
-    """Sparse polynomial dynamics iterated by Euler steps: a fold over the steps of each start."""
+    """Sparse polynomial dynamics from the first three components of every row, iterated by Euler steps: a fold over the steps of each start."""
     step = lambda s, k: F.struct(
         (s["x"] + 0.01 * (10 * (s["y"] - s["x"]))).alias("x"), (s["y"] + 0.01 * (s["x"] * (28 - s["z"]) - s["y"])).alias("y"), (s["z"] + 0.01 * (s["x"] * s["y"] - F.lit(8 / 3) * s["z"])).alias("z")
     )
-    start = F.array(F.struct((1.0 + 0.01 * F.col("id")).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("z")))
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, lambda acc, k: F.concat(acc, F.array(step(F.element_at(acc, -1), k))))
-    rows = spark.range(8).select(F.col("id").alias("series_id"), F.posexplode(path).alias("step", "s")).where("step > 0")
-    return rows.select("series_id", "step", *(F.round(f"s.{c}", 6).alias(c) for c in "xyz"))
+    e = A.doubles("embedding")
+    start = F.array(F.struct((1 + e[0]).alias("x"), (1 + e[1]).alias("y"), (1 + e[2]).alias("z")))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, lambda acc, k: F.concat(acc, F.array(step(F.element_at(acc, -1), k))))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(path).alias("step", "s")).where("step > 0")
+    return rows.select("vec_id", "step", *(F.round(f"s.{c}", 6).alias(c) for c in "xyz"))
 
 
 # --- invertible transforms -----------------------------------------------------------------------------------
@@ -223,18 +70,15 @@ def flow_likelihood(spark, d):
     )
 
 
-_SAMPLE = [_normal("id", str(i)) for i in range(3)]
-
-
 @query(
-    f"""SELECT id, round(a, 6) AS x0, round(b, 6) AS x1, round(c, 6) AS x2 FROM (SELECT id, z0 / 2 AS a, (z1 - 0.5 * (z0 / 2)) / 2 AS b, (z2 - 0.5 * ((z1 - 0.5 * (z0 / 2)) / 2)) / 2 AS c
-FROM (SELECT id, {_SAMPLE[0]} AS z0, {_SAMPLE[1]} AS z1, {_SAMPLE[2]} AS z2 FROM (SELECT unnest(range(0, 300)) AS id)))"""
+    f"""SELECT vec_id, round(a, 6) AS x0, round(b, 6) AS x1, round(c, 6) AS x2 FROM (SELECT vec_id, e[1] / 2 AS a, (e[2] - 0.5 * (e[1] / 2)) / 2 AS b, (e[3] - 0.5 * ((e[2] - 0.5 * (e[1] / 2)) / 2)) / 2 AS c
+FROM (SELECT vec_id, {E64} AS e FROM embeddings))"""
 )
 def flow_samples(spark, d):
-    """Samples of a transformed distribution: a base sample taken back through the inverse."""
-    rows = spark.range(300).selectExpr("id", f"array({', '.join(_SAMPLE)}) AS z")
-    x = flows.make("chain_linear", below=0.5, diagonal=2.0).inverse(F.col("z"))
-    return rows.select("id", x.alias("x")).select("id", *(F.round(F.col("x")[i], 6).alias(f"x{i}") for i in range(3)))
+    """Rows as base samples that are taken back through the inverse of a transform: samples of the transformed distribution."""
+    x = flows.make("chain_linear", below=0.5, diagonal=2.0).inverse(F.slice(A.doubles("embedding"), 1, 3))
+    rows = table(spark, d, "embeddings").select("vec_id", x.alias("x"))
+    return rows.select("vec_id", *(F.round(F.col("x")[i], 6).alias(f"x{i}") for i in range(3)))
 
 
 # --- geometry ---------------------------------------------------------------------------------------------------
@@ -295,28 +139,23 @@ def prox_shifted_l1(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(A.total(found), 6).alias("total"))
 
 
-_COUPLED = " UNION ALL ".join(
-    f"SELECT '{kind}' AS kind, i, j, {value} AS value FROM cells"
-    for kind, value in (
-        ("independent", "CASE WHEN i = j THEN 0.5 ELSE 0.0 END"),
-        ("pairwise", "CASE WHEN i = j THEN 0.5 + 2.0 * 5 ELSE -2.0 END"),
-        ("temporal", "CASE WHEN i = j THEN 0.5 + 2.0 * (CASE WHEN i = 0 OR i = 5 THEN 1 ELSE 2 END) WHEN abs(i - j) = 1 THEN -2.0 ELSE 0.0 END"),
-    )
+@query(
+    """WITH t AS (SELECT label, row_number() OVER (ORDER BY label) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL)),
+c AS (SELECT a.label AS i, b.label AS j, a.k AS p, b.k AS q, a.n FROM t a, t b)
+SELECT i, j, CASE WHEN p = q THEN 0.5 + 2.0 * (n - 1) ELSE -2.0 END::DOUBLE AS pairwise,
+  (CASE WHEN p = q THEN 0.5 + 2.0 * ((p > 1)::INTEGER + (p < n)::INTEGER) WHEN abs(p - q) = 1 THEN -2.0 ELSE 0.0 END)::DOUBLE AS temporal FROM c"""
 )
-
-
-@query(f"WITH cells AS (SELECT id // 6 AS i, id % 6 AS j FROM (SELECT unnest(range(0, 36)) AS id)) SELECT kind, i, j, value::DOUBLE AS value FROM ({_COUPLED})")
 def task_couplings(spark, d):
-    """Penalty matrices of six tasks: on their own, every pair, and a chain in time (both neighbours of a task)."""
-    cells = spark.range(36).select(F.expr("id div 6").alias("i"), F.expr("id % 6").alias("j"))
-    same, near, end = F.col("i") == F.col("j"), F.abs(F.col("i") - F.col("j")) == 1, F.col("i").isin(0, 5)
-    kinds = {
-        "independent": F.when(same, 0.5).otherwise(0.0),
-        "pairwise": F.when(same, 0.5 + 2.0 * 5).otherwise(-2.0),
-        "temporal": F.when(same, 0.5 + 2.0 * F.when(end, 1).otherwise(2)).when(near, -2.0).otherwise(0.0),
-    }
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("double").alias("value")) for k, v in kinds.items())))
-    return cells.select("i", "j", each.alias("x")).select("x.kind", "i", "j", "x.value")
+    """Penalty matrices of the tasks, one for each label: every pair, and a chain in the order of the labels (both neighbours of a task)."""
+    from pyspark.sql import Window
+
+    order = Window.orderBy("label")  # over the distinct labels
+    tasks = table(spark, d, "embeddings").where("label is not null").select("label").distinct().withColumn("k", F.row_number().over(order))
+    last = tasks.agg(F.max("k").alias("n"))
+    cells = tasks.select(F.col("label").alias("i"), F.col("k").alias("p")).join(tasks.select(F.col("label").alias("j"), F.col("k").alias("q")), how="cross").join(F.broadcast(last), how="cross")
+    same, sides = F.col("p") == F.col("q"), (F.col("p") > 1).cast("int") + (F.col("p") < F.col("n")).cast("int")
+    chain = F.when(same, 0.5 + 2.0 * sides).when(F.abs(F.col("p") - F.col("q")) == 1, -2.0).otherwise(0.0)
+    return cells.select("i", "j", F.when(same, 0.5 + 2.0 * (F.col("n") - 1)).otherwise(-2.0).alias("pairwise"), chain.alias("temporal"))
 
 
 @query(f"SELECT i, round(min(size), 6) AS least FROM (SELECT k, i, sqrt(sum(x * x)) AS size FROM (SELECT unnest(range(0, 64)) // 16 AS k, unnest(range(0, 64)) % 16 AS i, unnest({E64}) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1 HAVING min(size) >= (SELECT 0.98 * sqrt(count(*) / 64.0) FROM embeddings)")
@@ -365,17 +204,3 @@ def padded_histories(spark, d):
     most = ends.agg(F.max("own").alias("most"))
     missing = ends.join(F.broadcast(most), how="cross").where("own < most").select("o_custkey", F.explode(F.sequence(F.col("own") + 1, F.col("most"))).alias("step"), "value")
     return rows.select("o_custkey", "step", "value").union(missing)
-
-
-_PLAN = (("autoencoder", 3), ("classifier", 2), ("generator", 1), ("discriminator", 2))
-
-
-@query(
-    "WITH p AS (SELECT unnest(range(0, 4)) AS place, unnest(['autoencoder', 'classifier', 'generator', 'discriminator']) AS module, unnest([3, 2, 1, 2]) AS rounds) "
-    "SELECT row_number() OVER (ORDER BY epoch, place, i) - 1 AS step, epoch, module FROM (SELECT place, module, unnest(range(0, rounds)) AS i FROM p), (SELECT unnest(range(0, 5)) AS epoch)"
-)
-def training_schedule(spark, d):
-    """Which module has its turn at each step, over five epochs: a generated table."""
-    turns = [m for m, n in _PLAN for _ in range(n)]
-    rows = spark.range(5 * len(turns)).withColumnRenamed("id", "step")
-    return rows.select("step", F.expr(f"step div {len(turns)}").alias("epoch"), F.array(*map(F.lit, turns))[(F.col("step") % len(turns)).cast("int")].alias("module"))

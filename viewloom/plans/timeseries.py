@@ -186,11 +186,22 @@ def phase_interval_join(spark, d):
 SELECT a.phase, a.user_id, a.rn AS left_rn, b.rn AS right_rn FROM s a JOIN s b ON a.user_id = b.user_id AND a.phase = b.phase AND a.rn < b.rn AND b.rn <= a.rn + 20"""
 )
 def phase_cross_product(spark, d):
-    """Pairs of a phase's samples at most 20 rows apart; partners come by ranges of rows, so a busy user makes no square."""
+    """Pairs of a phase's samples at most 20 rows apart, a span that is asked for; `phase_sample_products` sums over all pairs without making them."""
     rows = phase_interval_join(spark, d).where("phase in ('browse', 'buy')").select("user_id", "phase", "rn")
-    left = rows.withColumn("right_rn", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + 20)))
-    right = rows.withColumnRenamed("rn", "right_rn")
-    return left.join(right, ["user_id", "phase", "right_rn"]).select("phase", "user_id", F.col("rn").alias("left_rn"), "right_rn")
+    return L.nearby_pairs(rows, ["phase", "user_id"], 20)
+
+
+@query(
+    f"""WITH {_CHANGES}, {_PHASE}, s AS (SELECT p.user_id, p.phase, s.rn, s.value FROM phases p JOIN series s ON s.user_id = p.user_id AND s.rn >= p.start AND s.rn < p.stop WHERE phase IS NOT NULL)
+SELECT a.user_id, a.phase AS phase_a, b.phase AS phase_b, count(*) AS pairs, round(sum(a.value * b.value), 3) AS sum_product FROM s a JOIN s b ON a.user_id = b.user_id AND a.phase <= b.phase GROUP BY 1, 2, 3"""
+)
+def phase_sample_products(spark, d):
+    """All pairs of a user's samples in two phases (or one), as their number and summed product: sums of either side suffice, no pair is made."""
+    own = phase_interval_join(spark, d).groupBy("user_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    a, b = (own.select("user_id", F.col("phase").alias(f"phase_{x}"), F.col("n").alias(f"n_{x}"), F.col("total").alias(f"total_{x}")) for x in "ab")
+    both = a.join(b, "user_id").where("phase_a <= phase_b")
+    pairs = F.col("n_a") * F.col("n_b")
+    return both.select("user_id", "phase_a", "phase_b", pairs.alias("pairs"), F.round(F.col("total_a") * F.col("total_b"), 3).alias("sum_product"))
 
 
 @query(

@@ -111,6 +111,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return files.makeQualified(at).toString()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """`df` as a table in the shared folder: it is computed once, its plan ends here and lost executors do not lose it."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def kept(df: DataFrame, name: str, by: list[str]) -> DataFrame:
     """`df` written by key to the shared folder and read again: fitted coefficients outlive the job that made them."""
     folder = shared_folder(df.sparkSession, name)
