@@ -193,7 +193,7 @@ def phase_cross_product(spark, d):
 
 @query(
     f"""WITH {_CHANGES}, {_PHASE}, s AS (SELECT p.user_id, p.phase, s.rn, s.value FROM phases p JOIN series s ON s.user_id = p.user_id AND s.rn >= p.start AND s.rn < p.stop WHERE phase IS NOT NULL)
-SELECT a.user_id, a.phase AS phase_a, b.phase AS phase_b, count(*) AS pairs, round(sum(a.value * b.value), 3) AS sum_product FROM s a JOIN s b ON a.user_id = b.user_id AND a.phase <= b.phase GROUP BY 1, 2, 3"""
+SELECT a.user_id, a.phase AS phase_a, b.phase AS phase_b, count(*) AS pairs, round(sum(a.value * b.value), 4) AS sum_product FROM s a JOIN s b ON a.user_id = b.user_id AND a.phase <= b.phase GROUP BY 1, 2, 3"""
 )
 def phase_sample_products(spark, d):
     """All pairs of a user's samples in two phases (or one), as their number and summed product: sums of either side suffice, no pair is made."""
@@ -201,7 +201,7 @@ def phase_sample_products(spark, d):
     a, b = (own.select("user_id", F.col("phase").alias(f"phase_{x}"), F.col("n").alias(f"n_{x}"), F.col("total").alias(f"total_{x}")) for x in "ab")
     both = a.join(b, "user_id").where("phase_a <= phase_b")
     pairs = F.col("n_a") * F.col("n_b")
-    return both.select("user_id", "phase_a", "phase_b", pairs.alias("pairs"), F.round(F.col("total_a") * F.col("total_b"), 3).alias("sum_product"))
+    return both.select("user_id", "phase_a", "phase_b", pairs.alias("pairs"), F.round(F.col("total_a") * F.col("total_b"), 4).alias("sum_product"))
 
 
 @query(
