@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Patterns of annotation texts (lower case) and the labels they lead to.
+# BLEED_NOT stands apart because the twin's pattern engine has no lookahead.
 STABILISATION_START = r"min stabilization period$"
 STABILISATION_END = r"min stabilization period (completed|ended)$"
 BLEED = r"^bleed #[ ]*[1-9]"
