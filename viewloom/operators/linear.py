@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from viewloom.operators.derivatives import tv_derivatives
+
 
 @dataclass
 class Moments:
@@ -136,17 +138,8 @@ def greedy_order(m: Moments, views: list[list[int]], target: int) -> list[tuple[
 
 
 def tv_derivative(x: np.ndarray, dt: float, alpha: float = 1e-2, rounds: int = 30, eps: float = 1e-6) -> np.ndarray:
-    """Derivative u that minimises |integral(u) - x|^2 / 2 + alpha * (total variation of u), by lagged diffusivity."""
-    n = len(x)
-    if n < 3:
-        return np.gradient(x, dt) if n == 2 else np.zeros(n)
-    a = np.tril(np.full((n, n), dt)) - dt / 2 * np.eye(n)
-    d = (np.eye(n, k=1) - np.eye(n))[:-1] / dt
-    u, y, ata = np.gradient(x, dt), x - x[0], a.T @ a
-    for _ in range(rounds):
-        weight = 1 / np.sqrt((d @ u) ** 2 + eps)
-        u = np.linalg.solve(ata + alpha * dt * d.T @ (weight[:, None] * d), a.T @ y)
-    return u
+    """derivatives.tv_derivatives of one series."""
+    return tv_derivatives(np.asarray(x, float)[None], np.array([float(dt)]), alpha, rounds, eps)[0]
 
 
 def dtw_open(target: np.ndarray, series: np.ndarray) -> tuple[float, int]:

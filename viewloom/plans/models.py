@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from viewloom.functions import arrays as A
+from viewloom.operators import derivatives
 from viewloom.operators import linear as M
 from viewloom.operators import neighbours as K
 from viewloom.operators import series as R
@@ -168,19 +169,8 @@ def gaussian_view_imputation(spark, d):
 @query()
 def tv_derivative(spark, d):
     """Total-variation derivative per series in chunks of 200 rows; a chunk is solved with 20 rows of its neighbours on either side."""
-    size, margin = 200, 20
     rows = event_series(spark, d).select("user_id", "rn", "value")
-    at = F.expr(f"(rn - 1) div {size}")
-    before, after = F.expr(f"(rn - 1 + {margin}) div {size}"), F.expr(f"greatest(rn - 1 - {margin}, 0) div {size}")
-    dealt = rows.withColumn("chunk", F.explode(F.array_distinct(F.array(at, before, after))))
-
-    def derive(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rn")
-        frame["dx"] = M.tv_derivative(frame["value"].to_numpy(), 1.0, 0.1, 15)
-        own = (frame["rn"] - 1) // size == frame["chunk"]
-        return frame.loc[own, ["user_id", "rn", "dx"]]
-
-    return dealt.groupBy("user_id", "chunk").applyInPandas(derive, "user_id long, rn long, dx double").select("user_id", "rn", F.round("dx", 6).alias("dx"))
+    return derivatives.derive_series(rows, ["user_id"], "rn", "value", F.lit(1.0)).select("user_id", "rn", F.round("dx", 6).alias("dx"))
 
 
 def _dtw_sql() -> str:
