@@ -53,6 +53,47 @@ def moments(rows: DataFrame, vec: str) -> Moments:
     return Moments(n, pilot + mean, m[1:, 1:] / n - np.outer(mean, mean))
 
 
+def moments_by(rows: DataFrame, key: str, vec: str) -> dict[object, Moments]:
+    """Moments of each key's vectors, in one pass; tasks sum per key, so what comes back has keys * width * width entries. For few keys.
+
+    Null vectors and vectors with nulls, and vectors of another width than the first row's, are left out; a null key is a key.
+    """
+    lean = rows.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    pilot = lean.first()
+    if pilot is None:
+        return {}
+    pilot = np.array(pilot["v"])
+    kind = lean.schema["k"].dataType.simpleString()
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict = {}
+        for frame in frames:
+            for k, own in frame.groupby("k", dropna=False):
+                x = np.stack(own["v"].to_numpy()) - pilot
+                x = np.hstack((np.ones((len(x), 1)), x))
+                k = None if pd.isna(k) else k
+                totals[k] = totals.get(k, 0) + x.T @ x
+        for k, total in totals.items():
+            yield pd.DataFrame({"k": pd.Series([k] * total.size, dtype=object), "i": np.arange(total.size), "s": total.ravel()})
+
+    whole = lean.where(F.size("v") == len(pilot))
+    entries = whole.mapInPandas(sums, f"k {kind}, i int, s double").groupBy("k", "i").agg(F.sum("s").alias("s"))
+    lists = entries.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("m"))
+    found = {}
+    for row in lists.toLocalIterator():
+        m = np.array(row["m"]).reshape(len(pilot) + 1, -1)
+        mean = m[0, 1:] / m[0, 0]
+        found[row["k"]] = Moments(m[0, 0], pilot + mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
+    return found
+
+
+def matrix_power(c: np.ndarray, power: float, eps: float = 1e-6) -> np.ndarray:
+    """Of a symmetric positive matrix: the same eigenvectors, eigenvalues to the power; those below eps times the greatest become 0, whatever the power."""
+    values, vectors = np.linalg.eigh(c)
+    kept = values > eps * max(float(np.abs(values).max(initial=0)), 1e-300)
+    return (vectors[:, kept] * values[kept] ** power) @ vectors[:, kept].T
+
+
 def _signed(v: np.ndarray) -> np.ndarray:
     """Columns whose largest entry is positive, so that results do not hang on a solver's choice of sign."""
     return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])

@@ -65,6 +65,57 @@ def knn(rows: DataFrame, queries: DataFrame, id_col: str, vec: str, k: int, excl
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def dtw(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs of aligning each row of a with each row of b from end to end: sums of absolute differences, steps of (1, 0), (0, 1) or (1, 1)."""
+    shape = (len(a), len(b))
+    last = np.full((b.shape[1] + 1, *shape), np.inf)
+    last[0] = 0
+    for i in range(a.shape[1]):
+        row = np.full_like(last, np.inf)
+        for j in range(b.shape[1]):
+            row[j + 1] = np.minimum(np.minimum(last[j], last[j + 1]), row[j]) + np.abs(a[:, i, None] - b[None, :, j])
+        last = row
+    return last[-1]
+
+
+def dtw_nearest(rows: DataFrame, queries: DataFrame, id_col: str, vec: str, group: str, k: int = 1) -> DataFrame:
+    """query, neighbour, cost, rank of the k rows of other groups that align best with each query (ties by id); null and unequally long vectors go.
+
+    Queries go out in blocks of BLOCK; a task keeps the k best of each query over all its rows, so it shuffles queries * k rows.
+    """
+    spark = rows.sparkSession
+    lean = lambda t: t.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.xxhash64(group).alias("g")).where("id is not null and v is not null")
+    found, held = spark.createDataFrame([], "query long, neighbour long, cost double"), []
+
+    def scan(block: list) -> DataFrame:
+        width = len(block[0]["v"])
+        data = spark.sparkContext.broadcast((np.array([r["id"] for r in block]), np.array([r["v"] for r in block]), np.array([r["g"] for r in block])))
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, points, groups = data.value
+            cost, near = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+            step = max(1, (1 << 20) // len(ids))
+            for frame in frames:
+                for at in range(0, len(frame), step):
+                    part = frame.iloc[at : at + step]
+                    new = dtw(points, np.stack(part["v"].to_numpy()))
+                    new[groups[:, None] == part["g"].to_numpy()[None]] = np.inf
+                    cost, near = np.c_[cost, new], np.c_[near, np.broadcast_to(part["id"].to_numpy(), new.shape)]
+                    order = np.lexsort((near, cost), axis=1)[:, :k]
+                    cost, near = np.take_along_axis(cost, order, 1), np.take_along_axis(near, order, 1)
+            real = np.isfinite(cost)
+            yield pd.DataFrame({"query": np.repeat(ids, real.sum(axis=1)), "neighbour": near[real], "cost": cost[real]})
+
+        return lean(rows).where(F.size("v") == width).mapInPandas(best, "query long, neighbour long, cost double")
+
+    for row in lean(queries).orderBy(F.size("v"), "id").toLocalIterator():
+        if held and (len(held) == BLOCK or len(held[0]["v"]) != len(row["v"])):
+            found, held = found.union(scan(held)), []
+        held.append(row)
+    found = found.union(scan(held)) if held else found
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("cost", "neighbour"))).where(F.col("rank") <= k)
+
+
 def against_all(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """Every row beside every query row, the queries in blocks of BLOCK that are broadcast. `queries` has `rank` from 0 and other columns than `rows`."""
     blocks = (queries.agg(F.max("rank")).first()[0] or 0) // BLOCK + 1

@@ -197,3 +197,61 @@ def agreeing_directions(m: Moments, views: list[list[int]], width: int = 2, roun
         bases = [np.c_[b, u] for b, u in zip(bases, us, strict=True)]
         courses.append(course)
     return bases, courses
+
+
+# --- block-sparse regression of each view on the others --------------------------------------------------------------
+
+
+@dataclass
+class BlockRegression:
+    """Of one view: coefficients (all components x its own, zero rows for itself), and per round the objective and each other view's block norm."""
+
+    weights: np.ndarray
+    objective: list[float]
+    norms: list[list[float]]
+
+
+def block_regression(m: Moments, views: list[list[int]], target: int, lam: float, rounds: int = 500, tol: float = 1e-9) -> BlockRegression:
+    """W that minimises |y - x W|^2 / 2 (mean over rows) + lam * sum of the Frobenius norms of W's blocks, one a view of x: accelerated proximal
+    gradient on the moments, restarted where the objective would rise, so it never does."""
+    out, sources = views[target], [v for v in range(len(views)) if v != target]
+    cxx, cxy = m.cov.copy(), m.cov[:, out].copy()
+    step = 1 / max(float(np.linalg.eigvalsh(cxx)[-1]), 1e-12)
+    cxy[out] = 0
+    cxx[out] = cxx[:, out] = 0
+    rest = float(np.trace(m.cov[np.ix_(out, out)])) / 2
+    sizes = lambda w: [float(np.linalg.norm(w[views[v]])) for v in sources]
+    value = lambda w: rest + float((w * (cxx @ w / 2 - cxy)).sum()) + lam * sum(sizes(w))
+
+    def moved(w: np.ndarray) -> np.ndarray:
+        new = w - step * (cxx @ w - cxy)
+        for v in sources:
+            new[views[v]] = shrink(new[views[v]], step * lam)
+        return new
+
+    w = ahead = np.zeros_like(cxy)
+    pace, objective, norms = 1.0, [value(w)], [sizes(w)]
+    for _ in range(rounds):
+        new = moved(ahead)
+        if value(new) > objective[-1]:
+            new, pace = moved(w), 1.0
+        faster = (1 + (1 + 4 * pace**2) ** 0.5) / 2
+        ahead, w, pace = new + (pace - 1) / faster * (new - w), new, faster
+        objective.append(min(value(w), objective[-1]))
+        norms.append(sizes(w))
+        if len(objective) > 5 and objective[-5] - objective[-1] < tol * max(rest, 1e-300):
+            break
+    return BlockRegression(w, objective, norms)
+
+
+def block_redundancy(m: Moments, views: list[list[int]], lam: float, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """The history of the redundancy matrix (round, target view, source view: the block's norm; a course that ended early keeps its last values),
+    and all coefficients (components x components) that predict each view from the others."""
+    fits = [block_regression(m, views, v, lam, rounds) for v in range(len(views))]
+    history = np.zeros((max(len(f.norms) for f in fits), len(views), len(views)))
+    weights = np.zeros((len(m.cov), len(m.cov)))
+    for v, f in enumerate(fits):
+        others = [o for o in range(len(views)) if o != v]
+        history[:, v, others] = [f.norms[min(k, len(f.norms) - 1)] for k in range(len(history))]
+        weights[:, views[v]] = f.weights
+    return history, weights

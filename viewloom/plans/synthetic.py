@@ -40,7 +40,8 @@ def polynomial_roll_out(spark, d):
 
 # --- invertible transforms -----------------------------------------------------------------------------------
 
-FLOW = flows.compose(flows.make("reverse"), flows.make("leaky_relu", slope=0.2), flows.make("chain_linear", below=0.5, diagonal=2.0), flows.make("scale_shift", first=32, log_scale=0.3, shift=0.1))
+STEPS = [flows.make("reverse"), flows.make("leaky_relu", slope=0.2), flows.make("chain_linear", below=0.5, diagonal=2.0), flows.make("scale_shift", first=32, log_scale=0.3, shift=0.1)]
+FLOW = flows.compose(*STEPS)
 _FLOWED = f"""SELECT vec_id, e, list_transform(b, lambda x, i: CASE WHEN i > 32 THEN (2 * x + 0.5 * coalesce(b[i - 1], 0)) * exp(0.3) + 0.1 ELSE 2 * x + 0.5 * (CASE WHEN i > 1 THEN b[i - 1] ELSE 0 END) END) AS y,
   len(list_filter(e, lambda x: x < 0)) * ln(0.2) + 64 * ln(2) + 32 * 0.3 AS log_det FROM (SELECT vec_id, e, list_transform(list_reverse(e), lambda x: CASE WHEN x < 0 THEN 0.2 * x ELSE x END) AS b FROM (SELECT vec_id, {E64} AS e FROM embeddings))"""
 
