@@ -211,3 +211,23 @@ def test_whitened_views_have_unit_covariance(spark):
     cov = np.cov(white.T, bias=True)
     for k in range(4):
         assert np.allclose(cov[16 * k : 16 * k + 16, 16 * k : 16 * k + 16], np.eye(16), atol=1e-3)
+
+
+def test_averages_over_chunks(spark):
+    """A long series, a short one, a null key and a null value by the plain loop; rows of a series are numbered with gaps."""
+    from viewloom.operators import series
+
+    rng = np.random.default_rng(7)
+    values = {1: rng.normal(size=900) * 100, 2: np.array([5.0]), None: np.arange(4.0)}
+    rows = [(k, 3 * i, float(v)) for k, x in values.items() for i, v in enumerate(x)] + [(3, 0, 1.0), (3, 1, None), (3, 2, 2.0)]
+    table = spark.createDataFrame(rows, "k long, rn long, v double").repartition(4)
+    for alpha in (0.2, 0.9, 1.0):
+        got = {(r.k, r.rn): r.ema for r in series.ema(table, ["k"], "v", alpha).collect()}
+        assert len(got) == len(rows) and got[3, 0] == 1
+        assert all(got[3, i] is None or np.isnan(got[3, i]) for i in (1, 2))
+        for k, x in values.items():
+            last = x[0]
+            for i, v in enumerate(x):
+                last = alpha * v + (1 - alpha) * last
+                assert abs(got[k, 3 * i] - last) < 1e-11
+    assert series.ema(table.limit(0), ["k"], "v", 0.2).count() == 0

@@ -65,12 +65,14 @@ def derive_series(rows: DataFrame, keys: list[str], rn: str, value: str, dt: Col
     """keys, rn (from 1 per key, without gaps), dx: series of any length in chunks of `size`, each solved with `margin` rows of its neighbours.
 
     `dt` must be the same for all rows of a key. Null values and steps that are null or not above 0 make a chunk's derivatives null. A chunk
-    is a row of at most size + 2 * margin samples, so one shuffle by key and chunk spreads a long series over all tasks.
+    is a row of at most size + 2 * margin samples; chunks are dealt by key and number, so the solves of a long series run in all tasks.
     """
     near = F.expr(f"array_distinct(array((_rn - 1) div {size}, greatest(_rn - 1 - {margin}, 0) div {size}, (_rn - 1 + {margin}) div {size}))")
     dealt = rows.select(*keys, F.col(rn).cast("long").alias("_rn"), F.col(value).cast("double").alias("_x"), dt.cast("double").alias("_dt")).withColumn("_chunk", F.explode(near))
     chunks = dealt.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct("_rn", "_x"))).alias("_c"), F.max("_dt").alias("_dt"))
 
+    chunks = chunks.repartition(*keys, "_chunk")  # rows that come by key alone would leave a hot key's chunks in one task
+
     @F.pandas_udf("array<double>")
     def solve(x: pd.Series, dt: pd.Series) -> pd.Series:
         found = [None] * len(x)

@@ -6,6 +6,10 @@ operators are about, so one series is one partition of a window; sorts spill, an
 
 from __future__ import annotations
 
+from math import ceil, log
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,20 +83,33 @@ def next_values(series: DataFrame, keys: list[str], value: str, rn: str = "rn")
 
 
 def ema(series: DataFrame, keys: list[str], value: str, alpha: float, rn: str = "rn") -> DataFrame:
-    """Exponential moving average: alpha x + (1 - alpha) of the one before; the first is the value itself.
+    """Exponential moving average: alpha x + (1 - alpha) of the one before; the first is the value itself. Null values make all later averages null.
 
-    A row's average is a weighted sum of the rows before it. Weights below 1e-17 no longer change a double, so it is a window over a
-    bounded number of rows, and no series is held as a whole.
+    A series is cut into chunks that are array rows, solved side by side in Arrow batches. What a chunk begins with is the average at the end of
+    the one before it; weights below 1e-17 no longer change a double, and a chunk is longer than that, so the end follows from that chunk alone.
     """
-    from math import ceil, log
-
-    reach = ceil(log(1e-17) / log(1 - alpha))
+    reach = ceil(log(1e-17) / log(1 - alpha)) if alpha < 1 else 1
+    size = max(256, reach)
     order = Window.partitionBy(*keys).orderBy(rn)
-    rows = series.select(*keys, rn, F.row_number().over(order).alias("_i"), F.collect_list(value).over(order.rowsBetween(-reach, 0)).alias("_v"))
-    past = F.size("_v") - 1
-    share = lambda i: F.pow(F.lit(1 - alpha), past - i) * F.when((i == 0) & (F.col("_i") == past + 1), 1.0).otherwise(alpha)
-    weighted = F.transform("_v", lambda x, i: x * share(i))
-    return rows.select(*keys, rn, F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x).alias("ema"))
+    rows = series.select(*keys, F.col(rn).alias("_rn"), F.col(value).cast("double").alias("_x"), (F.row_number().over(order) - 1).alias("_i"))
+    chunks = rows.groupBy(*keys, F.expr(f"_i div {size}").alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_i", "_x", "_rn"))).alias("_s"))
+
+    @F.pandas_udf("array<double>")
+    def within(x: pd.Series, first: pd.Series) -> pd.Series:
+        """From nothing, but a series' first chunk from its first value."""
+        sizes = np.array([len(v) for v in x], int)
+        held = np.zeros((len(x), sizes.max(initial=0)))
+        for i, v in enumerate(x):
+            held[i, : len(v)] = v
+        last = np.where(first, held[:, 0] if held.size else 0.0, 0.0)
+        for j in range(held.shape[1]):
+            held[:, j] = last = alpha * held[:, j] + (1 - alpha) * last
+        return pd.Series([v[:n] for v, n in zip(held, sizes, strict=True)], index=x.index)
+
+    solved = chunks.withColumn("_e", within(F.transform("_s", lambda s: s["_x"]), F.col("_c") == 0))
+    carried = F.coalesce(F.when(F.col("_c") > 0, F.element_at(F.lag("_e").over(Window.partitionBy(*keys).orderBy("_c")), -1)), F.when(F.col("_c") == 0, 0.0))
+    each = solved.withColumn("_from", carried).select(*keys, "_from", F.posexplode("_s").alias("_j", "_s"), "_e")
+    return each.select(*keys, F.col("_s._rn").alias(rn), (F.get("_e", F.col("_j")) + F.pow(F.lit(1 - alpha), F.col("_j") + 1) * F.col("_from")).alias("ema"))
 
 
 def lag_information(series: DataFrame, keys: list[str], state: str, lags: int, rn: str = "rn") -> DataFrame:

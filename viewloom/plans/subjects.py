@@ -163,8 +163,32 @@ _STATS = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in STATS.items())
 @query(f"WITH {SERIES}, {_WIN8}, s AS ({_STEPS.format('win')}) SELECT user_id, CAST(win AS BIGINT) AS win, {_STATS} FROM s GROUP BY 1, 2")
 def window_statistics(spark, d):
     """Sixteen aggregate features of each window, as one aggregation."""
-    R.count_windows(event_series(spark, d), ["user_id"], 8).createOrReplaceTempView("viewloom_window_rows")
-    return spark.sql(f"WITH s AS ({_STEPS.format('viewloom_window_rows')}) SELECT user_id, CAST(win AS BIGINT) AS win, {_STATS} FROM s GROUP BY 1, 2")
+    x, pos, step = F.col("value"), F.col("pos"), F.col("value") - F.col("last")
+    win = R.count_windows(event_series(spark, d), ["user_id"], 8).withColumn("win", F.col("win").cast("long"))
+    own = Window.partitionBy("user_id", "win")
+    # the mean in the order of the rows, so that a value beside it falls on the same side in every run
+    ordered = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = win.select("user_id", "win", "pos", "value", F.lag("value").over(own.orderBy("pos")).alias("last"), F.avg("value").over(ordered).alias("mid"), F.max("value").over(own).alias("top"), F.min("value").over(own).alias("low"))
+    several = lambda c: F.coalesce(F.round(F.avg(c), 6), F.lit(0.0))
+    features = {
+        "n": F.count(F.lit(1)),
+        "mean": F.round(F.avg(x), 6),
+        "sd": F.round(F.stddev_pop(x), 6),
+        "lowest": F.min(x),
+        "highest": F.max(x),
+        "energy": F.round(F.sum(F.pow(x, 2)), 4),
+        "rms": F.round(F.sqrt(F.avg(F.pow(x, 2))), 6),
+        "turn": F.round(F.sum(F.abs(step)), 6),
+        "mean_turn": several(F.abs(step)),
+        "mean_step": several(step),
+        "rises": F.count_if(step > 0),
+        "above": F.count_if(x > F.col("mid")),
+        "crossings": F.count_if((x > F.col("mid")) != (F.col("last") > F.col("mid"))),
+        "first_high": F.min_by("pos", F.struct(-x, pos)),
+        "last_low": F.max_by("pos", F.struct(-x, pos)),
+        "slope": F.round(F.covar_pop(x, pos) / F.var_pop(pos), 6),
+    }
+    return rows.groupBy("user_id", "win").agg(*(c.cast("double").alias(n) for n, c in features.items()))
 
 
 @query(f"SELECT i, round(0.5 * (2 * (1 + ln(2 * pi())) + ln(var_pop(x) * var_pop(y) - covar_pop(x, y) ** 2)), 6) AS nats, round(-0.5 * ln(1 - corr(x, y) ** 2), 6) AS shared FROM (SELECT unnest(range(1, 64)) AS i, e FROM (SELECT {E64} AS e FROM embeddings)), LATERAL (SELECT e[i] AS x, e[i + 1] AS y) GROUP BY 1")
