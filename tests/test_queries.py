@@ -3,7 +3,7 @@
 import pytest
 
 from viewloom.plans import ORACLES, QUERIES
-from viewloom.plans import channels, grids, information, latent, models, multiview, records, subjects, synthetic, timeseries  # noqa: F401
+from viewloom.plans import channels, grids, information, latent, models, multiview, recordings, records, subjects, synthetic, timeseries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

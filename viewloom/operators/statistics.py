@@ -108,6 +108,21 @@ def conditional_mutual_information(rows: DataFrame, a: list[str], b: list[str],
     return _sum_of_entropies(rows, [(1, [*a, *given]), (1, [*b, *given]), (-1, [*a, *b, *given]), (-1, given)])
 
 
+def quantised(rows: DataFrame, columns: list[str], out: str = "state") -> DataFrame:
+    """`rows` with q_<column> (rounded, halves away from zero, shifted so that the least is 0) and their joint state.
+
+    The joint state counts through all combinations of the columns' ranges, the first column fastest; a row with a null in one has no states. Ranges come
+    from one row of least and greatest values.
+    """
+    whole = {c: F.round(F.col(c)).cast("long") for c in columns}
+    found = with_totals(rows, [], **{f"_lo_{c}": F.min(w) for c, w in whole.items()}, **{f"_hi_{c}": F.max(w) for c, w in whole.items()})
+    found = found.withColumns({f"q_{c}": w - F.col(f"_lo_{c}") for c, w in whole.items()})
+    state, step = F.lit(0).cast("long"), F.lit(1).cast("long")
+    for c in columns:
+        state, step = state + F.col(f"q_{c}") * step, step * (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + 1)
+    return found.withColumn(out, state).drop(*(f"_{e}_{c}" for e in ("lo", "hi") for c in columns))
+
+
 def joint_states(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The distinct joint states with their counts, numbered from 1 with the last column slowest."""
     counts = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))

@@ -58,6 +58,41 @@ def mask_members(mask: Column, views: int) -> Column:
     return F.filter(F.array(*map(F.lit, range(views))), lambda i: F.getbit(mask.cast("long"), i) == 1)
 
 
+def available(views: list[Column]) -> Column:
+    """How many of the views a row has."""
+    return sum((v.isNotNull().cast("int") for v in views), F.lit(0))
+
+
+def mean_code(views: list[Column], width: int) -> Column:
+    """The mean of the codes of those views that a row has, entry by entry; null for a row without any."""
+    n = available(views)
+    entry = lambda i: sum((F.coalesce(F.get(v, i), F.lit(0.0)) for v in views), F.lit(0.0)) / n
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), entry))
+
+
+def code_spread(views: list[Column], mean: Column) -> Column:
+    """Mean squared distance of the views that a row has from their mean code; null for a row without any."""
+    apart = lambda v: F.aggregate(F.zip_with(v, mean, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    total = sum((F.coalesce(apart(v), F.lit(0.0)) for v in views), F.lit(0.0))
+    n = available(views)
+    return F.when(n > 0, total / n)
+
+
+def per_view(rows: DataFrame, keys: list[str], views: list[str]) -> DataFrame:
+    """keys, view and x: a row for each view that a row has, so views of one row stay aligned by its keys; a row without any view has none."""
+    each = F.array(*(F.struct(F.lit(i).cast("long").alias("view"), F.col(v).alias("x")) for i, v in enumerate(views)))
+    long = rows.select(*keys, F.explode(F.filter(each, lambda e: e["x"].isNotNull())).alias("_e"))
+    return long.select(*keys, "_e.view", "_e.x")
+
+
+def overwrite(base: Column, sample: Column, view_of: list[int], mask: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """A whole vector whose entries of views outside the mask come from `sample`, clipped; entry i belongs to view_of[i]."""
+    places = F.array(*map(F.lit, view_of))
+    seen = lambda i: F.getbit(mask.cast("long"), F.element_at(places, i + 1)) == 1
+    picked = F.transform(base, lambda x, i: F.when(seen(i), x).otherwise(F.element_at(sample, i + 1)))
+    return F.transform(picked, lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+
+
 def exact_split(rows: DataFrame, order: list[str], fraction: float) -> DataFrame:
     """`part` 'train' for the first floor(fraction * n) rows in the given order, else 'test'.
 
