@@ -13,6 +13,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def steady_sum(x: Column | str) -> Column:
+    """The sum of an aggregation to its last bit, whatever the order of the rows: multiples of 2^-10 add up exactly, the rests are small.
+
+    Values from 2^42 on are added as they are.
+    """
+    x = _col(x)
+    coarse = F.when(F.abs(x) < 2.0**42, F.rint(x * 1024.0) / 1024.0).otherwise(x)
+    return F.sum(coarse) + F.sum(F.when(F.abs(x) < 2.0**42, x - coarse).otherwise(F.when(x.isNotNull(), 0.0)))
+
+
+def rounded(x: Column | str, digits: int) -> Column:
+    """Rounded in binary, half away from zero: the double nearest to x * 10^digits decides, not the shortest decimal of x."""
+    x = _col(x)
+    large = F.abs(x) * 10.0**digits
+    return F.when(large < 2.0**52, F.signum(x) * F.floor(large + 0.5).cast("double") / 10.0**digits).otherwise(x)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), add)
 

@@ -237,7 +237,8 @@ SELECT user_id, period::INTEGER AS period, q AS score FROM q QUALIFY row_number(
 def period_search(spark, d):
     """Per series, the period among 2 to 49 whose phases explain most of the variance (scored by one exploded aggregation)."""
     rows = event_series(spark, d).select("user_id", "rn", "value", F.explode(F.sequence(F.lit(2), F.lit(49))).alias("period"))
-    phases = rows.groupBy("user_id", "period", (F.col("rn") % F.col("period")).alias("phase")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    score = phases.groupBy("user_id", "period").agg((F.sum(F.col("s") * F.col("s") / F.col("n")) / F.sum("n")).alias("q"))
-    best = score.groupBy("user_id").agg(F.max(F.struct(F.round("q", 6).alias("q"), (-F.col("period")).alias("p"))).alias("b"))
+    phases = rows.groupBy("user_id", "period", (F.col("rn") % F.col("period")).alias("phase")).agg(A.steady_sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    # periods tie by their rounded scores, so a last bit that depends on the order of a sum would decide
+    score = phases.groupBy("user_id", "period").agg((A.steady_sum(F.col("s") * F.col("s") / F.col("n")) / F.sum("n")).alias("q"))
+    best = score.groupBy("user_id").agg(F.max(F.struct(A.rounded("q", 6).alias("q"), (-F.col("period")).alias("p"))).alias("b"))
     return best.select("user_id", (-F.col("b.p")).alias("period"), F.col("b.q").alias("score"))
